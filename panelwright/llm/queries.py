@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import codec, decontaminate, line_dedup, sharding, simhash, token_counts
+from panelwright.llm import codec, decontaminate, line_dedup, quality_gam, quality_rules, sharding, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op5_transducer_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pairwise_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_gam.score_quality(docs, quality_gam.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (quality_gam.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
@@ -49,8 +55,14 @@ def op9_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_hashed_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ruled = quality_rules.apply_rules(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
+    return ruled.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "probability")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_aho_corasick_decontamination, op2_rank_synchronous_token_counts, op3_minhash_line_dedup, op5_transducer_lexicon_bpe, op8_sampled_splitter_shards, op9_pigeonring_simhash)}
+    return {f.__name__: f for f in (op1_aho_corasick_decontamination, op2_rank_synchronous_token_counts, op3_minhash_line_dedup, op5_transducer_lexicon_bpe, op7_pairwise_gam_quality, op8_sampled_splitter_shards, op9_pigeonring_simhash, op10_hashed_ngram_quality_rules)}
 
 
 #: Windows of the items and all runs of as many words of the documents meet by their text.
