@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import codec, decontaminate, line_dedup, quality_gam, quality_rules, sharding, simhash, token_counts
+from panelwright.llm import codec, decontaminate, line_dedup, quality_gam, quality_rules, sharding, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op5_transducer_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read_archives(spark, folder).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_pairwise_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_gam.score_quality(docs, quality_gam.train(docs, _table(spark, sf_dir, "labels")))
@@ -62,7 +68,7 @@ def op10_hashed_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_aho_corasick_decontamination, op2_rank_synchronous_token_counts, op3_minhash_line_dedup, op5_transducer_lexicon_bpe, op7_pairwise_gam_quality, op8_sampled_splitter_shards, op9_pigeonring_simhash, op10_hashed_ngram_quality_rules)}
+    return {f.__name__: f for f in (op1_aho_corasick_decontamination, op2_rank_synchronous_token_counts, op3_minhash_line_dedup, op5_transducer_lexicon_bpe, op6_salvage_warc, op7_pairwise_gam_quality, op8_sampled_splitter_shards, op9_pigeonring_simhash, op10_hashed_ngram_quality_rules)}
 
 
 #: Windows of the items and all runs of as many words of the documents meet by their text.
