@@ -33,9 +33,10 @@ class ByteBPE:
     a sequence's lowest pair can be merged in one step. The constructor checks it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merges: int | None = None):
+        """``merges``: how many of the file's merges count, the first ones; ids of tokens they don't make stay unused."""
         data = json.loads(Path(path).read_text())
-        vocab, merges = data["model"]["vocab"], data["model"]["merges"]
+        vocab, merges = data["model"]["vocab"], data["model"]["merges"][:merges]
         byte_of = {c: b for b, c in enumerate(byte_characters())}
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.size = 1 + max([*vocab.values(), *self.special.values()])
@@ -108,6 +109,20 @@ class ByteBPE:
         return ids, np.concatenate([[0], np.cumsum(counts)])
 
 
+@lru_cache(maxsize=2)
+def load_part(path: str, merges: int) -> ByteBPE:
+    """The smaller vocabulary that the file's first merges make: bytes are ids below 256, merge k makes 256 + k."""
+    model = ByteBPE(path, merges)
+    place = np.full(model.size, -1, np.int64)
+    place[model.byte_ids], place[model.made] = np.arange(256), 256 + np.arange(len(model.made))
+    left, right = np.divmod(model.pair_keys, model.size)
+    model.pair_keys = place[left] * model.size + place[right]
+    order = np.argsort(model.pair_keys)
+    model.pair_keys, model.pair_ranks = model.pair_keys[order], model.pair_ranks[order]
+    model.byte_ids, model.made = place[model.byte_ids].astype(np.int32), place[model.made].astype(np.int32)
+    return model
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteBPE:
     return ByteBPE(path)

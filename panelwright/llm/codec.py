@@ -165,3 +165,12 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     rows = rows.drop("decoded")
     schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) + ", decoded string"
     return rows.mapInArrow(_decoding(tokenizer, rows.columns, ids), schema)
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of rows that have ``ids`` and ``decoded``."""
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

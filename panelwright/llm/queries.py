@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import codec, decontaminate, line_dedup, quality_gam, quality_rules, sharding, simhash, token_counts, warc
+from panelwright.llm import codec, decontaminate, line_dedup, lm, quality_gam, quality_rules, sharding, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +30,14 @@ def op3_minhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op4_attention_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_transducer_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     encoded = codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer).drop("text")
-    done = codec.decode(encoded, tokenizer)
-    return done.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return codec.digests(codec.decode(encoded, tokenizer))
 
 
 def op6_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +67,7 @@ def op10_hashed_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_aho_corasick_decontamination, op2_rank_synchronous_token_counts, op3_minhash_line_dedup, op5_transducer_lexicon_bpe, op6_salvage_warc, op7_pairwise_gam_quality, op8_sampled_splitter_shards, op9_pigeonring_simhash, op10_hashed_ngram_quality_rules)}
+    return {f.__name__: f for f in (op1_aho_corasick_decontamination, op2_rank_synchronous_token_counts, op3_minhash_line_dedup, op4_attention_lm_scores, op5_transducer_lexicon_bpe, op6_salvage_warc, op7_pairwise_gam_quality, op8_sampled_splitter_shards, op9_pigeonring_simhash, op10_hashed_ngram_quality_rules)}
 
 
 #: Windows of the items and all runs of as many words of the documents meet by their text.

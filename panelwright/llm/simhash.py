@@ -119,3 +119,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = parts.join(named, "component").select("print", "least")
     ids = classes.join(named, "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
     return rows.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Ids up to which the rows to drop are broadcast (8 bytes each for long ids).
+BROADCAST_ROWS = 1_000_000
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest id.
+
+    Rows with a null id stay; of rows that repeat an id, those that differ in text stay.
+    """
+    found = checkpoint(near_duplicates(docs, doc_id, text))
+    drop = checkpoint(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct())
+    n_drop = drop.count()
+    kept = docs.join(F.broadcast(drop) if n_drop <= BROADCAST_ROWS else drop, doc_id, "left_anti")
+    again = checkpoint(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id))
+    if not again.take(1):
+        return kept
+    once = kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(again, doc_id, "left_anti").unionByName(once)
