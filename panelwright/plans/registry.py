@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelwright.plans import comparison, evaluation, liquidation, panels, pointwise, portfolios, signals, sources, windows  # noqa: F401  (they register)
+from panelwright.plans.base import FOUND
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in FOUND.items() if sql}
