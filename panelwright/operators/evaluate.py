@@ -121,9 +121,9 @@ def stages(found: DataFrame, keys: list[str], start: Column, hours: int, directi
 
 
 def summary(found: DataFrame, keys: list[str], groups: int, direction: int) -> DataFrame:
-    """Per key: direction shares, group means, mean raw spread, counts of each status."""
+    """Per key: direction shares (an IC that is zero but for rounding has none), group means, mean raw spread, counts of each status."""
     return found.groupBy(*keys).agg(
-        F.avg((F.col("rank_ic") * direction > 0).cast("double")).alias("ic_direction_share"), F.avg((F.col("directional_spread") > 0).cast("double")).alias("spread_direction_share"),
+        F.avg((F.round("rank_ic", 12) * direction > 0).cast("double")).alias("ic_direction_share"), F.avg((F.col("directional_spread") > 0).cast("double")).alias("spread_direction_share"),
         F.avg("spread").alias("spread_mean"), F.avg("rank_ic").alias("ic_mean"), F.sum("eligible").alias("eligible"), F.sum("purged").alias("purged"),
         *[F.avg(f"group_{g}").alias(f"group_{g}") for g in range(1, groups + 1)],
         *[F.count_if(F.col("status") == s).alias(s) for s in ("computed", "purged_boundary", "insufficient_cross_section", "empty_group_due_to_ties")],

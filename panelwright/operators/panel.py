@@ -60,14 +60,14 @@ def universe(df: DataFrame, symbol: str = "symbol", ts: str = "ts", step: str =
 
 
 def violations(grid: DataFrame, symbol: str = "symbol", ts: str = "ts", step: str = HOUR) -> DataFrame:
-    """``(check, symbol, ts)`` rows where a grid repeats a key, leaves the hour, lacks a cell or never has a member."""
+    """``(violation, symbol, ts)`` rows where a grid repeats a key, leaves the hour, lacks a cell or never has a member."""
     keys = grid.select(symbol, ts).distinct()
-    repeated = grid.groupBy(symbol, ts).count().where("count > 1").select(F.lit("repeated").alias("check"), symbol, ts)
-    off = grid.where(hour_of(F.col(ts)) != F.col(ts)).select(F.lit("off_hour").alias("check"), symbol, ts)
+    repeated = grid.groupBy(symbol, ts).count().where("count > 1").select(F.lit("repeated").alias("violation"), symbol, ts)
+    off = grid.where(hour_of(F.col(ts)) != F.col(ts)).select(F.lit("off_hour").alias("violation"), symbol, ts)
     ends = keys.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).select(F.explode(F.sequence("lo", "hi", F.expr(step))).alias(ts))
-    lacking = keys.select(symbol).distinct().crossJoin(ends).join(keys, [symbol, ts], "left_anti").select(F.lit("missing").alias("check"), symbol, ts)
+    lacking = keys.select(symbol).distinct().crossJoin(ends).join(keys, [symbol, ts], "left_anti").select(F.lit("missing").alias("violation"), symbol, ts)
     none = grid.groupBy(symbol).agg(F.max(F.col("eligible").cast("int")).alias("any"), F.min(ts).alias(ts)).where("any = 0 or any is null")
-    return repeated.unionByName(off).unionByName(lacking).unionByName(none.select(F.lit("never_eligible").alias("check"), symbol, ts))
+    return repeated.unionByName(off).unionByName(lacking).unionByName(none.select(F.lit("never_eligible").alias("violation"), symbol, ts))
 
 
 def as_of(left: DataFrame, events: DataFrame, at: str, ts: str, symbol: str = "symbol", payload: str = "event") -> DataFrame:

@@ -1 +1,334 @@
-"""Registered queries."""
+"""Labels, single-factor evaluation (E) and rank displacement (R)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from panelwright.functions import cross as C
+from panelwright.functions import window as T
+from panelwright.operators import displacement as R
+from panelwright.operators import evaluate as E
+from panelwright.operators import panel as P
+from panelwright.plans.base import EV_BARS, NATION_WEEK, avg_rank_sql, ev_bars, nation_week, query
+
+_END = "1999-06-07"
+_HORIZONS = (1, 4)
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.forward_labels(nation_week(spark, sf_dir), [*_HORIZONS], F.expr(f"TIMESTAMP_NTZ '{_END}'"))
+
+
+_LABELS = f"""{NATION_WEEK}, lab AS (
+  {" UNION ALL ".join(f'''SELECT symbol, ts, eligible, momentum, activity, reversal, {h} AS horizon, lead(ts, 1) OVER w AS label_start, lead(ts, {h + 1}) OVER w AS label_end,
+    CASE WHEN eligible AND lead(open, 1) OVER w > 0 AND lead(open, {h + 1}) OVER w > 0 THEN lead(open, {h + 1}) OVER w / lead(open, 1) OVER w - 1 END AS forward_return,
+    lead(ts, {h + 1}) OVER w IS NULL OR lead(ts, {h + 1}) OVER w >= TIMESTAMP '{_END}' AS purged FROM nw WINDOW w AS (PARTITION BY symbol ORDER BY ts)''' for h in _HORIZONS)})"""
+
+
+def _periods_sql(labels: str = "lab", factor: str = "activity", prefix: str = "") -> str:
+    """CTEs: clean rows with ranks and groups (5), and a row per horizon and time."""
+    return f"""{prefix}cl AS (SELECT *, CASE WHEN eligible AND NOT purged AND {factor} IS NOT NULL AND forward_return IS NOT NULL THEN {factor} END AS x, CASE WHEN eligible AND NOT purged AND {factor} IS NOT NULL AND forward_return IS NOT NULL THEN forward_return END AS y FROM {labels}),
+{prefix}rk AS (SELECT *, {avg_rank_sql("x", "horizon, ts")} AS rx, {avg_rank_sql("y", "horizon, ts")} AS ry, count(x) OVER (PARTITION BY horizon, ts) AS nn FROM {prefix}cl),
+{prefix}gr AS (SELECT *, CAST(least(floor((rx - 1) / nn * 5) + 1, 5) AS INTEGER) AS g FROM {prefix}rk),
+{prefix}ag AS (SELECT horizon, ts, count(*) FILTER (eligible) AS eligible, count(x) AS n, count(*) FILTER (purged AND eligible) AS purged, count(DISTINCT x) AS dx, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS ic,
+  {", ".join(f"avg(y) FILTER (g = {g}) AS group_{g}, count(*) FILTER (g = {g}) AS group_{g}_n" for g in range(1, 6))} FROM {prefix}gr GROUP BY horizon, ts),
+{prefix}st AS (SELECT *, CASE WHEN purged > 0 THEN 'purged_boundary' WHEN n < 20 OR dx < 5 THEN 'insufficient_cross_section' WHEN least({", ".join(f"group_{g}_n" for g in range(1, 6))}) = 0 THEN 'empty_group_due_to_ties' ELSE 'computed' END AS status FROM {prefix}ag),
+{prefix}per AS (SELECT horizon, ts, eligible, n, purged, status, CASE WHEN status IN ('computed', 'empty_group_due_to_ties') THEN ic END AS rank_ic, {", ".join(f"group_{g}, group_{g}_n" for g in range(1, 6))},
+  CASE WHEN status = 'computed' THEN group_5 - group_1 END AS spread, -CASE WHEN status = 'computed' THEN group_5 - group_1 END AS directional_spread FROM {prefix}st)"""
+
+
+def _periods(spark: SparkSession, sf_dir: str, factor: str = "activity") -> DataFrame:
+    return E.periods(_labelled(spark, sf_dir), factor, ["horizon"], 5, 20, -1)
+
+
+@query(
+    "flagship_rank_ic",
+    f"""WITH {EV_BARS}, u AS (SELECT s.symbol, t.ts, open, close, b.ts IS NOT NULL AS eligible FROM (SELECT DISTINCT symbol FROM ev_bars) s CROSS JOIN (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM ev_bars) t LEFT JOIN ev_bars b ON s.symbol = b.symbol AND t.ts = b.ts),
+f AS (SELECT *, close / nullif(lag(close, 3) OVER w, 0) - 1 AS ret, CASE WHEN eligible AND lead(open, 1) OVER w > 0 AND lead(open, 2) OVER w > 0 THEN lead(open, 2) OVER w / lead(open, 1) OVER w - 1 END AS forward_return FROM u WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+r AS (SELECT ts, CASE WHEN eligible AND forward_return IS NOT NULL THEN ret END AS x, CASE WHEN eligible AND ret IS NOT NULL THEN forward_return END AS y FROM f),
+k AS (SELECT *, {avg_rank_sql("x", "ts")} AS rx, {avg_rank_sql("y", "ts")} AS ry FROM r)
+SELECT ts, count(x) AS n, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS rank_ic FROM k GROUP BY ts HAVING count(x) >= 3""",
+    "rank_ic",
+)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars from events, dense grid, ranked return, next-open label, rank IC per hour."""
+    grid = P.universe(ev_bars(spark, sf_dir)).withColumn("ret", T.ts_return(F.col("close"), 3, T.series()))
+    factor = C.cross_rank(grid, "ret", "factor")
+    lab = E.forward_labels(factor, [1])
+    both = lab.select("ts", F.when(F.col("forward_return").isNotNull(), F.when(F.col("eligible"), F.col("ret"))).alias("x"), F.when(F.col("ret").isNotNull(), F.col("forward_return")).alias("y"))
+    ranked = both.withColumns({"rx": C.average_rank(F.col("x"), "ts"), "ry": C.average_rank(F.col("y"), "ts")})
+    return ranked.groupBy("ts").agg(F.count("x").alias("n"), C.correlation(F.col("rx"), F.col("ry")).alias("rank_ic")).where("n >= 3")
+
+
+@query("e_forward_labels", f"WITH {_LABELS} SELECT symbol, ts, horizon, label_start, label_end, forward_return, purged FROM lab", "forward_return")
+def e_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-open forward returns for two horizons, purged at the segment's end."""
+    return _labelled(spark, sf_dir).select("symbol", "ts", "horizon", "label_start", "label_end", "forward_return", "purged")
+
+
+_GROUPS = " ".join(f"group_{g}" for g in range(1, 6))
+
+
+@query("e_period_cross_sections", f"WITH {_LABELS}, {_periods_sql()} SELECT * FROM per", f"rank_ic spread directional_spread {_GROUPS}")
+def e_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, rank IC, tied quantile groups and spreads of every period."""
+    return _periods(spark, sf_dir)
+
+
+@query("e_sampled_times", f"WITH {_LABELS} SELECT symbol, ts, horizon, activity FROM lab WHERE date_diff('week', TIMESTAMP '1995-01-02', ts) % 4 = 0", "activity")
+def e_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth week from a start."""
+    return E.sampled(_labelled(spark, sf_dir), F.expr("TIMESTAMP_NTZ '1995-01-02'"), 4, 7 * 86400).select("symbol", "ts", "horizon", "activity")
+
+
+def _hac_sql(source: str, value: str, keys: str, lags: int, least: int) -> str:
+    cross = " + ".join(f"{2 * (1 - k / (lags + 1))!r}::DOUBLE * coalesce(sum(u * l{k}), 0)" for k in range(1, lags + 1))
+    return f"""hc AS (SELECT {keys}, ts, {value} AS x, coalesce({value} - avg({value}) OVER (PARTITION BY {keys}), 0) AS u FROM {source}),
+hl AS (SELECT *, {", ".join(f"lag(u, {k}) OVER (PARTITION BY {keys} ORDER BY ts) AS l{k}" for k in range(1, lags + 1))} FROM hc),
+ha AS (SELECT {keys}, count(x) AS n, count(*) AS grid_periods, avg(x) AS mean, stddev_samp(x) AS std, sum(u * u) + {cross} AS total, min(x) < max(x) AS varies FROM hl GROUP BY {keys}),
+hs AS (SELECT *, CASE WHEN n < {least} THEN 'insufficient_evidence' WHEN NOT coalesce(varies, false) OR total <= 0 THEN 'degenerate_variance' ELSE 'estimated' END AS status FROM ha),
+hac AS (SELECT {keys}, n, grid_periods, mean, std, status, CASE WHEN status = 'estimated' THEN sqrt(total / (n * (n - 1.0::DOUBLE))) END AS se FROM hs)"""
+
+
+@query(
+    "e_hac_inference",
+    f"WITH {_LABELS}, {_periods_sql()}, {_hac_sql('per', 'rank_ic', 'horizon', 3, 26)} SELECT horizon, n, grid_periods, mean, std, status, se, mean - 1.959963984540054 * se AS ci_low, mean + 1.959963984540054 * se AS ci_high, mean / se AS statistic FROM hac",
+    "mean std se ci_low ci_high statistic",
+)
+def e_hac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newey-West mean of rank IC over the full grid of periods."""
+    return E.hac(_periods(spark, sf_dir), "rank_ic", ["horizon"], 3, 26)
+
+
+@query(
+    "e_summary",
+    f"""WITH {_LABELS}, {_periods_sql()} SELECT horizon, avg(CASE WHEN rank_ic IS NOT NULL THEN (-round(rank_ic, 12) > 0)::INT END) AS ic_direction_share, avg(CASE WHEN directional_spread IS NOT NULL THEN (directional_spread > 0)::INT END) AS spread_direction_share,
+  avg(spread) AS spread_mean, avg(rank_ic) AS ic_mean, CAST(sum(eligible) AS BIGINT) AS eligible, CAST(sum(purged) AS BIGINT) AS purged, {", ".join(f"avg(group_{g}) AS group_{g}" for g in range(1, 6))},
+  {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("computed", "purged_boundary", "insufficient_cross_section", "empty_group_due_to_ties"))} FROM per GROUP BY horizon""",
+    f"ic_direction_share spread_direction_share spread_mean ic_mean {_GROUPS}",
+)
+def e_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction shares, group means, status counts."""
+    return E.summary(_periods(spark, sf_dir), ["horizon"], 5, -1)
+
+
+@query(
+    "e_stage_buckets",
+    f"""WITH {_LABELS}, {_periods_sql()}, s AS (SELECT horizon, CAST(floor((epoch(ts) - epoch(TIMESTAMP '1995-01-02')) / (3600 * 4368)) AS INTEGER) AS stage, min(ts) AS "first", max(ts) AS "last", count(rank_ic) AS n_ic, count(directional_spread) AS n_spread, avg(rank_ic) AS mean_ic, avg(directional_spread) AS mean_spread FROM per GROUP BY 1, 2)
+SELECT *, n_ic >= 10 AND n_spread >= 10 AS valid, n_ic >= 10 AND n_spread >= 10 AND -mean_ic > 0 AND mean_spread > 0 AS positive FROM s""",
+    "mean_ic mean_spread",
+)
+def e_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries per stretch of 26 weeks, anchored at the whole segment."""
+    found = E.stages(_periods(spark, sf_dir), ["horizon"], F.expr("TIMESTAMP_NTZ '1995-01-02'"), 26 * 168, -1, 10)
+    return found.withColumn("positive", F.coalesce("positive", F.lit(False)))
+
+
+@query(
+    "e_rolling_means",
+    f"""WITH {_LABELS}, {_periods_sql()} SELECT horizon, ts, CASE WHEN count(rank_ic) OVER w = 26 THEN avg(rank_ic) OVER w END AS rolling_ic, CASE WHEN count(directional_spread) OVER w = 26 THEN avg(directional_spread) OVER w END AS rolling_spread
+FROM per WINDOW w AS (PARTITION BY horizon ORDER BY ts ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)""",
+    "rolling_ic rolling_spread",
+)
+def e_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling means of IC and spread over 26 periods."""
+    return E.rolling(_periods(spark, sf_dir), ["horizon"], 26)
+
+
+@query("e_per_symbol", f"WITH {_LABELS} SELECT horizon, symbol, count(*) AS n, avg(forward_return) AS mean_return, avg(activity) AS mean_factor FROM lab WHERE eligible AND NOT purged AND activity IS NOT NULL AND forward_return IS NOT NULL GROUP BY 1, 2", "mean_return mean_factor")
+def e_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean rows and means per symbol."""
+    return E.per_symbol(_labelled(spark, sf_dir), "activity", ["horizon"])
+
+
+_COMMON = f"""{_LABELS}, co AS (SELECT *, min((NOT purged AND forward_return IS NOT NULL AND activity IS NOT NULL)::INT) OVER (PARTITION BY ts, symbol) AS al, max(purged::INT) OVER (PARTITION BY ts, symbol) AS mp FROM lab),
+cm AS (SELECT symbol, ts, eligible, activity, horizon, CASE WHEN al = 1 THEN forward_return END AS forward_return, mp = 1 AS purged FROM co)"""
+
+
+@query("e_horizon_comparison", f"WITH {_COMMON}, {_periods_sql('cm')} SELECT horizon, ts, n, status, rank_ic, spread FROM per", "rank_ic spread")
+def e_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Horizons compared on the observations that all of them have."""
+    common = E.common_support(_labelled(spark, sf_dir), "activity")
+    return E.periods(common, "activity", ["horizon"], 5, 20, -1).select("horizon", "ts", "n", "status", "rank_ic", "spread")
+
+
+_TESTS = f"""{_LABELS}, {_periods_sql()}, tst AS (SELECT CAST(extract(year FROM ts) AS INTEGER) AS year, horizon, avg(rank_ic) AS ic_mean, avg(spread) AS spread_mean, count(rank_ic) AS n FROM per GROUP BY 1, 2),
+pv AS (SELECT *, CASE WHEN n >= 10 THEN 1 / (1 + n * abs(ic_mean)) END AS p_value, horizon * 10000 + year AS test FROM tst),
+bo AS (SELECT *, coalesce(p_value, 1) AS pp, row_number() OVER (ORDER BY coalesce(p_value, 1), test) AS k, count(*) OVER () AS m FROM pv),
+bh AS (SELECT *, min(least(1, pp * m / k)) OVER (ORDER BY pp, test ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q_value FROM bo)"""
+
+
+def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    yearly = _periods(spark, sf_dir).groupBy(F.year("ts").alias("year"), "horizon").agg(F.avg("rank_ic").alias("ic_mean"), F.avg("spread").alias("spread_mean"), F.count("rank_ic").alias("n"))
+    p = F.when(F.col("n") >= 10, 1 / (1 + F.col("n") * F.abs("ic_mean")))
+    return E.benjamini_hochberg(yearly.withColumns({"p_value": p, "test": F.col("horizon") * 10000 + F.col("year")}), 0.5)
+
+
+@query("e_benjamini_hochberg", f"WITH {_TESTS} SELECT year, horizon, ic_mean, spread_mean, n, p_value, test, q_value, p_value IS NOT NULL AND q_value <= 0.5 AS rejected FROM bh", "ic_mean spread_mean p_value q_value")
+def e_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrected values over a family of yearly tests; a missing p counts as 1 and is never rejected."""
+    return _tests(spark, sf_dir)
+
+
+@query(
+    "e_admission",
+    f"""WITH {_TESTS} SELECT year, horizon, concat_ws(',', CASE WHEN NOT (p_value IS NOT NULL AND q_value <= 0.5) THEN 'not_significant' END, CASE WHEN coalesce(-ic_mean < 0.01, true) THEN 'ic_below_minimum' END, CASE WHEN coalesce(-spread_mean <= 0, true) THEN 'spread_not_positive' END) AS reasons,
+  p_value IS NOT NULL AND q_value <= 0.5 AND coalesce(-ic_mean >= 0.01, false) AND coalesce(-spread_mean > 0, false) AS admitted,
+  CASE WHEN abs(spread_mean) >= 0.001 AND 0.6 >= 0.75 THEN 'strong' WHEN abs(spread_mean) >= 0.0005 THEN 'steady' ELSE 'weak' END AS track FROM bh""",
+)
+def e_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons against admission and a descriptive track."""
+    return E.admission(_tests(spark, sf_dir).withColumn("positive_stage_share", F.lit(0.6)), -1, 0.01).select("year", "horizon", F.concat_ws(",", "reasons").alias("reasons"), "admitted", "track")
+
+
+@query(
+    "e_candidate_verdict",
+    f"""WITH {_TESTS}, ad AS (SELECT year AS candidate, horizon FROM bh WHERE p_value IS NOT NULL AND q_value <= 0.5 AND -ic_mean >= 0.01 AND -spread_mean > 0), pa AS (SELECT c.candidate, coalesce(string_agg(CAST(a.horizon AS VARCHAR), ',' ORDER BY a.horizon), '') AS passed,
+  coalesce(string_agg(CASE WHEN (c.candidate + a.horizon) % 2 = 0 THEN CAST(a.horizon AS VARCHAR) END, ',' ORDER BY a.horizon), '') AS horizons FROM (SELECT DISTINCT year AS candidate FROM bh) c LEFT JOIN ad a ON a.candidate = c.candidate GROUP BY 1)
+SELECT candidate, passed, horizons, horizons <> '' AS validated FROM pa""",
+)
+def e_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admitted horizons that were retained before, per candidate."""
+    tests = E.admission(_tests(spark, sf_dir).withColumn("positive_stage_share", F.lit(0.6)), -1, 0.01).withColumn("candidate", F.col("year"))
+    retained = tests.where((F.col("candidate") + F.col("horizon")) % 2 == 0).select("candidate", "horizon")
+    return E.verdict(tests, retained).select("candidate", F.concat_ws(",", F.col("passed").cast("array<string>")).alias("passed"), F.concat_ws(",", F.col("horizons").cast("array<string>")).alias("horizons"), "validated")
+
+
+_PAIRED = f"""{_LABELS}, {_periods_sql()}, {_periods_sql("lab", "reversal", "b_")}, pd AS (SELECT per.horizon, per.ts, b_per.rank_ic - per.rank_ic AS difference FROM per JOIN b_per ON per.horizon = b_per.horizon AND per.ts = b_per.ts), {_hac_sql("pd", "difference", "horizon", 3, 26)}"""
+
+
+@query(
+    "e_paired_experiment",
+    f"""WITH {_PAIRED} SELECT horizon, n, mean, se, status, CASE WHEN status <> 'estimated' THEN 'pause' WHEN mean - 1.959963984540054 * se > 0 AND mean >= 0.01 THEN 'continue' WHEN mean + 1.959963984540054 * se < 0 THEN 'stop' ELSE 'pause' END AS decision FROM hac""",
+    "mean se",
+)
+def e_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two factors' IC compared on one calendar, with a decision."""
+    found = E.compare(_periods(spark, sf_dir), _periods(spark, sf_dir, "reversal"), ["horizon"], "rank_ic", 3, 26, 0.01)
+    return found.select("horizon", "n", "mean", "se", "status", "decision")
+
+
+@query(
+    "e_quality_gate",
+    f"""WITH {_PAIRED} SELECT horizon, mean, coalesce(mean >= 0.0 AND mean - 1.959963984540054 * se > 0 AND mean - 1.959963984540054 * se >= -0.05, false) AS passed FROM hac""",
+    "mean",
+)
+def e_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired evidence against a target, its interval and a bound on lost IC."""
+    found = E.compare(_periods(spark, sf_dir), _periods(spark, sf_dir, "reversal"), ["horizon"], "rank_ic", 3, 26, 0.01)
+    return E.quality_gate(found.withColumn("ic_ci_low", F.col("ci_low")), 0.0, 0.05).select("horizon", "mean", "passed")
+
+
+@query(
+    "e_evidence_completeness",
+    f"""WITH {_LABELS}, {_periods_sql()}, e AS (SELECT CAST(extract(year FROM ts) AS INTEGER) AS candidate, horizon, avg(rank_ic) AS ic_mean, avg(spread) AS spread_mean, count(rank_ic) / count(*) AS valid_share FROM per GROUP BY 1, 2), r AS (SELECT y AS candidate, h AS horizon FROM (SELECT unnest(generate_series(1994, 2003)) AS y), (SELECT unnest([1, 4, 24]) AS h)),
+x AS (SELECT CAST(r.candidate AS INTEGER) AS candidate, r.horizon, concat_ws(',', CASE WHEN ic_mean IS NULL THEN 'ic_mean' END, CASE WHEN spread_mean IS NULL THEN 'spread_mean' END, CASE WHEN NOT coalesce(valid_share > 0 AND valid_share <= 1, false) THEN 'valid_share' END) AS lacking FROM r LEFT JOIN e ON e.candidate = r.candidate AND e.horizon = r.horizon)
+SELECT * FROM x WHERE lacking <> ''""",
+)
+def e_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required candidate and horizon pairs with missing parts of evidence."""
+    e = _periods(spark, sf_dir).groupBy(F.year("ts").alias("candidate"), "horizon").agg(F.avg("rank_ic").alias("ic_mean"), F.avg("spread").alias("spread_mean"), (F.count("rank_ic") / F.count("*")).alias("valid_share"))
+    required = spark.sql("SELECT candidate, explode(array(1, 4, 24)) AS horizon FROM (SELECT explode(sequence(1994, 2003)) AS candidate)")
+    return E.incomplete(e, required, ["ic_mean", "spread_mean"]).withColumn("lacking", F.concat_ws(",", "lacking"))
+
+
+_STEPS = (1, 4)
+_WEEK = 7 * 86400
+
+_D = f"""{NATION_WEEK}, lv AS (SELECT symbol, ts, activity AS x FROM nw WHERE eligible AND activity IS NOT NULL), dl AS (SELECT unnest([1, 4]) AS delta),
+pr AS (SELECT dl.delta, a.ts, a.symbol, a.x AS now_, b.x AS then_ FROM lv a CROSS JOIN dl JOIN lv b ON b.symbol = a.symbol AND b.ts = a.ts - dl.delta * INTERVAL 7 DAY),
+rr AS (SELECT *, {avg_rank_sql("now_", "delta, ts")} AS ra, {avg_rank_sql("then_", "delta, ts")} AS rb FROM pr),
+mv AS (SELECT delta, ts, count(*) AS n, sum(abs(ra - rb)) AS s, count(*) - count(DISTINCT now_) AS ties_now, count(*) - count(DISTINCT then_) AS ties_then FROM rr GROUP BY 1, 2),
+ct AS (SELECT ts, count(*) FILTER (eligible AND activity IS NOT NULL) AS n_now FROM nw GROUP BY ts),
+gd AS (SELECT dl.delta, c.ts, c.n_now, p.n_now AS n_then_, c.ts - dl.delta * INTERVAL 7 DAY < (SELECT min(ts) FROM nw) AS before FROM ct c CROSS JOIN dl LEFT JOIN ct p ON p.ts = c.ts - dl.delta * INTERVAL 7 DAY),
+dd AS (SELECT gd.delta, gd.ts, n_now, coalesce(n_then_, 0) AS n_then, coalesce(n, 0) AS n, coalesce(ties_now, 0) AS ties_now, coalesce(ties_then, 0) AS ties_then, coalesce(n, 0) / nullif(n_now + coalesce(n_then_, 0) - coalesce(n, 0), 0) AS coverage,
+  CASE WHEN before THEN 'boundary_excluded' WHEN n_then_ IS NULL THEN 'missing_exact_hour' WHEN coalesce(n, 0) < 20 THEN 'insufficient_cross_section' ELSE 'computed' END AS status, s FROM gd LEFT JOIN mv ON mv.delta = gd.delta AND mv.ts = gd.ts),
+dp AS (SELECT delta, ts, n_now, n_then, n, ties_now, ties_then, coverage, status, CASE WHEN status = 'computed' THEN s / (n * n) END AS d FROM dd)"""
+
+
+def _displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.displacement(nation_week(spark, sf_dir), "activity", [*_STEPS], [], 20, _WEEK)
+
+
+@query("r_rank_displacement", f"WITH {_D} SELECT * FROM dp", "coverage d")
+def r_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Displacement over 1 and 4 weeks with statuses, ties and coverage."""
+    return _displaced(spark, sf_dir)
+
+
+@query("r_displacement_summary", f"WITH {_D} SELECT delta, count(d) AS n, avg(d) AS mean, stddev_samp(d) AS std, quantile_cont(d, 0.1) AS p10, quantile_cont(d, 0.5) AS median, quantile_cont(d, 0.9) AS p90, count(d) / count(*) AS valid_share FROM dp GROUP BY delta", "mean std p10 median p90 valid_share")
+def r_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, exact quantiles and valid share of the displacement."""
+    return R.distribution(_displaced(spark, sf_dir), "d", ["delta"])
+
+
+@query("r_distribution_by_class", f"WITH {_D}, c AS (SELECT delta % 2 AS class, d FROM dp) SELECT class, CAST(grouping(class) AS INTEGER) AS is_total, count(d) AS n, avg(d) AS mean, stddev_samp(d) AS std, quantile_cont(d, 0.1) AS p10, quantile_cont(d, 0.5) AS median, quantile_cont(d, 0.9) AS p90 FROM c GROUP BY GROUPING SETS ((class), ())", "mean std p10 median p90")
+def r_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution per class and in total, by grouping sets."""
+    return R.distribution_with_total(_displaced(spark, sf_dir).withColumn("class", F.col("delta") % 2), "d", "class")
+
+
+_VARIANTS = f"""{NATION_WEEK}, vr AS (SELECT symbol, ts, eligible, 'reference' AS variant, activity AS value FROM nw UNION ALL SELECT symbol, ts, eligible, 'trial', 0.75 * activity + 0.25 * lag(activity) OVER (PARTITION BY symbol ORDER BY ts) FROM nw UNION ALL SELECT symbol, ts, eligible, 'tied', floor(activity / 3) FROM nw),
+cs AS (SELECT ts, symbol FROM vr WHERE value IS NOT NULL AND eligible GROUP BY 1, 2 HAVING count(DISTINCT variant) = 3), cv AS (SELECT vr.* FROM vr JOIN cs ON vr.ts = cs.ts AND vr.symbol = cs.symbol WHERE vr.eligible)"""
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nw = nation_week(spark, sf_dir).select("symbol", "ts", "eligible", "activity")
+    trial = (F.col("activity") * 0.75 + F.lag("activity").over(T.series()) * 0.25).alias("trial")
+    wide = nw.select("symbol", "ts", "eligible", F.col("activity").alias("reference"), trial, F.floor(F.col("activity") / 3).cast("double").alias("tied"))
+    long = wide.unpivot(["symbol", "ts", "eligible"], ["reference", "trial", "tied"], "variant", "value")
+    return R.common_variants(long.where("eligible"))
+
+
+@query(
+    "r_variant_study",
+    f"""WITH {_VARIANTS}, pp AS (SELECT a.variant, a.ts, a.symbol, a.value AS now_, b.value AS then_ FROM cv a JOIN cv b ON a.variant = b.variant AND a.symbol = b.symbol AND b.ts = a.ts - INTERVAL 7 DAY), kk AS (SELECT *, {avg_rank_sql("now_", "variant, ts")} AS ra, {avg_rank_sql("then_", "variant, ts")} AS rb FROM pp),
+dv AS (SELECT variant, ts, count(*) AS n, sum(abs(ra - rb)) / (count(*) * count(*)) AS d FROM kk GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT a.variant, count(*) AS n, avg(a.d) AS mean_d, avg(a.d - r.d) AS effect, avg((a.d < r.d)::INT) AS lower_share FROM dv a JOIN dv r ON r.variant = 'reference' AND r.ts = a.ts GROUP BY a.variant""",
+    "mean_d effect lower_share",
+)
+def r_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants compared with a reference on the observations that all of them have."""
+    found = R.displacement(_variants(spark, sf_dir), "value", [1], ["variant"], 20, _WEEK).where("status = 'computed'")
+    reference = found.where("variant = 'reference'").select("ts", F.col("d").alias("r"))
+    return found.join(reference, "ts").groupBy("variant").agg(F.count("*").alias("n"), F.avg("d").alias("mean_d"), F.avg(F.col("d") - F.col("r")).alias("effect"), F.avg((F.col("d") < F.col("r")).cast("int")).alias("lower_share"))
+
+
+@query("r_native_coverage", f"WITH {NATION_WEEK} SELECT CAST(extract(year FROM ts) AS INTEGER) AS year, count(*) AS grid, count(*) FILTER (eligible) AS eligible, count(*) FILTER (eligible AND reversal IS NOT NULL) AS present, count(*) FILTER (eligible AND reversal IS NOT NULL) / count(*) AS share FROM nw GROUP BY 1", "share")
+def r_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid, eligible and finite shares of a factor."""
+    live = F.col("eligible") & F.col("reversal").isNotNull()
+    return nation_week(spark, sf_dir).groupBy(F.year("ts").alias("year")).agg(F.count("*").alias("grid"), F.count_if("eligible").alias("eligible"), F.count_if(live).alias("present"), (F.count_if(live) / F.count("*")).alias("share"))
+
+
+@query(
+    "r_front_selection",
+    f"""WITH {NATION_WEEK}, s AS (SELECT symbol, CAST(extract(year FROM ts) AS INTEGER) AS parent, round(avg(activity), 3) AS score FROM nw WHERE eligible GROUP BY 1, 2) SELECT parent, symbol, score FROM s QUALIFY row_number() OVER (PARTITION BY parent ORDER BY score, symbol) = 1""",
+    "score",
+)
+def r_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per parent the variant of the lowest mean, ties in a fixed order."""
+    s = nation_week(spark, sf_dir).where("eligible").groupBy("symbol", F.year("ts").alias("parent")).agg(F.round(F.avg("activity"), 3).alias("score"))
+    return s.withColumn("k", F.row_number().over(W.partitionBy("parent").orderBy("score", "symbol"))).where("k = 1").select("parent", "symbol", "score")
+
+
+@query(
+    "r_transfer_and_effect_grid",
+    f"""WITH {_D}, y AS (SELECT delta, CAST(extract(year FROM ts) AS INTEGER) AS year, n_now % 3 AS cell, avg(d) AS mean, avg(d) - 1.96 * stddev_samp(d) / sqrt(count(d)) AS low FROM dp GROUP BY ALL)
+SELECT delta, cell, count(*) AS n, count(*) FILTER (mean > 0.1) AS positive, count(*) FILTER (low > 0.1) AS above, avg(mean) AS mean_of_means FROM y GROUP BY delta, cell""",
+    "mean_of_means",
+)
+def r_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of positive effects and intervals above a bound per cell, and means of means."""
+    y = _displaced(spark, sf_dir).groupBy("delta", F.year("ts").alias("year"), (F.col("n_now") % 3).alias("cell")).agg(F.avg("d").alias("mean"), (F.avg("d") - 1.96 * F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("low"))
+    return y.groupBy("delta", "cell").agg(F.count("*").alias("n"), F.count_if(F.col("mean") > 0.1).alias("positive"), F.count_if(F.col("low") > 0.1).alias("above"), F.avg("mean").alias("mean_of_means"))
+
+
+@query("r_stratified_pick", "SELECT o_orderpriority AS class, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 6 AS disjoint FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 6")
+def r_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five of each class by an order, and the sixth as a disjoint sample."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("class"), "o_orderkey", "o_totalprice")
+    ranked = o.withColumn("k", F.row_number().over(W.partitionBy("class").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("k <= 6")
+    return ranked.select("class", "o_orderkey", (F.col("k") == 6).alias("disjoint"))
