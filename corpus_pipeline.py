@@ -43,7 +43,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token count, and digests of its ids and of what they decode to."""
-    return codec.digests(codec.decode(codec.encode(docs.select("doc_id", "text"), TOKENIZER).drop("text"), TOKENIZER))
+    return codec.digests(codec.round_trip(docs.select("doc_id", "text"), TOKENIZER))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("contamination", contamination), ("tokens", tokens)]

@@ -97,13 +97,16 @@ def _encoder(tokenizer: str, lexicon: str) -> Encoder:
     return Encoder(tokenizer, Lexicon(SparkFiles.get(lexicon)))
 
 
-def _encoding(tokenizer: str, lexicon: str, kept: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoding(tokenizer: str, lexicon: str, kept: list[str], back: bool = False) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, lexicon)
-        for part in slices(batches, "_body"):
+        for part in slices(batches, "_body", 2 << 20):
             ids, starts = encoder.encode(texts(part.column("_body")))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists], [*kept, "ids"])
+            columns, names = [*(part.column(c) for c in kept), lists], [*kept, "ids"]
+            if back:
+                columns, names = [*columns, pa.array(decode_ids(tokenizer, ids, starts), pa.string())], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -137,25 +140,33 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """
     docs = docs.drop("_body", "ids")
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + ", ids array<int>"
-    return docs.withColumn("_body", F.col(text)).mapInArrow(_encoding(tokenizer, ship_lexicon(docs, tokenizer, text), docs.columns), schema)
+    lexicon = ship_lexicon(docs, tokenizer, text)
+    return docs.withColumn("_body", F.col(text)).mapInArrow(_encoding(tokenizer, lexicon, docs.columns), schema)
+
+
+@lru_cache(maxsize=2)
+def _token_table(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    tokens = bpe.load(tokenizer).token_bytes
+    return np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+
+
+def decode_ids(tokenizer: str, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+    """The text of each ``ids[starts[i]:starts[i + 1]]``: its tokens' bytes, what isn't UTF-8 replaced."""
+    flat, at = ragged(*_token_table(tokenizer), ids.astype(np.int64))
+    whole, ends = flat.tobytes(), at[starts].tolist()
+    return [whole[a:b].decode(errors="replace") for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _decoding(tokenizer: str, kept: list[str], ids: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = bpe.load(tokenizer).token_bytes
-        body = np.frombuffer(b"".join(tokens), np.uint8)
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 lists = part.column(ids)
                 rows = lists.flatten().to_numpy(zero_copy_only=False)
                 counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                flat, at = ragged(body, starts, rows.astype(np.int64))
-                ends = at[np.concatenate([[0], np.cumsum(counts)])].tolist()
-                whole = flat.tobytes()
-                decoded = pa.array([whole[a:b].decode(errors="replace") for a, b in zip(ends, ends[1:], strict=False)], pa.string())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), decoded], [*kept, "decoded"])
+                decoded = decode_ids(tokenizer, rows, np.concatenate([[0], np.cumsum(counts)]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(decoded, pa.string())], [*kept, "decoded"])
 
     return run
 
@@ -167,6 +178,13 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     return rows.mapInArrow(_decoding(tokenizer, rows.columns, ids), schema)
 
 
+def round_trip(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and the text ``decoded`` from them, in one pass: ids needn't travel to be decoded."""
+    docs = docs.drop("_body", "ids", "decoded")
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + ", ids array<int>, decoded string"
+    return docs.withColumn("_body", F.col(text)).mapInArrow(_encoding(tokenizer, ship_lexicon(docs, tokenizer, text), docs.columns, True), schema)
+
+
 def digests(rows: DataFrame) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of rows that have ``ids`` and ``decoded``."""
     return rows.select(

@@ -35,9 +35,8 @@ def op4_attention_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_transducer_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer).drop("text")
-    return codec.digests(codec.decode(encoded, tokenizer))
+    done = codec.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return codec.digests(done)
 
 
 def op6_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
