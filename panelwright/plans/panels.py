@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.operators import panel as P
 from panelwright.plans.base import EV_BARS, EV_GRID, NATION_WEEK, USER_UNIVERSE, ev_bars, ev_grid, nation_week, query, table, user_universe
 
-_AVAILABLE = F.expr("ts + INTERVAL 1 HOUR - INTERVAL 1 MILLISECOND")
-_SIDE = "CASE event_type WHEN 'signup' THEN 'click' ELSE event_type END"
+
+def _available() -> Column:
+    """When a row of an hour is known."""
+    return F.expr("ts + INTERVAL 1 HOUR - INTERVAL 1 MILLISECOND")
 
 
 @query("p_dense_grid", f"WITH {EV_GRID} SELECT symbol, ts, close, trades, present, ts + INTERVAL 1 HOUR - INTERVAL 1 MILLISECOND AS available_at FROM ev_grid", "close")
 def p_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hour of each symbol's span, missing bars as NULL, with the time each row is known."""
-    return ev_grid(spark, sf_dir).select("symbol", "ts", "close", "trades", "present", _AVAILABLE.alias("available_at"))
+    return ev_grid(spark, sf_dir).select("symbol", "ts", "close", "trades", "present", _available().alias("available_at"))
 
 
 @query(
@@ -26,7 +28,7 @@ SELECT g.symbol, g.ts, g.close, CASE WHEN o.close_time <= g.ts + INTERVAL 1 HOUR
 )
 def p_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another source's bar at the same key, hidden until it has closed."""
-    base = ev_grid(spark, sf_dir).select("symbol", "ts", "close", _AVAILABLE.alias("available_at"))
+    base = ev_grid(spark, sf_dir).select("symbol", "ts", "close", _available().alias("available_at"))
     late = F.when(F.col("trades") % 3 == 0, F.expr("INTERVAL 2 HOUR")).otherwise(F.expr("INTERVAL 59 MINUTE"))
     other = ev_bars(spark, sf_dir).select("symbol", "ts", (F.col("close") * 2).alias("price"), (F.col("ts") + late).alias("close_time"))
     return P.attach(base, other, "other", ["price"]).drop("available_at")
@@ -61,7 +63,7 @@ SELECT symbol, ts, CASE WHEN fresh THEN interest END AS interest, CASE WHEN fres
 )
 def p_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots that expire; the whole latest row counts, with its status and age."""
-    left = ev_grid(spark, sf_dir).select("symbol", "ts", _AVAILABLE.alias("available_at"))
+    left = ev_grid(spark, sf_dir).select("symbol", "ts", _available().alias("available_at"))
     return P.expiring(left, _metrics(spark, sf_dir), 20, ["interest", "ratio"]).drop("available_at")
 
 
@@ -85,14 +87,14 @@ def p_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of irregular funding events over 24 hours with their status."""
     e = table(spark, sf_dir, "events")
     funding = e.select(F.col("event_type").alias("symbol"), F.col("ts").alias("event_ts"), F.when(F.col("event_id") % 41 != 0, F.col("value") / 10000).alias("rate"), F.lit(8.0).alias("interval_hours"))
-    left = ev_bars(spark, sf_dir).where(F.hour("ts") % 6 == 0).select("symbol", "ts", _AVAILABLE.alias("available_at"))
+    left = ev_bars(spark, sf_dir).where(F.hour("ts") % 6 == 0).select("symbol", "ts", _available().alias("available_at"))
     return P.funding_window(left, funding, 24).select("symbol", "ts", "funding_status", "funding_sum")
 
 
 @query("p_look_ahead_guard", f"WITH {EV_BARS} SELECT symbol, ts, trades FROM ev_bars WHERE trades % 3 = 0")
 def p_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that saw something before it was available; a spoilt observation time is found."""
-    seen = ev_bars(spark, sf_dir).select("symbol", "ts", "trades", _AVAILABLE.alias("available_at"), (F.col("ts") + F.when(F.col("trades") % 3 == 0, F.expr("INTERVAL 2 HOUR")).otherwise(F.expr("INTERVAL 0 HOUR"))).alias("observed"))
+    seen = ev_bars(spark, sf_dir).select("symbol", "ts", "trades", _available().alias("available_at"), (F.col("ts") + F.when(F.col("trades") % 3 == 0, F.expr("INTERVAL 2 HOUR")).otherwise(F.expr("INTERVAL 0 HOUR"))).alias("observed"))
     return P.look_ahead(seen, ["observed"]).select("symbol", "ts", "trades")
 
 
