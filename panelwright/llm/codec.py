@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import bpe
 from panelwright.llm.lexicon import Lexicon, compile_lexicon
-from panelwright.llm.runtime import slices, texts
+from panelwright.llm.runtime import shared_dir, slices, texts
 
-#: Words that the lexicon holds and bytes of its longest; the file stays below 10 MB whatever the corpus.
-LEXICON_WORDS, LEXICON_BYTES = 32_768, 32
+#: A word is frequent if it makes up one in so many bytes of the corpus, its blank not counted. Each
+#: occurrence takes two bytes with its blank, so at most half as many words are, whatever the corpus.
+FREQUENT, LEXICON_BYTES = 1 << 19, 32
 
 
 def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +33,7 @@ def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[n
 
 def encode_words(model: bpe.ByteBPE, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each word by exact merging of its pre-tokens, and offsets."""
-    pretokens = [bpe.PATTERN.findall(word) for word in words]
+    pretokens = [[word] if word[1:].isalpha() and word[0] == " " and word.isascii() else bpe.PATTERN.findall(word) for word in words]  # a blank and letters are one
     place = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(pretokens)))}
     ids, offsets = model.merge([p.encode() for p in place])
     flat = np.fromiter(map(place.__getitem__, chain.from_iterable(pretokens)), np.int64)
@@ -111,27 +111,29 @@ def _encoding(tokenizer: str, lexicon: str, kept: list[str], back: bool = False)
     return run
 
 
-def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The corpus's most frequent blank-separated words, at least two of each, counted over all rows."""
+def frequent_words(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> list[str]:
+    """The blank-separated words that occur at least twice and once in ``bytes / frequent``, counted over all rows."""
+    held = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     words = docs.select(F.explode(F.split(F.col(text), " ", -1)).alias("word")).where(F.octet_length("word").between(1, LEXICON_BYTES - 1))
-    top = words.groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(most)
-    return [" " + r[0] for r in top.select("word").collect()]
+    return [" " + r[0] for r in words.groupBy("word").count().where(F.col("count") >= max(2, held / frequent)).select("word").collect()]
 
 
 def ship_lexicon(docs: DataFrame, tokenizer: str, text: str = "text") -> str:
     """Compiles the frequent words of ``docs`` and gives the name under which executors find the file."""
     words = frequent_words(docs, text)
     ids, starts = encode_words(bpe.load(tokenizer), words)
-    place = Path(tempfile.mkdtemp(prefix="panelwright-")) / f"lexicon-{uuid.uuid4().hex}.bin"
-    compile_lexicon({w.encode(): ids[a:b].tolist() for w, a, b in zip(words, starts, starts[1:], strict=False)}, str(place))
-    docs.sparkSession.sparkContext.addFile(str(place))
-    return place.name
+    store, top = fs.FileSystem.from_uri(shared_dir(docs.sparkSession))
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    with store.open_output_stream(f"{top}/{name}") as out:
+        out.write(compile_lexicon({w.encode(): ids[a:b].tolist() for w, a, b in zip(words, starts, starts[1:], strict=False)}))
+    docs.sparkSession.sparkContext.addFile(f"{shared_dir(docs.sparkSession).rstrip('/')}/{name}")
+    return name
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids``: the tokens of the whole text as the tokenizers library gives them, without added ones.
 
-    Frequent words (``LEXICON_WORDS``, counted over all of ``docs``) come from a minimal acyclic
+    Frequent words (by their share, counted over all of ``docs``) come from a minimal acyclic
     transducer that each executor maps into memory; all other words are merged exactly, so the
     lexicon's make-up never changes a result.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 import numpy as np
 
 
@@ -19,8 +17,8 @@ class _State:
         return self.final, *((b, id(s)) for b, s in self.edges.items())
 
 
-def compile_lexicon(words: dict[bytes, list[int]], path: str) -> None:
-    """Writes the transducer of ``words`` (word to its ids) to ``path``, to be mapped by ``Lexicon``.
+def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
+    """The transducer of ``words`` (word to its ids) as the content of a file that ``Lexicon`` maps.
 
     Words go in sorted order; each state that can't change any more is replaced by an equal one, so
     the automaton is minimal. A word's output is found by its number: each transition carries the
@@ -80,10 +78,7 @@ def compile_lexicon(words: dict[bytes, list[int]], path: str) -> None:
     offsets = np.concatenate([[0], np.cumsum([len(words[w]) for w in ordered])]).astype(np.int64)
     arrays = [np.array(x, np.int64)[order] for x in (keys, targets, skips)]
     arrays += [np.array([s.final for s in states], np.int64), offsets, np.array([i for w in ordered for i in words[w]], np.int64)]
-    with Path(path).open("wb") as out:
-        np.array([len(a) for a in arrays], np.int64).tofile(out)
-        for a in arrays:
-            a.tofile(out)
+    return b"".join(a.tobytes() for a in (np.array([len(a) for a in arrays], np.int64), *arrays))
 
 
 class Lexicon:
