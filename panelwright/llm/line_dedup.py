@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ LANES = 16
 BANDS = [[4 * i + j for j in range(4)] for i in range(4)] + [[4 * i + j for i in range(4)] for j in range(4)] + [[4 * i + (i ^ j) for i in range(4)] for j in range(4)]
 #: Rows up to which a side is broadcast (8 to 60 bytes each); beyond that the join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Buckets with up to this many lines outside their largest proven group are tried in all pairs that aren't linked yet; others are split by shingles first.
+PAIRED = 2048
 
 
 def _salt(lane: int) -> int:
@@ -58,37 +62,116 @@ def _set_of(wide: Column) -> Column:
     return F.array_distinct(F.transform(_places(wide), lambda p: F.xxhash64(_shingle(wide, p))))
 
 
+def _bands(lines: DataFrame) -> DataFrame:
+    """``(line, band)``: the 12 buckets of every distinct line, as hashes of a band's number and its lanes."""
+    wide = lines.select("line", F.encode("norm", "UTF-16BE").alias("wide"))
+    each = wide.select("line", "wide", F.explode(_places(F.col("wide"))).alias("place"))
+    each = each.select("line", F.hash(_shingle(F.col("wide"), F.col("place"))).alias("h"))
+    signed = each.groupBy("line").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_salt(i)))).alias(f"m{i}") for i in range(LANES)])
+    return signed.select("line", F.explode(F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in lanes]) for b, lanes in enumerate(BANDS)])).alias("band"))
+
+
+def _bodies(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(line, norm)`` of the lines in ``wanted``, which is checkpointed and holds each once."""
+    return lines.select("line", "norm").join(_sized(wanted, wanted.count()), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm"))
+
+
+def _alike(sets: DataFrame) -> DataFrame:
+    """The pairs ``(u, v)`` whose shingle sets ``a`` and ``b`` are similar enough."""
+    counted = F.struct(F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
+    over, under = SIMILAR
+    return sets.select("u", "v", F.inline(F.array(counted))).where(F.col("both") * under >= (F.col("sum") - F.col("both")) * over).select("u", "v")
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1.05))).cast("int")
+
+
+def _prefix_keys(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(key, line, root, n)``: large buckets' rows ``(band, line, root)`` under keys of which two lines that are alike share one.
+
+    Sets of ``n`` and ``m`` shingles that are alike share ``t = ceil(4 (n + m) / 9)`` of them, so in
+    any one order of shingles they share one among the first ``n - t + 1`` and ``m - t + 1``. The
+    order is by how many lines of the bucket have a shingle, rarest first. A key is the bucket, such
+    a shingle, and both lines' size classes (5 % wide), which keep these prefixes short.
+    """
+    each = rows.join(sets, "line").select("band", "line", "root", "n", F.explode("shingles").alias("h"))
+    often = each.groupBy("band", "h").agg(F.count("*").alias("often"))
+    placed = each.join(often, ["band", "h"])
+    ordered = placed.groupBy("band", "line", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("order"))
+    least, most = F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]), F.floor(F.col("n") * SIMILAR[1] / SIMILAR[0])
+    mine = ordered.withColumn("mine", _size_class(F.col("n"))).withColumn("theirs", F.explode(F.sequence(_size_class(least), _size_class(most))))
+    low = F.greatest(least, F.ceil(F.pow(F.lit(1.05), F.col("theirs"))) - 1)  # one less than the class's least size, for rounding
+    shared = F.ceil((F.col("n") + low) * SIMILAR[0] / sum(SIMILAR))
+    prefix = F.slice("order", F.lit(1), F.greatest(F.lit(1), F.col("n") - shared + 1).cast("int"))
+    keyed = mine.select("band", "line", "root", "n", "mine", "theirs", F.explode(prefix).alias("s")).where("s.often > 1")
+    return keyed.select(F.xxhash64("band", "s.h", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), "line", "root", "n")
+
+
+def _across(keyed: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of lines under one key that have different roots and sizes near enough to be alike.
+
+    The lines of a key's most frequent root are only met by others, so that a large group which is
+    proven alike isn't paired with itself; at most twice the wanted pairs are looked at.
+    """
+    held = keyed.groupBy("key", "root").agg(F.count("*").alias("held"))
+    main = held.groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    rows = checkpoint(keyed.join(main, "key"))
+    a = rows.where("root <> main").select("key", F.col("line").alias("p"), F.col("root").alias("root_p"), F.col("n").alias("n_p"))
+    b = rows.select("key", F.col("line").alias("q"), F.col("root").alias("root_q"), F.col("n").alias("n_q"), "main")
+    near = F.least("n_p", "n_q") * SIMILAR[1] >= F.greatest("n_p", "n_q") * SIMILAR[0]
+    met = a.join(b, "key").where((F.col("root_p") != F.col("root_q")) & ((F.col("root_q") == F.col("main")) | (F.col("p") < F.col("q"))) & near)
+    return met.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
+
+
+def _rest(lines: DataFrame, bands: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(line, group)`` after all pairs of a bucket that ``groups`` leaves apart have been verified too."""
+    sized = bands.groupBy("band").agg(F.count("*").alias("held")).where("held > 3").drop("held")  # chain and head are all pairs of three
+    rooted = bands.join(sized, "band").join(groups, "line", "left").select("band", "line", F.coalesce("group", "line").alias("root"))
+    roots = rooted.groupBy("band", "root").agg(F.count("*").alias("held"))
+    mixed = roots.groupBy("band").agg((F.sum("held") - F.max("held")).alias("apart")).where("apart > 0")
+    rooted = checkpoint(rooted.join(mixed, "band"))
+    if not rooted.take(1):
+        return groups
+    bodies = _bodies(lines, checkpoint(rooted.select("line").distinct())).select("line", F.encode("norm", "UTF-16BE").alias("wide"))
+    sets = checkpoint(bodies.select("line", F.inline(F.array(F.struct(_set_of(F.col("wide")).alias("shingles"))))).select("line", "shingles", F.size("shingles").alias("n")))
+    keyed = rooted.where(F.col("apart") <= PAIRED).join(sets.select("line", "n"), "line").select(F.col("band").alias("key"), "line", "root", "n")
+    large = rooted.where(F.col("apart") > PAIRED)
+    if large.take(1):
+        keyed = keyed.unionByName(_prefix_keys(large, sets))
+    pairs = _across(keyed).join(links, ["u", "v"], "left_anti")
+    a, b = (sets.select(F.col("line").alias(x), F.col("shingles").alias(y)) for x, y in ("ua", "vb"))
+    found = _alike(pairs.join(a, "u").join(b, "v"))
+    u, v = (rooted.select(F.col("line").alias(x), F.col("root").alias(f"root_{x}")).distinct() for x in "uv")
+    joined = connected_components(found.join(u, "u").join(v, "v").select("root_u", "root_v"), "root_u", "root_v")
+    joined = checkpoint(joined.select(F.col("node").alias("group"), "component"))
+    moved = groups.join(joined, "group", "left").select("line", F.coalesce("component", "group").alias("group"))
+    return moved.unionByName(joined.select(F.col("group").alias("line"), F.col("component").alias("group"))).distinct()
+
+
 def duplicate_lines(lines: DataFrame) -> DataFrame:
     """``(line, group, keeper)`` for each line that occurs twice or has a near duplicate.
 
     ``group`` is the smallest line hash of its component, ``keeper`` the smallest document key
     that holds any line of the component.
     """
-    wide = lines.select("line", F.encode("norm", "UTF-16BE").alias("wide"))
-    each = wide.select("line", "wide", F.explode(_places(F.col("wide"))).alias("place"))
-    each = each.select("line", F.hash(_shingle(F.col("wide"), F.col("place"))).alias("h"))
-    signed = each.groupBy("line").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_salt(i)))).alias(f"m{i}") for i in range(LANES)])
-    bands = signed.select("line", F.explode(F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in lanes]) for b, lanes in enumerate(BANDS)])).alias("band"))
-    # A bucket's lines are linked in a chain and to one of them, in an order that differs by band: two links a line, not all pairs.
+    bands = checkpoint(_bands(lines))
+    # First a bucket's lines are linked in a chain and to one of them, in an order that differs by band; then the pairs that this leaves apart are tried.
     order = W.partitionBy("band").orderBy(F.xxhash64("line", "band"))
     met = bands.select("line", F.lag("line").over(order).alias("last"), F.first("line").over(order).alias("head")).where("last is not null")
     met = met.select("line", F.explode(F.array("last", "head")).alias("other"))
     links = checkpoint(met.select(F.least("line", "other").alias("u"), F.greatest("line", "other").alias("v")).where("u <> v").distinct())
 
-    ends = checkpoint(links.select(F.explode(F.array("u", "v")).alias("line")).distinct())
-    n_ends = ends.count()
-    bodies = lines.select("line", "norm").join(_sized(ends, n_ends), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm"))
+    bodies = _bodies(lines, checkpoint(links.select(F.explode(F.array("u", "v")).alias("line")).distinct()))
     u, v = (bodies.select(F.col("line").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "uv")
     wide_pairs = links.join(u, "u").join(v, "v").select("u", "v", F.encode("norm_u", "UTF-16BE").alias("wide_u"), F.encode("norm_v", "UTF-16BE").alias("wide_v"))
     # Generators keep the optimizer from moving these steps into the join's condition, where each shingle would encode its line anew.
     sets = wide_pairs.select("u", "v", F.inline(F.array(F.struct(_set_of(F.col("wide_u")).alias("a"), _set_of(F.col("wide_v")).alias("b")))))
-    counted = F.struct(F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
-    sized = sets.select("u", "v", F.inline(F.array(counted)))
-    over, under = SIMILAR
-    groups = connected_components(sized.where(F.col("both") * under >= (F.col("sum") - F.col("both")) * over).select("u", "v"))
+    groups = connected_components(_alike(sets)).select(F.col("node").alias("line"), F.col("component").alias("group"))
+    groups = _rest(lines, bands, links, groups)
 
     counted = lines.groupBy("line").agg(F.min("_key").alias("keeper"), F.count("*").alias("copies"))
-    member = counted.join(groups.select(F.col("node").alias("line"), F.col("component").alias("group")), "line", "left").where("copies > 1 or group is not null")
+    member = counted.join(groups, "line", "left").where("copies > 1 or group is not null")
     member = checkpoint(member.select("line", "keeper", F.coalesce("group", "line").alias("group")))
     return member.join(member.groupBy("group").agg(F.min("keeper").alias("first")), "group").select("line", "group", F.col("first").alias("keeper"))
 
@@ -101,8 +184,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     link; of each connected component one line stays: the first in the document with the smallest
     id, so whole copies of a document empty the later copy, not both. Blank lines always stay.
 
-    Candidates come from 12 bands of 4 MinHash lanes, every candidate is verified on its whole
-    shingle sets, and components are found by joins. Lines equal in their comparison form (by a
+    Candidates are all pairs of lines that meet in one of 12 bands of 4 MinHash lanes and that links
+    found before don't join already; large buckets are split by an exact prefix filter. Every
+    candidate is verified on its whole shingle sets, and components are found by joins. Lines equal in their comparison form (by a
     64-bit hash) are one class from the start and pre-aggregated before they are shuffled.
 
     Null text stays null with 0 lines; empty text stays empty. Rows that repeat id and text are one

@@ -62,6 +62,31 @@ def test_line_dedup_against_brute_force(spark, docs, rows):
     assert sum(r["n_dropped"] for r in got.values()) > 50
 
 
+@pytest.mark.parametrize("paired", [2048, 4])
+def test_line_dedup_tries_all_pairs_of_a_bucket(spark, monkeypatch, paired):
+    """Many families with one long passage at 0.65 and a near copy each: every pair that meets in a bucket and is alike is linked."""
+    monkeypatch.setattr(line_dedup, "PAIRED", paired, raising=False)
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    passage = word(160)
+    norms = [passage + family + word(8) for family in (word(15) for _ in range(250)) for _ in range(2)]
+    lines = spark.createDataFrame([(i, i, 0, x) for i, x in enumerate(norms)], "_key long, _hash long, pos int, norm string").selectExpr("*", "xxhash64(norm) AS line")
+    found = lines.collect()
+    place = {r["line"]: r["_key"] for r in found}
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in norms]
+    alike = {(i, j) for j in range(len(norms)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert 200 < len(alike) < 2000
+    got = {place[r["line"]]: place[r["group"]] for r in line_dedup.duplicate_lines(lines).collect()}
+    buckets = {}
+    for r in line_dedup._bands(lines).collect():
+        buckets.setdefault(r["band"], set()).add(place[r["line"]])
+    meets = {p for p in alike if any(p[0] in b and p[1] in b for b in buckets.values())}
+    assert max(map(len, buckets.values())) > 50
+    want = _groups(len(norms), meets)
+    same = lambda groups: {(i, j) for j in range(len(norms)) for i in range(j) if groups[i] == groups[j]}
+    assert len(meets) > 0.9 * len(alike) and same([got.get(i, -1 - i) for i in range(len(norms))]) == same(want)
+
+
 def test_line_dedup_edges(spark, docs, clashing, empty):
     got = line_dedup.dedup_lines(docs)
     assert got.count() == docs.count() and got.where("doc_id = 900001 and text is null and n_lines = 0").count() == 1
