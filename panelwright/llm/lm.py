@@ -28,8 +28,8 @@ MERGES = VOCABULARY - 257
 WINDOW, STEP = 24, 16
 #: The softmax has two levels: 32 classes of 64 subwords.
 CLASSES, MEMBERS = 32, 64
-#: Rounds of local descent, each over its own part of the training documents; one in so many windows is trained on.
-ROUNDS, ONE_IN, BATCH = 3, 16, 64
+#: Rounds of local descent, each over all windows of its own part of the training documents.
+ROUNDS, BATCH = 3, 64
 #: Words that are one in so many of the training corpus or more (no more than that many can be) have
 #: their counts on every executor; counts of rarer words are joined.
 HEAD_SHARE = 1 << 19
@@ -322,17 +322,16 @@ def _training(tokenizer: str, model: Model, rate: float, seed: int) -> Callable[
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
 
         def windows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            held: list[np.ndarray] = []
+            held = np.zeros((2, 0, WINDOW), np.int32)
             for part in slices(batches, "_body"):
-                ids, starts = subwords.encode([_passages(words_of(t), rng) for t in texts(part.column("_body"))])
-                for a, b in zip(starts, starts[1:], strict=False):
-                    held += [ids[i : min(i + WINDOW, b)] for i in range(a, b, WINDOW)]
-                rng.shuffle(held)
-                while len(held) >= BATCH:
-                    yield _batch(held[:BATCH])
-                    del held[:BATCH]
-            if held:
-                yield _batch(held)
+                made = _windows(*subwords.encode([words_of(t) for t in texts(part.column("_body"))]))
+                held = np.concatenate([held, rng.permutation(made, axis=1)], axis=1)
+                full = held.shape[1] // BATCH * BATCH
+                for i in range(0, full, BATCH):
+                    yield held[0, i : i + BATCH], held[1, i : i + BATCH]
+                held = held[:, full:]
+            if held.shape[1]:
+                yield held[0], held[1]
 
         tokens = descend(mine, windows(), rate)
         if tokens:
@@ -344,14 +343,12 @@ def _training(tokenizer: str, model: Model, rate: float, seed: int) -> Callable[
     return run
 
 
-def _passages(words: list[bytes], rng: np.random.Generator) -> list[bytes]:
-    """Of each stretch of 16 passages of 16 words one, at a random place of the whole text; the whole of a short text."""
-    size = STEP * ONE_IN
-    out: list[bytes] = []
-    for i in range(0, len(words), size):
-        at = i + int(rng.integers(0, max(1, min(size, len(words) - i) - STEP + 1)))
-        out += words[at : at + STEP]
-    return out
+def _windows(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Inputs and targets (2, n, WINDOW) of all windows of texts: each token is a target once, after the tokens before it in its text."""
+    inputs, own, _ = blocks(ids, starts)
+    targets = np.full_like(inputs, PAD)
+    targets[:, WINDOW - STEP :] = own
+    return np.stack([inputs, targets])
 
 
 def _batch(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -367,8 +364,8 @@ def train(docs: DataFrame, counts: DataFrame, n_docs: int, tokenizer: str, text:
     """The model of all ``docs``: biases from all their subwords, the rest by rounds of local descent.
 
     In each round every task descends from the common weights over its documents of that round (a
-    third of them by a hash of the id), on one in ``ONE_IN`` passages drawn over each whole text;
-    the weights are averaged by tokens in a grouped sum and begin the next round.
+    third of them by a hash of the id), on every window of each text, so that the rounds make one pass
+    over all tokens; the weights are averaged by tokens in a grouped sum and begin the next round.
     """
     found = counts.mapInArrow(_subword_counts(tokenizer), "id int, count bigint").groupBy("id").agg(F.sum("count").alias("count")).collect()
     held = np.zeros(VOCABULARY)

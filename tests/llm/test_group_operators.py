@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 
@@ -262,6 +263,22 @@ def test_lm_learns():
     assert after < before / 2
 
 
+def test_lm_trains_on_every_token_after_its_predecessors(spark):
+    """All tokens of long and short texts are targets once, with an end at real ends only."""
+    stream = np.random.default_rng(5).integers(0, lm.END, 75)
+    inputs, targets = lm._windows(np.concatenate([stream, [lm.END], [lm.END]]), np.array([0, 76, 77]))
+    live = targets != lm.PAD
+    assert targets[live].tolist() == [*stream, lm.END, lm.END]
+    assert inputs[live].tolist() == [lm.END, *stream, lm.END]
+    assert inputs[2].tolist() == stream[32 - 9 : 32 - 9 + lm.WINDOW].tolist()
+    texts = [" ".join(f"word{i}" for i in range(700)), "one two", "", None]
+    one = spark.createDataFrame([(t,) for t in texts], "_body string").coalesce(1)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    wanted = len(lm.Subwords(tokenizer).encode([lm.words_of(t or "") for t in texts])[0])
+    run = lm._training(tokenizer, lm.initial(np.ones(lm.VOCABULARY)), 0.01, 0)
+    assert one.mapInArrow(run, "at int, weighted double, tokens bigint").first()["tokens"] == wanted > 1400
+
+
 def test_pipeline(spark, folder, docs, rows):
     import corpus_pipeline as C
 
