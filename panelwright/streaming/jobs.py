@@ -60,7 +60,7 @@ def _rsi(n: int) -> Callable[[tuple[Any, ...], Iterator[pd.DataFrame], Any], Ite
 
 def online_rsi(events: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's index per type over a stream in time order; four numbers are the state of a type."""
-    slim = events.where("user_id % 12 = 0").select(F.col("event_type").alias("symbol"), "ts", "value")
+    slim = events.select(F.col("event_type").alias("symbol"), "ts", "value")
     made = slim.groupBy("symbol").applyInPandasWithState(_rsi(n), "symbol string, ts timestamp, rsi double", "previous double, seen long, gain double, loss double", "append", "NoTimeout")
     return made.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 

@@ -36,6 +36,23 @@ def test_matches_sql(spark, duck, name):
         assert all(u == v or (isinstance(u, float) and isinstance(v, float) and math.isclose(u, v, rel_tol=1e-6, abs_tol=2e-4)) for u, v in zip(x, y, strict=True)), (x, y)
 
 
+def test_online_rsi_over_all_users(spark):
+    """The whole stream against the plain recursion."""
+    got = {(r["symbol"], r["ts"]): r["rsi"] for r in registry.queries()["st_online_rsi_all"](spark, SF).collect()}
+    series, want = {}, {}
+    for symbol, ts, value in sorted(duckdb.sql(f"SELECT event_type, ts, value FROM '{SF}/events.parquet'").fetchall()):
+        series.setdefault(symbol, []).append((ts, value))
+    for symbol, rows in series.items():
+        gain = loss = 0.0
+        for k, (ts, value) in enumerate(rows):
+            if k:
+                up, down = max(value - rows[k - 1][1], 0), max(rows[k - 1][1] - value, 0)
+                gain, loss = (gain + up / 14, loss + down / 14) if k <= 14 else (gain + (up - gain) / 14, loss + (down - loss) / 14)
+            want[symbol, ts] = None if k < 14 else 50.0 if gain + loss == 0 else 100 * gain / (gain + loss)
+    assert got.keys() == want.keys()
+    assert all(got[k] == v or math.isclose(got[k], v, rel_tol=1e-6, abs_tol=2e-4) for k, v in want.items())
+
+
 def test_queries_without_sql_have_stable_rows(spark):
     for name in set(registry.queries()) - set(registry.oracle_sql()):
         assert registry.queries()[name](spark, SF).count() > 0
