@@ -84,10 +84,16 @@ SELECT symbol, ts, funding_status, CASE WHEN funding_status = 'valid' THEN coale
     "funding_sum",
 )
 def p_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of irregular funding events over 24 hours with their status."""
+    """Sums of irregular funding events over 24 hours with their status, for every sixth hour as in its SQL."""
+    return p_funding_all(spark, sf_dir).where(F.hour("ts") % 6 == 0)
+
+
+@query("p_funding_windows_all", rounded="funding_sum")
+def p_funding_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of irregular funding events over 24 hours with their status, for every bar; its range join is too costly for SQL."""
     e = table(spark, sf_dir, "events")
     funding = e.select(F.col("event_type").alias("symbol"), F.col("ts").alias("event_ts"), F.when(F.col("event_id") % 41 != 0, F.col("value") / 10000).alias("rate"), F.lit(8.0).alias("interval_hours"))
-    left = ev_bars(spark, sf_dir).where(F.hour("ts") % 6 == 0).select("symbol", "ts", _available().alias("available_at"))
+    left = ev_bars(spark, sf_dir).select("symbol", "ts", _available().alias("available_at"))
     return P.funding_window(left, funding, 24).select("symbol", "ts", "funding_status", "funding_sum")
 
 
