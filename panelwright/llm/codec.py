@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import bpe
 from panelwright.llm.lexicon import Lexicon, compile_lexicon
-from panelwright.llm.runtime import shared_dir, slices, texts
+from panelwright.llm.runtime import map_arrow, shared_dir, slices, texts, with_text
 
 #: A word is frequent if it makes up one in so many bytes of the corpus, its blank not counted. Each
 #: occurrence takes two bytes with its blank, so at most half as many words are, whatever the corpus.
@@ -97,11 +97,11 @@ def _encoder(tokenizer: str, lexicon: str) -> Encoder:
     return Encoder(tokenizer, Lexicon(SparkFiles.get(lexicon)))
 
 
-def _encoding(tokenizer: str, lexicon: str, kept: list[str], back: bool = False) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoding(tokenizer: str, lexicon: str, text: str, kept: list[str], back: bool = False) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, lexicon)
-        for part in slices(batches, "_body", 2 << 20):
-            ids, starts = encoder.encode(texts(part.column("_body")))
+        for part in slices(batches, text, 1 << 20):
+            ids, starts = encoder.encode(texts(part.column(text)))
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
             columns, names = [*(part.column(c) for c in kept), lists], [*kept, "ids"]
             if back:
@@ -130,20 +130,19 @@ def ship_lexicon(docs: DataFrame, tokenizer: str, text: str = "text") -> str:
     return name
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``: the tokens of the whole text as the tokenizers library gives them, without added ones.
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (its columns in ``keep``, all by default) with ``ids``: the tokens of the whole text as the tokenizers library gives them, without added ones.
 
     Frequent words (by their share, counted over all of ``docs``) come from a minimal acyclic
     transducer that each executor maps into memory; all other words are merged exactly, so the
     lexicon's make-up never changes a result.
 
     Null encodes as the empty text, to no ids. A column named ``ids`` is replaced; others pass
-    through. Rows are independent; an empty table gives an empty one.
+    through. Rows are independent; an empty table gives an empty one. A long text is encoded whole
+    and alone, in memory in proportion to it.
     """
-    docs = docs.drop("_body", "ids")
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + ", ids array<int>"
-    lexicon = ship_lexicon(docs, tokenizer, text)
-    return docs.withColumn("_body", F.col(text)).mapInArrow(_encoding(tokenizer, lexicon, docs.columns), schema)
+    sent, kept, schema = with_text(docs.drop("ids"), text, keep)
+    return map_arrow(sent, _encoding(tokenizer, ship_lexicon(sent, tokenizer, text), text, kept), f"{schema}, ids array<int>")
 
 
 @lru_cache(maxsize=2)
@@ -177,14 +176,17 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``: the text of their ids, special tokens included; null ids decode as the empty text."""
     rows = rows.drop("decoded")
     schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) + ", decoded string"
-    return rows.mapInArrow(_decoding(tokenizer, rows.columns, ids), schema)
+    return map_arrow(rows, _decoding(tokenizer, rows.columns, ids), schema)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` and the text ``decoded`` from them, in one pass: ids needn't travel to be decoded."""
-    docs = docs.drop("_body", "ids", "decoded")
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + ", ids array<int>, decoded string"
-    return docs.withColumn("_body", F.col(text)).mapInArrow(_encoding(tokenizer, ship_lexicon(docs, tokenizer, text), docs.columns, True), schema)
+def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (its columns in ``keep``, all by default) with ``ids`` and the text ``decoded`` from them, in one pass.
+
+    Nulls, empty and long texts, repeats, empty tables and clashing names are as in ``encode``.
+    """
+    sent, kept, schema = with_text(docs.drop("ids", "decoded"), text, keep)
+    lexicon = ship_lexicon(sent, tokenizer, text)
+    return map_arrow(sent, _encoding(tokenizer, lexicon, text, kept, True), f"{schema}, ids array<int>, decoded string")
 
 
 def digests(rows: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.runtime import checkpoint, slices, texts
+from panelwright.llm.runtime import checkpoint, map_arrow, slices, texts, with_text
 
 WINDOW, HIT_SHARE = 13, 20
 #: Benchmark text that one automaton may hold; a larger benchmark is scanned in blocks of this size.
@@ -69,38 +71,69 @@ def scan(automaton: ahocorasick.Automaton | None, text: str) -> tuple[int, np.nd
     return len(words), np.cumsum(change[:-1]) > 0, {item for _, value in found for item in value[1]}
 
 
+def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of true marks begins and ends."""
+    edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
+    return [*zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+
+
 def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     """Character ranges of the original text that the runs of hit words cover."""
     if not hit.any():
         return []
     original = np.frombuffer(text.encode(), np.uint8)
     body = np.frombuffer(text.encode().translate(_NORMAL), np.uint8) != 32
-    edge = np.diff(np.concatenate([[0], body.astype(np.int8), [0]]))
-    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    run = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    words = _runs(body)
     char = np.concatenate([[0], np.cumsum((original & 0xC0) != 0x80)])
-    return [(int(char[starts[a]]), int(char[stops[b - 1]])) for a, b in zip(np.flatnonzero(run == 1), np.flatnonzero(run == -1), strict=True)]
+    return [(int(char[words[a][0]]), int(char[words[b - 1][1]])) for a, b in _runs(hit)]
+
+
+_built: dict[str, ahocorasick.Automaton | None] = {}
+
 
+def _automaton(job: str, items: Broadcast) -> ahocorasick.Automaton | None:
+    """The automaton of a block of items, built once by each Python worker."""
+    if job not in _built:
+        _built.clear()
+        _built[job] = build_automaton(items.value)
+    return _built[job]
 
-def _scanner(items: list[tuple[object, str | None]], kept: list[str]):
+
+def _scanner(job: str, items: Broadcast, text: str, kept: list[str], last: bool):
     """A function for ``mapInArrow``: adds what one block of items hits to what earlier blocks have found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(items)
-        for part in slices(batches, "_body"):
-            before = part.column("hits").to_pylist(), part.column("items").to_pylist()
+        automaton = _automaton(job, items)
+        for part in slices(batches, text):
+            before = part.column("_hit").to_pylist(), part.column("items").to_pylist()
             hits, names, counts = [], [], []
-            for text, had, ids in zip(texts(part.column("_body")), *before, strict=True):
-                n, hit, found = scan(automaton, text)
-                hits.append(sorted({*(had or ()), *np.flatnonzero(hit).tolist()}))
+            for body, had, ids in zip(texts(part.column(text)), *before, strict=True):
+                n, hit, found = scan(automaton, body)
+                if had:
+                    hit = hit if len(hit) else np.zeros(n, bool)
+                    for run_of in had:
+                        hit[run_of["start"] : run_of["stop"]] = True
+                hits.append((body, hit))
                 names.append(sorted({*(ids or ()), *map(str, found)}))
                 counts.append(n)
-            columns = [part.column(c) for c in kept] + [pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "hits", "items", "n_words"])
+            columns, labels = [*(part.column(c) for c in kept), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.int64())], [*kept, "items", "n_words"]
+            if last:
+                columns += [pa.array([_ranges(spans(body, hit)) for body, hit in hits], _RANGES), pa.array([int(hit.sum()) for _, hit in hits], pa.int64())]
+                labels += ["spans", "n_hit"]
+            else:
+                columns, labels = [*columns, pa.array([_ranges(_runs(hit)) for _, hit in hits], _RANGES)], [*labels, "_hit"]
+            yield pa.RecordBatch.from_arrays(columns, labels)
 
     return run
 
 
+_RANGES = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def _ranges(pairs: Iterable[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"start": a, "stop": b} for a, b in pairs]
+
+
 def blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[object, str | None]]]:
     """The benchmark in blocks of about ``most`` bytes, streamed to the driver one partition at a time."""
     block, held = [], 0
@@ -114,33 +147,37 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator
         yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``n_words``, ``hits`` (numbers of hit words), ``items`` (ids as strings, sorted), ``n_hit``, ``contaminated``.
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (its columns in ``keep``, all by default) with ``n_words``, ``spans``, ``items`` (ids as strings, sorted), ``n_hit``, ``contaminated``.
 
     Words are runs of a-z (A-Z lowered), 0-9 and non-ASCII characters. A window is 13 consecutive
     words of an item, or the whole of a shorter item. A word inside an occurrence of a window is
-    hit; a row is contaminated if a twentieth of its words or more are. ``spans`` gives the
-    character ranges of hit words in the original.
+    hit; a row is contaminated if a twentieth of its words or more are. ``spans`` has the ranges of
+    the original text, ``start`` to ``stop`` in characters, that runs of hit words cover.
 
     The automaton holds up to ``block_bytes`` of benchmark text; a larger benchmark is cut into
     blocks, each scanned in a pass that adds to the hits of the one before, so no window is lost.
 
     Null or empty text has no words and isn't contaminated; null or empty items have no windows;
-    items that repeat each count by id. Empty tables work. The names of the added columns are
+    items that repeat each count by id. A long text is scanned whole, in memory in proportion to it.
+    Repeated rows come out repeated; empty tables work. The names of the added columns are
     replaced if present; other columns pass through.
     """
-    mine = ["_body", "hits", "items", "n_words", "n_hit", "contaminated"]
-    docs = docs.drop(*mine)
-    found = docs.withColumn("_body", F.col(text)).withColumns({"hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")})
-    kept = [*docs.columns, "_body"]
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in found.dtypes)
-    many = 0
-    for block in itertools.chain(blocks(benchmark, item_id, item_text, block_bytes), [[]]):
-        if many and not block:  # the empty block at the end is for a benchmark without any
-            break
-        many += 1
-        found = found.mapInArrow(_scanner(block, kept), schema)
-        if many % 4 == 0:  # a plan of few Python passes at a time
-            found = checkpoint(found)
-    n_hit = F.size("hits").cast("long")
-    return found.drop("_body").withColumns({"n_hit": n_hit, "contaminated": (n_hit > 0) & (HIT_SHARE * n_hit >= F.col("n_words"))})
+    spark = docs.sparkSession
+    sent, kept, schema = with_text(docs.drop("_hit", "items", "n_words", "spans", "n_hit", "contaminated"), text, keep)
+    sent_schema = ", ".join(f"`{c}` {kind}" for c, kind in sent.dtypes)
+    ranges = "array<struct<start:int,stop:int>>"
+    found = sent.withColumns({"_hit": F.array().cast(ranges), "items": F.array().cast("array<string>")})
+    many, held = 0, None
+    for block in itertools.chain(blocks(benchmark, item_id, item_text, block_bytes), [None]):
+        if held is not None or block is None:  # one block behind, as the last one ends with spans
+            job, items = uuid.uuid4().hex, spark.sparkContext.broadcast(held or [])
+            if block is None:
+                found = map_arrow(found, _scanner(job, items, text, kept, True), f"{schema}, items array<string>, n_words bigint, spans {ranges}, n_hit bigint")
+            else:
+                found = map_arrow(found, _scanner(job, items, text, sent.columns, False), f"{sent_schema}, items array<string>, n_words bigint, _hit {ranges}").drop("n_words")
+                many += 1
+                if many % 4 == 0:  # a plan of few Python passes at a time
+                    found = checkpoint(found)
+        held = block
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from panelwright.llm import bpe
 from panelwright.llm.codec import encode_words, ragged
 from panelwright.llm.quality_gam import fold
-from panelwright.llm.runtime import checkpoint, slices, texts
+from panelwright.llm.runtime import checkpoint, map_arrow, slices, texts
 from panelwright.llm.simhash import _LOWER
 
 #: Subwords: the byte alphabet and the first merges of the public tokenizer; the last id ends a text.
@@ -367,7 +367,7 @@ def train(docs: DataFrame, counts: DataFrame, n_docs: int, tokenizer: str, text:
     third of them by a hash of the id), on every window of each text, so that the rounds make one pass
     over all tokens; the weights are averaged by tokens in a grouped sum and begin the next round.
     """
-    found = counts.mapInArrow(_subword_counts(tokenizer), "id int, count bigint").groupBy("id").agg(F.sum("count").alias("count")).collect()
+    found = map_arrow(counts, _subword_counts(tokenizer), "id int, count bigint").groupBy("id").agg(F.sum("count").alias("count")).collect()
     held = np.zeros(VOCABULARY)
     for row in found:
         held[row["id"]] = row["count"]
@@ -375,7 +375,7 @@ def train(docs: DataFrame, counts: DataFrame, n_docs: int, tokenizer: str, text:
     model = initial(held)
     for k in range(ROUNDS):
         part = docs.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(ROUNDS)) == k).select(F.col(text).alias("_body"))
-        sums = part.mapInArrow(_training(tokenizer, model, 0.01 / (k + 1), k), "at int, weighted double, tokens bigint").groupBy("at").agg((F.sum("weighted") / F.sum("tokens")).alias("weight"))
+        sums = map_arrow(part, _training(tokenizer, model, 0.01 / (k + 1), k), "at int, weighted double, tokens bigint").groupBy("at").agg((F.sum("weighted") / F.sum("tokens")).alias("weight"))
         new = sums.toArrow()
         if new.num_rows:
             model.flat[new.column("at").to_numpy()] = new.column("weight").to_numpy().astype(np.float32)
@@ -447,7 +447,7 @@ def score_texts(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str
     head = {r["word"].encode(): float(np.log10((r["count"] + 0.5) / base)) for r in top}
     end = (int(n_docs > 0), float(np.log10((n_docs + 0.5) / base)))
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.withColumnRenamed("text", "_body").mapInArrow(_scoring(uuid.uuid4().hex, tokenizer, model, head, end), _ROW.format(kind=kind))
+    rows = map_arrow(docs.withColumnRenamed("text", "_body"), _scoring(uuid.uuid4().hex, tokenizer, model, head, end), _ROW.format(kind=kind))
     met = rows.join(counts, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     added = met.withColumns({"tail_known": F.when(F.col("count") > 0, F.col("times")).otherwise(0), "tail_score": F.col("times") * F.log10((F.col("count") + 0.5) / F.lit(base))})
     each = added.groupBy("key").agg(

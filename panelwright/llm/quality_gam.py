@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations, pairwise
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.runtime import slices, texts
+from panelwright.llm.runtime import map_arrow, slices, texts, with_text
 
 #: Labelled rows that a model is fitted on at most (those whose ids have the smallest hashes).
 TRAINING_ROWS = 20_000
@@ -189,29 +189,29 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str, rows: int, label: st
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAINING_ROWS) -> Gam:
     """The model of ``labels.quality`` over a bounded set of labelled rows; their features alone reach the driver."""
     kind = dict(docs.dtypes)["doc_id"]
-    found = labelled(docs, labels, text, rows).mapInArrow(_featured, f"doc_id {kind}, label int, x array<double>").toArrow()
+    found = map_arrow(labelled(docs, labels, text, rows), _featured, f"doc_id {kind}, label int, x array<double>").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     x = np.array(found.column("x").to_pylist(), float).reshape(len(order), len(FEATURES))[order]
     return fit(x, found.column("label").to_numpy().astype(float)[order])
 
 
-def _scoring(model: Gam, kept: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scoring(model: Gam, text: str, kept: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_body"):
-            x = np.array([features(t) for t in texts(part.column("_body"))])
+        for part in slices(batches, text):
+            x = np.array([features(t) for t in texts(part.column(text))])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(model.score(x))], [*kept, "score"])
 
     return run
 
 
-def score_quality(docs: DataFrame, model: Gam, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, how likely the label is 1) and ``predicted`` (1 from ``threshold`` on).
+def score_quality(docs: DataFrame, model: Gam, text: str = "text", threshold: float = THRESHOLD, keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (its columns in ``keep``, all by default) with ``score`` (0 to 1, how likely the label is 1) and ``predicted`` (1 from ``threshold`` on).
 
     Only the whole text enters the score. Null and empty texts have the score of a text without
     words. Columns named ``score`` or ``predicted`` are replaced, others pass through; rows are
-    independent; an empty table gives an empty one.
+    independent, so that repeated rows score alike; an empty table gives an empty one. Long texts
+    are read whole, one after another.
     """
-    docs = docs.drop("_body", "score", "predicted")
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + ", score double"
-    scored = docs.withColumn("_body", F.col(text)).mapInArrow(_scoring(model, docs.columns), schema)
+    sent, kept, schema = with_text(docs.drop("score", "predicted"), text, keep)
+    scored = map_arrow(sent, _scoring(model, text, kept), f"{schema}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

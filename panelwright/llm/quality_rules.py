@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.quality_gam import labelled
-from panelwright.llm.runtime import slices, texts
+from panelwright.llm.runtime import map_arrow, slices, texts, with_text
 
 #: Labelled rows that the regression is fitted on at most, buckets of each of the three n-gram kinds, and the threshold.
 TRAINING_ROWS, BUCKETS, THRESHOLD = 4_000, 2_048, 0.3
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TR
     kind = dict(docs.dtypes)["doc_id"]
     chosen = labelled(docs, labels, text, rows).withColumn("aside", (F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0).cast("int"))
     chosen = chosen.withColumn("label", F.col("label") + 2 * F.col("aside")).drop("aside")
-    found = chosen.mapInArrow(_hashing, f"doc_id {kind}, label int, place array<int>, value array<float>").toArrow()
+    found = map_arrow(chosen, _hashing, f"doc_id {kind}, label int, place array<int>, value array<float>").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     marks = found.column("label").to_numpy()[order]
     x = np.zeros((len(order), 3 * BUCKETS), np.float32)
@@ -152,10 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TR
     return fit(x, (marks % 2).astype(float), marks >= 2)
 
 
-def _ruling(model: Regression, kept: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _ruling(model: Regression, text: str, kept: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_body", 1 << 20):
-            bodies = texts(part.column("_body"))
+        for part in slices(batches, text, 1 << 20):
+            bodies = texts(part.column(text))
             counts = np.array([statistics(t) for t in bodies], np.int64)
             chance = np.concatenate([model.probability(np.stack([hashed(t) for t in bodies[i : i + 200]])) for i in range(0, len(bodies), 200)])
             columns = [*(part.column(c) for c in kept), *(pa.array(counts[:, i]) for i in range(5)), pa.array(chance.astype(float))]
@@ -167,17 +167,17 @@ def _ruling(model: Regression, kept: list[str]) -> Callable[[Iterable[pa.RecordB
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def apply_rules(docs: DataFrame, model: Regression, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the five counts of ``COUNTS``, ``probability``, ``base_failed`` and ``kept``.
+def apply_rules(docs: DataFrame, model: Regression, text: str = "text", threshold: float = THRESHOLD, keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (its columns in ``keep``, all by default) with the five counts of ``COUNTS``, ``probability``, ``base_failed`` and ``kept``.
 
     ``base_failed``: fewer than 10 words, or over a fifth of the words in repeated 5-word windows.
     ``kept``: not so, and the model's probability of good quality is at least ``threshold``.
 
     Null and empty texts have zero counts and fail. Added names replace columns of those names,
-    others pass through; rows are independent; an empty table gives an empty one.
+    others pass through; rows are independent, so that repeated rows are judged alike; an empty
+    table gives an empty one. Long texts are read whole, one after another.
     """
-    docs = docs.drop("_body", *COUNTS, "probability", "base_failed", "kept")
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + "".join(f", {c} bigint" for c in COUNTS) + ", probability double"
-    ruled = docs.withColumn("_body", F.col(text)).mapInArrow(_ruling(model, docs.columns), schema)
+    sent, kept, schema = with_text(docs.drop(*COUNTS, "probability", "base_failed", "kept"), text, keep)
+    ruled = map_arrow(sent, _ruling(model, text, kept), schema + "".join(f", {c} bigint" for c in COUNTS) + ", probability double")
     ruled = ruled.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return ruled.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= threshold))

@@ -16,12 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
 def op2_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
@@ -35,7 +35,7 @@ def op4_attention_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_transducer_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = codec.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    done = codec.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
     return codec.digests(done)
 
 
@@ -47,7 +47,7 @@ def op6_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pairwise_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = quality_gam.score_quality(docs, quality_gam.train(docs, _table(spark, sf_dir, "labels")))
+    scored = quality_gam.score_quality(docs, quality_gam.train(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", (quality_gam.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
@@ -61,7 +61,7 @@ def op9_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_hashed_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ruled = quality_rules.apply_rules(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
+    ruled = quality_rules.apply_rules(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
     return ruled.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "probability")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +30,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of an Arrow batch on its way to Python, unless the session sets fewer: rows of text differ in size by a factor of thousands.
+BATCH_BYTES, _BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def with_text(docs: DataFrame, text: str, keep: Sequence[str] | None) -> tuple[DataFrame, list[str], str]:
+    """What goes to Python: the columns to pass through (all, or ``keep``) and the text once; their names; their schema."""
+    kept = docs.columns if keep is None else [*keep]
+    sent = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])
+    kinds = dict(sent.dtypes)
+    return sent, kept, ", ".join(f"`{c}` {kinds[c]}" for c in kept)
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches bounded in bytes, so that neither side buffers 10,000 long texts at a time.
+
+    The bound is a setting of the session, read when the job runs; it is lowered here, never raised.
+    """
+    conf = df.sparkSession.conf
+    now = re.fullmatch(r"(\d+)b?", conf.get(_BATCH_SETTING))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each part has about ``most_bytes`` of text (one longer text stands alone)."""
     for batch in batches:

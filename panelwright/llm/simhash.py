@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.components import connected_components
-from panelwright.llm.runtime import checkpoint, slices, texts
+from panelwright.llm.runtime import checkpoint, map_arrow, slices, texts
 
 SEED, WORDS = 42, 3
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -51,7 +51,7 @@ def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, print)``: each row's fingerprint as a signed long."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_fingerprints, f"doc_id {dict(rows.dtypes)['doc_id']}, print long")
+    return map_arrow(rows, _fingerprints, f"doc_id {dict(rows.dtypes)['doc_id']}, print long")
 
 
 def _turned(start: int) -> Column:
@@ -109,7 +109,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Null and empty texts have fingerprint zero and link like any other. A null doc_id is a row of
     its class but never names a component; a class of null ids alone has a null component. Repeated
-    rows come out repeated. Other columns are ignored.
+    rows come out repeated; an empty table gives an empty one. Long texts are read whole, their
+    shingles counted in bounded parts. Other columns are ignored.
     """
     rows = checkpoint(fingerprints(docs, doc_id, text))
     classes = checkpoint(rows.groupBy("print").agg(F.min("doc_id").alias("first")))
@@ -117,25 +118,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     parts = linked.select(F.col("node").alias("print"), F.col("component"))
     named = classes.join(parts, "print").groupBy("component").agg(F.min("first").alias("least"))
     named = parts.join(named, "component").select("print", "least")
-    ids = classes.join(named, "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
+    # Written, so that the join below deals plain rows and adaptive execution can split a fingerprint with very many.
+    ids = checkpoint(classes.join(named, "print", "left").select("print", F.coalesce("least", "first").alias("component_id")))
     return rows.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Ids up to which the rows to drop are broadcast (8 bytes each for long ids).
+#: Keys up to which the rows to drop are broadcast (16 bytes each for long ids).
 BROADCAST_ROWS = 1_000_000
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest id.
 
-    Rows with a null id stay; of rows that repeat an id, those that differ in text stay.
+    A row is told by its id and its text: where an id repeats, the rows with other texts are judged
+    by themselves. Among equal ids the text's hash decides; a null id comes after all others; of
+    rows that repeat both id and text one stays. Null and empty texts are alike and form one group.
+    Long texts are read whole. An empty table gives an empty one; other columns pass through,
+    whatever their names.
     """
-    found = checkpoint(near_duplicates(docs, doc_id, text))
-    drop = checkpoint(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct())
-    n_drop = drop.count()
-    kept = docs.join(F.broadcast(drop) if n_drop <= BROADCAST_ROWS else drop, doc_id, "left_anti")
-    again = checkpoint(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id))
-    if not again.take(1):
+    hashed = F.xxhash64(F.col(text))
+    keys = docs.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), hashed.alias("hash")).alias("doc_id"), F.col(text).alias("text"))
+    found = checkpoint(near_duplicates(keys).select("doc_id", "component_id"))
+
+    def matching(rows: DataFrame, keyed: DataFrame, n: int, how: str) -> DataFrame:
+        side = (F.broadcast(keyed) if n <= BROADCAST_ROWS else keyed).select(F.col("doc_id.id").alias("_id"), F.col("doc_id.hash").alias("_text"))
+        return rows.join(side, rows[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(rows[text]) == F.col("_text")), how)
+
+    held = checkpoint(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("component_id").alias("first")))
+    drop, again = held.where("doc_id <> first"), held.where("doc_id = first and rows > 1")
+    n_drop, n_again = held.agg(F.count_if(F.expr("doc_id <> first")), F.count_if(F.expr("doc_id = first and rows > 1"))).first()
+    kept = matching(docs, drop, n_drop, "left_anti")
+    if not n_again:
         return kept
-    once = kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id, text])
-    return kept.join(again, doc_id, "left_anti").unionByName(once)
+    once = matching(kept, again, n_again, "left_semi").dropDuplicates([doc_id, text])
+    return matching(kept, again, n_again, "left_anti").unionByName(once)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import bpe
-from panelwright.llm.runtime import slices, texts
+from panelwright.llm.runtime import map_arrow, slices, texts, with_text
 
 #: Chunk counts that a Python worker remembers before it starts afresh.
 REMEMBERED = 300_000
@@ -56,28 +56,29 @@ def _counter(path: str) -> Counter:
     return Counter(path)
 
 
-def _counting(path: str, kept: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counting(path: str, text: str, kept: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
-        for part in slices(batches, "_body"):
-            counts = pa.array(counter.count(texts(part.column("_body"))), pa.int64())
-            size = pc.fill_null(pc.binary_length(part.column("_body")), 0).cast(pa.int64())
+        for part in slices(batches, text):
+            counts = pa.array(counter.count(texts(part.column(text))), pa.int64())
+            size = pc.fill_null(pc.binary_length(part.column(text)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), size, counts], [*kept, "n_bytes", "n_tokens"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 512) -> DataFrame:
-    """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more tokens than ``limit``).
+def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 512, keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (its columns in ``keep``, all by default) with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more tokens than ``limit``).
 
     ``tokenizer`` is the path of a byte-level BPE file for the tokenizers library, the same on all
     executors. Counts equal that library's without added special tokens; a special token's string
     inside a text is that one token.
 
     Null counts as the empty text: no bytes, no tokens. Added names replace columns of those
-    names; other columns pass through, rows are independent, an empty table gives an empty one.
+    names; other columns pass through, rows are independent, an empty table gives an empty one. A
+    long text is counted whole, its words merged in batches like any other's; only a single word of
+    many megabytes makes one large array.
     """
-    docs = docs.drop("_body", "n_bytes", "n_tokens", "over_limit")
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + ", n_bytes bigint, n_tokens bigint"
-    counted = docs.withColumn("_body", F.col(text)).mapInArrow(_counting(tokenizer, docs.columns), schema)
+    sent, kept, schema = with_text(docs.drop("n_bytes", "n_tokens", "over_limit"), text, keep)
+    counted = map_arrow(sent, _counting(tokenizer, text, kept), f"{schema}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
