@@ -18,6 +18,8 @@ SHINGLE, SIMILAR = 8, (4, 5)
 #: probability 0.99, at 0.9 in all but 1 of 100,000 cases.
 LANES = 16
 BANDS = [[4 * i + j for j in range(4)] for i in range(4)] + [[4 * i + j for i in range(4)] for j in range(4)] + [[4 * i + (i ^ j) for i in range(4)] for j in range(4)]
+#: Shingles that one row of the signature aggregate holds, and longs in a line's sketch (64 cells each).
+STRIDE, SKETCH = 4, 16
 #: Rows up to which a side is broadcast (8 to 60 bytes each); beyond that the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Buckets with up to this many lines outside their largest proven group are tried in all pairs that aren't linked yet; others are split by shingles first.
@@ -58,26 +60,80 @@ def _places(wide: Column) -> Column:
 
 
 def _set_of(wide: Column) -> Column:
-    """The distinct shingles of a line in two-byte characters, as 64-bit hashes; ``wide`` is a column, not computed again for each."""
-    return F.array_distinct(F.transform(_places(wide), lambda p: F.xxhash64(_shingle(wide, p))))
+    """The distinct shingles of a line in two-byte characters, as 64-bit hashes.
 
+    The line is the variable of an outer lambda: a column would be copied whole for each shingle.
+    """
+    hashes = F.transform(F.array(wide), lambda line: F.transform(_places(line), lambda p: F.xxhash64(_shingle(line, p))))
+    return F.array_distinct(F.flatten(hashes))
 
-def _bands(lines: DataFrame) -> DataFrame:
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """A row per distinct line: its lanes ``m0``.., ``keeper`` (the smallest document key) and ``copies``.
+
+    Every row of the aggregate holds ``STRIDE`` shingles, of which each lane takes the least first.
+    """
+    wide = lines.select("line", "_key", F.encode("norm", "UTF-16BE").alias("wide"))
+    wide = wide.select("*", F.greatest(F.lit(1), (F.octet_length("wide") / 2).cast("int") - F.lit(SHINGLE - 1)).alias("held"))
+    each = wide.select("line", "_key", "wide", "held", F.explode(F.sequence(F.lit(1), F.col("held"), F.lit(STRIDE))).alias("place"))
+    at = [F.least(F.col("place") + j, F.col("held")) if j else F.col("place") for j in range(STRIDE)]  # behind the last one, the last again
+    each = each.select("line", "_key", "place", *[F.hash(_shingle(F.col("wide"), p)).alias(f"h{j}") for j, p in enumerate(at)])
+    lanes = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(_salt(i))) for j in range(STRIDE)])).alias(f"m{i}") for i in range(LANES)]
+    return each.groupBy("line").agg(*lanes, F.min("_key").alias("keeper"), F.count_if(F.col("place") == 1).alias("copies"))
+
+
+def _banded(signed: DataFrame) -> DataFrame:
     """``(line, band)``: the 12 buckets of every distinct line, as hashes of a band's number and its lanes."""
-    wide = lines.select("line", F.encode("norm", "UTF-16BE").alias("wide"))
-    each = wide.select("line", "wide", F.explode(_places(F.col("wide"))).alias("place"))
-    each = each.select("line", F.hash(_shingle(F.col("wide"), F.col("place"))).alias("h"))
-    signed = each.groupBy("line").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_salt(i)))).alias(f"m{i}") for i in range(LANES)])
     return signed.select("line", F.explode(F.array(*[F.xxhash64(F.lit(b), *[f"m{i}" for i in lanes]) for b, lanes in enumerate(BANDS)])).alias("band"))
 
 
+def _bands(lines: DataFrame) -> DataFrame:
+    return _banded(_signed(lines))
+
+
+def _members(signed: DataFrame) -> DataFrame:
+    """``(band, line, head)``: the lines of every bucket that has two or more, with the smallest of them."""
+    ends = _banded(signed).groupBy("band").agg(F.min("line").alias("head"), F.max("line").alias("last"))
+    shared = checkpoint(ends.where("head < last").drop("last"))
+    return checkpoint(_banded(signed).join(_sized(shared, shared.count()), "band").select("band", "line", "head"))
+
+
 def _bodies(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(line, norm)`` of the lines in ``wanted``, which is checkpointed and holds each once."""
     return lines.select("line", "norm").join(_sized(wanted, wanted.count()), "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm"))
 
 
-def _alike(sets: DataFrame) -> DataFrame:
-    """The pairs ``(u, v)`` whose shingle sets ``a`` and ``b`` are similar enough."""
+def _sketched(bodies: DataFrame) -> DataFrame:
+    """``(line, n, s0, ..)``: how many distinct shingles a line has, and for each of 1,024 cells whether it holds an odd number of them."""
+    each = bodies.select("line", F.explode(_set_of(F.encode("norm", "UTF-16BE"))).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 AS int))")
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH - 1))
+    cells = each.select("line", bit.alias("bit"), word.alias("word"))
+    return cells.groupBy("line").agg(F.count("*").cast("int").alias("n"), *[F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)])
+
+
+def _apart(a: str, b: str) -> Column:
+    """At least so many shingles are in one of two lines alone: each of them turns one cell, and sizes differ by no more."""
+    turned = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
+    return F.greatest(F.abs(F.col(f"{a}n") - F.col(f"{b}n")), turned)
+
+
+def _may_be_alike(a: str, b: str) -> Column:
+    """False only for lines that can't be alike: of ``s`` shingles in two sets, ``d`` in one alone, J = (s - d) / (s + d)."""
+    over, under = SIMILAR
+    return _apart(a, b) * (under + over) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (under - over)
+
+
+def _named(sketches: DataFrame, prefix: str, line: str) -> DataFrame:
+    return sketches.select(F.col("line").alias(line), *[F.col(c).alias(f"{prefix}{c}") for c in sketches.columns if c != "line"])
+
+
+def _alike(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs ``(u, v)`` whose whole shingle sets are similar enough."""
+    u, v = (bodies.select(F.col("line").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "uv")
+    wide = pairs.select("u", "v").join(u, "u").join(v, "v").select("u", "v", F.encode("norm_u", "UTF-16BE").alias("wide_u"), F.encode("norm_v", "UTF-16BE").alias("wide_v"))
+    # Generators keep the optimizer from moving these steps into one expression that builds each set more than once.
+    sets = wide.select("u", "v", F.inline(F.array(F.struct(_set_of(F.col("wide_u")).alias("a"), _set_of(F.col("wide_v")).alias("b")))))
     counted = F.struct(F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
     over, under = SIMILAR
     return sets.select("u", "v", F.inline(F.array(counted))).where(F.col("both") * under >= (F.col("sum") - F.col("both")) * over).select("u", "v")
@@ -108,40 +164,44 @@ def _prefix_keys(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return keyed.select(F.xxhash64("band", "s.h", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), "line", "root", "n")
 
 
-def _across(keyed: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` of lines under one key that have different roots and sizes near enough to be alike.
+def _across(keyed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of lines under one key that have different roots and may be alike.
 
     The lines of a key's most frequent root are only met by others, so that a large group which is
     proven alike isn't paired with itself; at most twice the wanted pairs are looked at.
     """
     held = keyed.groupBy("key", "root").agg(F.count("*").alias("held"))
-    main = held.groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    rows = checkpoint(keyed.join(main, "key"))
-    a = rows.where("root <> main").select("key", F.col("line").alias("p"), F.col("root").alias("root_p"), F.col("n").alias("n_p"))
-    b = rows.select("key", F.col("line").alias("q"), F.col("root").alias("root_q"), F.col("n").alias("n_q"), "main")
-    near = F.least("n_p", "n_q") * SIMILAR[1] >= F.greatest("n_p", "n_q") * SIMILAR[0]
-    met = a.join(b, "key").where((F.col("root_p") != F.col("root_q")) & ((F.col("root_q") == F.col("main")) | (F.col("p") < F.col("q"))) & near)
+    main = checkpoint(held.groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"))
+    rows = checkpoint(keyed.select("key", "line", "root").join(main, "key").join(sketches, "line"))
+    cells = [c for c in sketches.columns if c != "line"]
+    a = rows.where("root <> main").select("key", F.col("line").alias("p"), F.col("root").alias("root_p"), *[F.col(c).alias(f"a{c}") for c in cells])
+    b = rows.select("key", F.col("line").alias("q"), F.col("root").alias("root_q"), "main", *[F.col(c).alias(f"b{c}") for c in cells])
+    met = a.join(b, "key").where((F.col("root_p") != F.col("root_q")) & ((F.col("root_q") == F.col("main")) | (F.col("p") < F.col("q"))) & _may_be_alike("a", "b"))
     return met.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
 
 
-def _rest(lines: DataFrame, bands: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
+def _first_links(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``(u, v)``: every line with that head of its buckets which it differs from least, if they may be alike."""
+    met = members.where("line <> head").select("line", "head").distinct().join(_named(sketches, "a", "line"), "line").join(_named(sketches, "b", "head"), "head")
+    near = met.where(_may_be_alike("a", "b")).select("line", "head", _apart("a", "b").alias("apart"))
+    best = near.groupBy("line").agg(F.min(F.struct("apart", "head")).alias("best"))
+    return best.select(F.least("line", "best.head").alias("u"), F.greatest("line", "best.head").alias("v")).distinct()
+
+
+def _rest(members: DataFrame, bodies: DataFrame, sketches: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
     """``(line, group)`` after all pairs of a bucket that ``groups`` leaves apart have been verified too."""
-    sized = bands.groupBy("band").agg(F.count("*").alias("held")).where("held > 3").drop("held")  # chain and head are all pairs of three
-    rooted = bands.join(sized, "band").join(groups, "line", "left").select("band", "line", F.coalesce("group", "line").alias("root"))
+    rooted = members.select("band", "line").join(groups, "line", "left").select("band", "line", F.coalesce("group", "line").alias("root"))
     roots = rooted.groupBy("band", "root").agg(F.count("*").alias("held"))
-    mixed = roots.groupBy("band").agg((F.sum("held") - F.max("held")).alias("apart")).where("apart > 0")
+    mixed = checkpoint(roots.groupBy("band").agg((F.sum("held") - F.max("held")).alias("apart")).where("apart > 0"))
     rooted = checkpoint(rooted.join(mixed, "band"))
     if not rooted.take(1):
         return groups
-    bodies = _bodies(lines, checkpoint(rooted.select("line").distinct())).select("line", F.encode("norm", "UTF-16BE").alias("wide"))
-    sets = checkpoint(bodies.select("line", F.inline(F.array(F.struct(_set_of(F.col("wide")).alias("shingles"))))).select("line", "shingles", F.size("shingles").alias("n")))
-    keyed = rooted.where(F.col("apart") <= PAIRED).join(sets.select("line", "n"), "line").select(F.col("band").alias("key"), "line", "root", "n")
+    keyed = rooted.where(F.col("apart") <= PAIRED).select(F.col("band").alias("key"), "line", "root")
     large = rooted.where(F.col("apart") > PAIRED)
     if large.take(1):
-        keyed = keyed.unionByName(_prefix_keys(large, sets))
-    pairs = _across(keyed).join(links, ["u", "v"], "left_anti")
-    a, b = (sets.select(F.col("line").alias(x), F.col("shingles").alias(y)) for x, y in ("ua", "vb"))
-    found = _alike(pairs.join(a, "u").join(b, "v"))
+        sets = _bodies(bodies, checkpoint(large.select("line").distinct())).select("line", F.inline(F.array(F.struct(_set_of(F.encode("norm", "UTF-16BE")).alias("shingles")))))
+        keyed = keyed.unionByName(_prefix_keys(large, checkpoint(sets.select("line", "shingles", F.size("shingles").alias("n")))).select("key", "line", "root"))
+    found = _alike(checkpoint(_across(keyed, sketches).join(links, ["u", "v"], "left_anti")), bodies)
     u, v = (rooted.select(F.col("line").alias(x), F.col("root").alias(f"root_{x}")).distinct() for x in "uv")
     joined = connected_components(found.join(u, "u").join(v, "v").select("root_u", "root_v"), "root_u", "root_v")
     joined = checkpoint(joined.select(F.col("node").alias("group"), "component"))
@@ -155,25 +215,20 @@ def duplicate_lines(lines: DataFrame) -> DataFrame:
     ``group`` is the smallest line hash of its component, ``keeper`` the smallest document key
     that holds any line of the component.
     """
-    bands = checkpoint(_bands(lines))
-    # First a bucket's lines are linked in a chain and to one of them, in an order that differs by band; then the pairs that this leaves apart are tried.
-    order = W.partitionBy("band").orderBy(F.xxhash64("line", "band"))
-    met = bands.select("line", F.lag("line").over(order).alias("last"), F.first("line").over(order).alias("head")).where("last is not null")
-    met = met.select("line", F.explode(F.array("last", "head")).alias("other"))
-    links = checkpoint(met.select(F.least("line", "other").alias("u"), F.greatest("line", "other").alias("v")).where("u <> v").distinct())
-
-    bodies = _bodies(lines, checkpoint(links.select(F.explode(F.array("u", "v")).alias("line")).distinct()))
-    u, v = (bodies.select(F.col("line").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "uv")
-    wide_pairs = links.join(u, "u").join(v, "v").select("u", "v", F.encode("norm_u", "UTF-16BE").alias("wide_u"), F.encode("norm_v", "UTF-16BE").alias("wide_v"))
-    # Generators keep the optimizer from moving these steps into the join's condition, where each shingle would encode its line anew.
-    sets = wide_pairs.select("u", "v", F.inline(F.array(F.struct(_set_of(F.col("wide_u")).alias("a"), _set_of(F.col("wide_v")).alias("b")))))
-    groups = connected_components(_alike(sets)).select(F.col("node").alias("line"), F.col("component").alias("group"))
-    groups = _rest(lines, bands, links, groups)
-
-    counted = lines.groupBy("line").agg(F.min("_key").alias("keeper"), F.count("*").alias("copies"))
-    member = counted.join(groups, "line", "left").where("copies > 1 or group is not null")
+    signed = checkpoint(_signed(lines))
+    members = _members(signed)
+    bodies = checkpoint(_bodies(lines, checkpoint(members.select("line").distinct())))
+    sketches = checkpoint(_sketched(bodies))
+    # First every line is linked to the likeliest head of its buckets; then the pairs that this leaves apart are tried.
+    links = checkpoint(_first_links(members, sketches))
+    groups = connected_components(_alike(links, bodies)).select(F.col("node").alias("line"), F.col("component").alias("group"))
+    groups = _rest(members, bodies, sketches, links, groups)
+
+    member = signed.select("line", "keeper", "copies").join(groups, "line", "left").where("copies > 1 or group is not null")
     member = checkpoint(member.select("line", "keeper", F.coalesce("group", "line").alias("group")))
-    return member.join(member.groupBy("group").agg(F.min("keeper").alias("first")), "group").select("line", "group", F.col("first").alias("keeper"))
+    # Written, so that the join deals plain rows and adaptive execution can split a group of very many lines.
+    least = checkpoint(member.groupBy("group").agg(F.min("keeper").alias("first")))
+    return member.join(_sized(least, least.count()), "group").select("line", "group", F.col("first").alias("keeper"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,13 +240,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     id, so whole copies of a document empty the later copy, not both. Blank lines always stay.
 
     Candidates are all pairs of lines that meet in one of 12 bands of 4 MinHash lanes and that links
-    found before don't join already; large buckets are split by an exact prefix filter. Every
-    candidate is verified on its whole shingle sets, and components are found by joins. Lines equal in their comparison form (by a
-    64-bit hash) are one class from the start and pre-aggregated before they are shuffled.
+    found before don't join already; large buckets are split by an exact prefix filter. Sketches that
+    bound from below how many shingles two lines don't share leave out pairs that can't be alike;
+    every other candidate is verified on its whole shingle sets, and components are found by joins.
+    Lines equal in their comparison form (by a 64-bit hash) are one class from the start and
+    pre-aggregated before they are shuffled.
 
     Null text stays null with 0 lines; empty text stays empty. Rows that repeat id and text are one
-    document and keep the same lines; a null id orders by a hash. An empty table gives an empty
-    one. Other columns pass through; the names ``_key``, ``_hash``, ``_lines``, ``_gone``,
+    document and keep the same lines; a null id orders by a hash. Long texts and lines are read
+    whole, in memory in proportion to them. An empty table gives an empty one. Other columns pass through; the names ``_key``, ``_hash``, ``_lines``, ``_gone``,
     ``n_lines`` and ``n_dropped`` are taken by this operator and replaced if present.
     """
     mine = ["_key", "_hash", "_lines", "_gone", "n_lines", "n_dropped"]
@@ -200,9 +257,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keyed = _documents(docs, doc_id, text)
     lines = _lines(keyed)
     member = checkpoint(duplicate_lines(lines))
-    seen = lines.select("_key", "_hash", "pos", "line").join(member, "line")
-    first = seen.where("_key = keeper").groupBy("group").agg(F.min(F.struct("_hash", "pos")).alias("kept"))
-    gone = seen.join(first, "group").where("_key <> keeper or _hash <> kept._hash or pos <> kept.pos")
+    seen = checkpoint(lines.select("_key", "_hash", "pos", "line").join(_sized(member, 3 * member.count()), "line").drop("line"))
+    first = checkpoint(seen.where("_key = keeper").groupBy("group").agg(F.min(F.struct("_hash", "pos")).alias("kept")))
+    gone = seen.join(_sized(first, first.count()), "group").where("_key <> keeper or _hash <> kept._hash or pos <> kept.pos")
     gone = checkpoint(gone.groupBy("_key", "_hash").agg(F.collect_set("pos").alias("_gone")))
     held = gone.agg(F.count("*"), F.sum(F.size("_gone"))).first()
     joined = keyed.join(_sized(gone, (held[0] or 0) + (held[1] or 0) // 4), ["_key", "_hash"], "left")
