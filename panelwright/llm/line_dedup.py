@@ -59,13 +59,16 @@ def _places(wide: Column) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.lit(1), (F.octet_length(wide) / 2).cast("int") - F.lit(SHINGLE - 1)))
 
 
-def _set_of(wide: Column) -> Column:
-    """The distinct shingles of a line in two-byte characters, as 64-bit hashes.
+def _hashes(wide: Column) -> Column:
+    """The shingles of a line in two-byte characters, as 64-bit hashes, repeats included.
 
     The line is the variable of an outer lambda: a column would be copied whole for each shingle.
     """
-    hashes = F.transform(F.array(wide), lambda line: F.transform(_places(line), lambda p: F.xxhash64(_shingle(line, p))))
-    return F.array_distinct(F.flatten(hashes))
+    return F.transform(F.array(wide), lambda line: F.transform(_places(line), lambda p: F.xxhash64(_shingle(line, p))))[0]
+
+
+def _set_of(wide: Column) -> Column:
+    return F.array_distinct(_hashes(wide))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
@@ -129,14 +132,14 @@ def _named(sketches: DataFrame, prefix: str, line: str) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs ``(u, v)`` whose whole shingle sets are similar enough."""
+    """The pairs ``(u, v)`` whose whole shingle sets, of ``sum`` shingles together, are similar enough."""
     u, v = (bodies.select(F.col("line").alias(x), F.col("norm").alias(f"norm_{x}")) for x in "uv")
-    wide = pairs.select("u", "v").join(u, "u").join(v, "v").select("u", "v", F.encode("norm_u", "UTF-16BE").alias("wide_u"), F.encode("norm_v", "UTF-16BE").alias("wide_v"))
-    # Generators keep the optimizer from moving these steps into one expression that builds each set more than once.
-    sets = wide.select("u", "v", F.inline(F.array(F.struct(_set_of(F.col("wide_u")).alias("a"), _set_of(F.col("wide_v")).alias("b")))))
-    counted = F.struct(F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
+    met = pairs.select("u", "v", "sum").join(u, "u").join(v, "v")
+    both = F.size(F.array_intersect(_hashes(F.encode("norm_u", "UTF-16BE")), _hashes(F.encode("norm_v", "UTF-16BE"))))
     over, under = SIMILAR
-    return sets.select("u", "v", F.inline(F.array(counted))).where(F.col("both") * under >= (F.col("sum") - F.col("both")) * over).select("u", "v")
+    # A generator keeps the optimizer from moving the count into the condition, where it would be made twice.
+    counted = met.select("u", "v", "sum", F.inline(F.array(F.struct(both.alias("both")))))
+    return counted.where(F.col("both") * under >= (F.col("sum") - F.col("both")) * over).select("u", "v")
 
 
 def _size_class(n: Column) -> Column:
@@ -165,7 +168,7 @@ def _prefix_keys(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(keyed: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` of lines under one key that have different roots and may be alike.
+    """Pairs ``(u, v)`` of lines under one key that have different roots, ``a`` and ``b``, and may be alike.
 
     The lines of a key's most frequent root are only met by others, so that a large group which is
     proven alike isn't paired with itself; at most twice the wanted pairs are looked at.
@@ -177,15 +180,16 @@ def _across(keyed: DataFrame, sketches: DataFrame) -> DataFrame:
     a = rows.where("root <> main").select("key", F.col("line").alias("p"), F.col("root").alias("root_p"), *[F.col(c).alias(f"a{c}") for c in cells])
     b = rows.select("key", F.col("line").alias("q"), F.col("root").alias("root_q"), "main", *[F.col(c).alias(f"b{c}") for c in cells])
     met = a.join(b, "key").where((F.col("root_p") != F.col("root_q")) & ((F.col("root_q") == F.col("main")) | (F.col("p") < F.col("q"))) & _may_be_alike("a", "b"))
-    return met.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
+    found = met.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), F.least("root_p", "root_q").alias("a"), F.greatest("root_p", "root_q").alias("b"), (F.col("an") + F.col("bn")).alias("sum"), _apart("a", "b").alias("apart"))
+    return found.distinct()
 
 
 def _first_links(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``(u, v)``: every line with that head of its buckets which it differs from least, if they may be alike."""
+    """``(u, v, sum)``: every line with that head of its buckets which it differs from least, if they may be alike."""
     met = members.where("line <> head").select("line", "head").distinct().join(_named(sketches, "a", "line"), "line").join(_named(sketches, "b", "head"), "head")
-    near = met.where(_may_be_alike("a", "b")).select("line", "head", _apart("a", "b").alias("apart"))
-    best = near.groupBy("line").agg(F.min(F.struct("apart", "head")).alias("best"))
-    return best.select(F.least("line", "best.head").alias("u"), F.greatest("line", "best.head").alias("v")).distinct()
+    near = met.where(_may_be_alike("a", "b")).select("line", "head", _apart("a", "b").alias("apart"), (F.col("an") + F.col("bn")).alias("sum"))
+    best = near.groupBy("line").agg(F.min(F.struct("apart", "head", "sum")).alias("best"))
+    return best.select(F.least("line", "best.head").alias("u"), F.greatest("line", "best.head").alias("v"), "best.sum").distinct()
 
 
 def _rest(members: DataFrame, bodies: DataFrame, sketches: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
@@ -201,9 +205,17 @@ def _rest(members: DataFrame, bodies: DataFrame, sketches: DataFrame, links: Dat
     if large.take(1):
         sets = _bodies(bodies, checkpoint(large.select("line").distinct())).select("line", F.inline(F.array(F.struct(_set_of(F.encode("norm", "UTF-16BE")).alias("shingles")))))
         keyed = keyed.unionByName(_prefix_keys(large, checkpoint(sets.select("line", "shingles", F.size("shingles").alias("n")))).select("key", "line", "root"))
-    found = _alike(checkpoint(_across(keyed, sketches).join(links, ["u", "v"], "left_anti")), bodies)
-    u, v = (rooted.select(F.col("line").alias(x), F.col("root").alias(f"root_{x}")).distinct() for x in "uv")
-    joined = connected_components(found.join(u, "u").join(v, "v").select("root_u", "root_v"), "root_u", "root_v")
+    pairs = checkpoint(_across(keyed, sketches).join(links, ["u", "v"], "left_anti"))
+    # The likeliest pair of every root goes first; what it joins needs no further pair.
+    each = pairs.select(F.explode(F.array("a", "b")).alias("root"), F.struct("apart", "u", "v", "sum", "a", "b").alias("pair"))
+    nearest = checkpoint(each.groupBy("root").agg(F.min("pair").alias("pair")).select("pair.*").distinct())
+    near = checkpoint(_alike(nearest, bodies).join(nearest.select("u", "v", "a", "b"), ["u", "v"]).select("a", "b"))
+    grown = checkpoint(connected_components(near, "a", "b"))
+    a, b = (grown.select(F.col("node").alias(x), F.col("component").alias(f"new_{x}")) for x in "ab")
+    left = pairs.join(nearest, ["u", "v"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+    left = checkpoint(left.where(F.coalesce("new_a", "a") != F.coalesce("new_b", "b")).select("u", "v", "sum", "a", "b"))
+    far = _alike(left, bodies).join(left.select("u", "v", "a", "b"), ["u", "v"]).select("a", "b")
+    joined = connected_components(near.unionByName(far), "a", "b")
     joined = checkpoint(joined.select(F.col("node").alias("group"), "component"))
     moved = groups.join(joined, "group", "left").select("line", F.coalesce("component", "group").alias("group"))
     return moved.unionByName(joined.select(F.col("group").alias("line"), F.col("component").alias("group"))).distinct()

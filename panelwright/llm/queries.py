@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import codec, decontaminate, line_dedup, lm, quality_gam, quality_rules, sharding, simhash, token_counts, warc
+from panelwright.llm.runtime import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op5_transducer_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = warc.new_folder(spark)
+    folder = new_folder(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     return warc.read_archives(spark, folder).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

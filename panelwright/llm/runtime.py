@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +19,45 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where the setting is absent (tests in local mode) is a temporary folder chosen.
+    Only where the setting is absent, and only in local mode, is a temporary folder chosen.
     """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='panelwright-')}")
-    return named or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        named = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='panelwright-')}")
+    return named
+
+
+_local: dict[str, str] = {}
+_made: list[str] = []
+
+
+@atexit.register
+def _remove() -> None:
+    """Takes the tables of this process away when it ends, where they can be reached without Spark."""
+    for path in _made:
+        with contextlib.suppress(Exception):
+            store, top = fs.FileSystem.from_uri(path)
+            store.delete_dir(top)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The URI of a folder in the shared one that nothing has used yet; it goes when the process ends."""
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder once, so that lost executors don't recompute what led to it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder as a table once, so that lost executors don't recompute what led to it.
+
+    A table read back has the size that it has. A checkpointed plan keeps the estimate of the plan
+    that it cuts, and over the rounds of a loop with joins these estimates multiply to numbers that
+    the driver takes minutes to write down.
+    """
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Bytes of an Arrow batch on its way to Python, unless the session sets fewer: rows of text differ in size by a factor of thousands.

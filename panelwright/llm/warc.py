@@ -16,7 +16,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.runtime import shared_dir
 
 #: Compressed bytes after which a task begins its next archive.
 ARCHIVE_BYTES = 8 << 20
@@ -249,7 +248,3 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
     kinds = {pa.string(): "string", pa.int64(): "bigint", pa.binary(): "binary"}
     return files.mapInArrow(_reading, ", ".join(f"{f.name} {kinds[f.type]}" for f in _FIELDS))
-
-
-def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
