@@ -10,11 +10,12 @@ from panelwright.functions.pointwise import div
 
 
 def average_rank(x: Column, *keys: Column | str) -> Column:
-    """Rank of ``x`` within ``keys`` from 1, ties averaged; NULL where ``x`` is, which takes no rank."""
-    present = x.isNotNull()
-    within = W.partitionBy(*keys, present)
-    ties = F.count(F.lit(1)).over(W.partitionBy(*keys, present, x))
-    return F.when(present, F.rank().over(within.orderBy(x)) + (ties - 1) / F.lit(2.0))
+    """Rank of ``x`` within ``keys`` from 1, ties averaged; NULL where ``x`` is, which takes no rank.
+
+    NULLs sort last, so that all ranks over the same keys share one exchange.
+    """
+    ties = F.count(F.lit(1)).over(W.partitionBy(*keys, x))
+    return F.when(x.isNotNull(), F.rank().over(W.partitionBy(*keys).orderBy(x.asc_nulls_last())) + (ties - 1) / F.lit(2.0))
 
 
 def members(x: Column, *keys: Column | str) -> Column:

@@ -6,6 +6,7 @@ otherwise the result is NULL. Frames count rows, so a panel's grid must have eve
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -96,43 +97,51 @@ def zscore(x: Column, n: int, over: WindowSpec) -> Column:
     return div(x - ts_mean(x, n, over), F.when(sd > 0, sd))
 
 
-def _wilder(values: pd.Series, n: int) -> list[float | None]:
-    """Wilder's index: gains and losses start as means of ``n`` changes and then move by 1/n; a gap starts anew."""
-    out: list[float | None] = []
-    previous, seen, gain, loss = None, 0, 0.0, 0.0
-    for value in values:
-        if pd.isna(value):
-            previous, seen, gain, loss = None, 0, 0.0, 0.0
-            out.append(None)
-            continue
-        if previous is not None:
-            up, down = max(value - previous, 0.0), max(previous - value, 0.0)
-            seen += 1
-            if seen <= n:
-                gain, loss = gain + up / n, loss + down / n
-            else:
-                gain, loss = gain + (up - gain) / n, loss + (down - loss) / n
-        previous = value
-        moved = gain + loss
-        out.append(None if seen < n else 50.0 if moved == 0 else 100.0 * gain / moved)
-    return out
+def wilder(values: np.ndarray, n: int, state: tuple[float | None, int, float, float] = (None, 0, 0.0, 0.0)) -> tuple[np.ndarray, tuple[float | None, int, float, float]]:
+    """Wilder's index along a run without gaps, and the state to go on from: last value, changes seen, mean gain and loss.
+
+    Means start as those of ``n`` changes and then move by 1/n, which is an exponential average over
+    the run: the recursion runs in compiled code, not a row at a time.
+    """
+    previous, seen, gain, loss = state
+    out = np.full(len(values), np.nan)
+    if not len(values):
+        return out, state
+    first = int(previous is None)  # the first value of all has no change
+    change = np.diff(values, prepend=values[0] if previous is None else previous)[first:]
+
+    def means(moves: np.ndarray, before: float) -> np.ndarray:
+        head = before + np.cumsum(moves[: max(0, n - seen)]) / n
+        tail = moves[len(head) :]
+        if not len(tail):
+            return head
+        seeded = np.concatenate([[head[-1] if len(head) else before], tail])
+        return np.concatenate([head, pd.Series(seeded).ewm(alpha=1 / n, adjust=False).mean().to_numpy()[1:]])
+
+    up, down = means(np.maximum(change, 0.0), gain), means(np.maximum(-change, 0.0), loss)
+    moved = up + down
+    index = np.where(moved == 0, 50.0, 100.0 * up / np.where(moved == 0, 1.0, moved))
+    out[first:] = np.where(seen + 1 + np.arange(len(change)) < n, np.nan, index)
+    return out, (float(values[-1]), seen + len(change), float(up[-1]) if len(up) else gain, float(down[-1]) if len(down) else loss)
 
 
 def ts_rsi(df: DataFrame, x: str, n: int, name: str = "rsi", symbol: str = "symbol", time: str = "ts") -> DataFrame:
-    """``df`` with Wilder's relative strength index of ``x``: a recursion, folded over each symbol's rows in order.
+    """``df`` with Wilder's relative strength index of ``x``: a recursion, folded over each run of rows in order.
 
-    One symbol's series is one group: a few thousand to a few million rows by construction of a
-    panel, whose parallelism is its number of symbols.
+    A row without a value starts anew, so the group of one task is a stretch of a symbol's rows
+    between two gaps, not the symbol. Rows of a symbol have distinct times.
     """
     kinds = dict(df.dtypes)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        return rows.assign(value=pd.Series(_wilder(rows["x"], n), index=rows.index, dtype="float64"))[["s", "t", "value"]]
+        return rows.assign(value=wilder(rows["x"].to_numpy(), n)[0])[["s", "t", "value"]]
 
-    slim = df.select(F.col(symbol).alias("s"), F.col(time).alias("t"), F.col(x).cast("double").alias("x"))
-    found = slim.groupBy("s").applyInPandas(fold, f"s {kinds[symbol]}, t {kinds[time]}, value double")
-    return df.join(found.select(F.col("s").alias(symbol), F.col("t").alias(time), F.col("value").alias(name)), [symbol, time], "left")
+    value = finite(F.col(x).cast("double"))
+    gaps = F.count_if(value.isNull()).over(W.partitionBy(symbol).orderBy(time).rowsBetween(W.unboundedPreceding, 0))
+    slim = df.select(F.col(symbol).alias("s"), F.col(time).alias("t"), value.alias("x"), gaps.alias("run")).where("x is not null")
+    found = slim.groupBy("s", "run").applyInPandas(fold, f"s {kinds[symbol]}, t {kinds[time]}, value double")
+    return df.join(found.select(F.col("s").alias(symbol), F.col("t").alias(time), F.nanvl("value", F.lit(None).cast("double")).alias(name)), [symbol, time], "left")
 
 
 def lookback(operator: str, n: int, *inner: int) -> int:

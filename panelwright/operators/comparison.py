@@ -61,6 +61,7 @@ def search(rows: DataFrame, terms: list[str], text: str, by: str, most: int = 20
 
 
 def digest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: rows, and order-free sum and xor of row hashes, for detecting changes."""
-    h = F.xxhash64(*[c for c in df.columns if c not in keys])
-    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
+    """Per key: rows, and order-free sum and xor of 60 bits of each row's MD5 over its columns as strings, for detecting changes."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns if c not in keys])
+    h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))

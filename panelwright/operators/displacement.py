@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.functions.cross import average_rank
+from panelwright.functions.cross import average_rank, correlation
 from panelwright.functions.pointwise import div
+from panelwright.operators.evaluate import hac
 
 
 def pairs(panel: DataFrame, factor: str, steps: list[int], keys: list[str], step_seconds: int = 3600) -> DataFrame:
@@ -67,3 +69,95 @@ def common_variants(long: DataFrame, value: str = "value") -> DataFrame:
     n = long.select("variant").distinct().agg(F.count("*").alias("_n"))
     whole = long.where(F.col(value).isNotNull()).groupBy("ts", "symbol").agg(F.countDistinct("variant").alias("_held")).join(F.broadcast(n)).where("_held = _n")
     return long.join(whole.select("ts", "symbol"), ["ts", "symbol"], "left_semi")
+
+
+def variant_periods(panel: DataFrame, labelled: DataFrame, variants: list[str], steps: list[int], start: Column, min_symbols: int, groups: int, step_seconds: int = 3600) -> DataFrame:
+    """Variants of a factor compared on the observations that all of them have: D, rank IC and spread of every period.
+
+    ``panel`` has ``symbol, ts, eligible`` and a column per variant, ``labelled`` the same rows per
+    ``horizon`` with ``forward_return`` and ``purged`` (the label leaves the segment, which begins at
+    ``start``). A symbol counts at a time if it is eligible there and ``delta`` steps before, every
+    variant has a value at both ends, and its label is valid. Per horizon, step, variant and time:
+    ``n``, ``status``, ``d``, ``rank_ic``, ``spread``. Statuses, the first that holds:
+    boundary_excluded, missing_exact_hour, label_boundary_excluded or insufficient_common_symbols
+    (too few symbols), rank_ic_unavailable, computed. The rows of the panel are joined to their past
+    once; ranks of all variants share one exchange.
+    """
+    asks = labelled.select("horizon", "symbol", "ts", "eligible", "purged", "forward_return", *variants, F.explode(F.array(*map(F.lit, steps))).alias("delta"))
+    asks = asks.withColumn("_at", F.col("ts") - F.make_dt_interval(secs=(F.col("delta") * step_seconds).cast("decimal(18,6)")))
+    past = panel.select("symbol", F.col("ts").alias("_at"), F.col("eligible").alias("_was"), *[F.col(v).alias(f"_then_{v}") for v in variants])
+    live = F.col("eligible") & F.coalesce("_was", F.lit(False)) & ~F.col("purged") & F.col("forward_return").isNotNull()
+    for v in variants:
+        live = live & F.col(v).isNotNull() & F.col(f"_then_{v}").isNotNull()
+    both = asks.join(past, ["symbol", "_at"], "left").withColumn("_live", live)
+    at = ["horizon", "delta", "ts"]
+    grid = both.groupBy(*at).agg(F.min("_at").alias("_at"), F.max(F.col("_was").isNotNull()).alias("_there"), F.count_if(F.col("eligible") & F.col("purged")).alias("_out"), F.count_if("_live").alias("n"))
+    ends = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("now"), F.col(f"_then_{v}").alias("then")) for v in variants]))
+    rows = both.where("_live").select(*at, "forward_return", ends.alias("v")).select(*at, "forward_return", "v.*")
+    keys = [*at, "variant"]
+    ranked = rows.withColumns({"_a": average_rank(F.col("now"), *keys), "_b": average_rank(F.col("then"), *keys), "_r": average_rank(F.col("forward_return"), *keys), "_n": F.count("*").over(W.partitionBy(*keys))})
+    group = F.least(F.floor((F.col("_a") - 1) / F.col("_n") * groups) + 1, F.lit(groups))
+    top, bottom = (F.avg(F.when(group == g, F.col("forward_return"))) for g in (groups, 1))
+    moved = ranked.groupBy(*keys).agg(
+        (F.sum(F.abs(F.col("_a") - F.col("_b"))) / (F.count("*") * F.count("*"))).alias("_d"), correlation(F.col("_a"), F.col("_r")).alias("_ic"), (top - bottom).alias("_spread"), F.countDistinct("now").alias("_unique"),
+    )
+    each = grid.withColumn("variant", F.explode(F.array(*map(F.lit, variants)))).join(moved, keys, "left")
+    ic = F.when((F.col("n") >= min_symbols) & (F.col("_unique") >= groups), F.col("_ic"))
+    status = (
+        F.when(F.col("_at") < start, "boundary_excluded").when(~F.col("_there"), "missing_exact_hour")
+        .when((F.col("n") < min_symbols) & (F.col("_out") > 0), "label_boundary_excluded").when(F.col("n") < min_symbols, "insufficient_common_symbols")
+        .when(ic.isNull(), "rank_ic_unavailable").otherwise("computed")
+    )
+    within = F.col("status").isin("computed", "rank_ic_unavailable")
+    made = each.select(*keys, "n", status.alias("status"), "_d", ic.alias("_ic"), "_spread")
+    return made.select(*keys, "n", "status", F.when(within, F.col("_d")).alias("d"), F.when(within, F.col("_ic")).alias("rank_ic"), F.when(within, F.col("_spread")).alias("spread"))
+
+
+def variant_effects(periods: DataFrame, reference: str, direction: int, lags: int, min_periods: int, min_gain: float, max_ic_loss: float, keys: list[str] | None = None) -> DataFrame:
+    """Per horizon, step and variant: means, paired effects against the reference with their errors, and a decision.
+
+    ``gain`` is how much D falls, ``ic_change`` and ``spread_change`` how much the directed IC and
+    spread rise, over the periods in which both have an IC. stop: the upper bound of the gain lies
+    below ``min_gain``, or that of the IC's change below ``-max_ic_loss``; continue: the gain reaches
+    ``min_gain`` with its lower bound above 0 and the IC's lower bound holds; else pause.
+    """
+    keys = keys or ["horizon", "delta"]
+    at = W.partitionBy(*keys, "ts")
+    of_reference = lambda c: F.max(F.when(F.col("variant") == reference, F.col(c))).over(at)
+    paired = periods.withColumns({f"_{c}": of_reference(c) for c in ("d", "rank_ic", "spread")})
+    valid = F.col("rank_ic").isNotNull() & F.col("_rank_ic").isNotNull()
+    paired = paired.withColumns({
+        "gain": F.when(valid, F.col("_d") - F.col("d")), "ic_change": F.when(valid, (F.col("rank_ic") - F.col("_rank_ic")) * direction), "spread_change": F.when(valid, (F.col("spread") - F.col("_spread")) * direction),
+    })
+    by = [*keys, "variant"]
+    found = paired.groupBy(*by).agg(F.count("*").alias("periods"), F.count_if(valid).alias("paired"), F.avg("d").alias("mean_d"), F.avg("rank_ic").alias("mean_ic"), F.avg("spread").alias("mean_spread"))
+    for effect in ("gain", "ic_change", "spread_change"):
+        tested = hac(paired, effect, by, lags, min_periods).select(*by, F.col("mean").alias(effect), F.col("se").alias(f"{effect}_se"), F.col("ci_low").alias(f"{effect}_low"), F.col("ci_high").alias(f"{effect}_high"), F.col("status").alias(f"{effect}_status"))
+        found = found.join(tested, by)
+    stop = (F.col("gain_high") < min_gain) | (F.col("ic_change_high") < -max_ic_loss)
+    go = (F.col("gain") >= min_gain) & (F.col("gain_low") > 0) & (F.col("ic_change_low") >= -max_ic_loss)
+    no = F.lit(False)
+    return found.withColumn("decision", F.when(F.coalesce(stop, no), "stop").when(F.coalesce(go, no), "continue").otherwise("pause"))
+
+
+def native_coverage(labelled: DataFrame, variants: list[str]) -> DataFrame:
+    """Per variant and horizon, each on its own: grid rows, eligible ones, those with a value, and those with a valid label too."""
+    long = labelled.select("horizon", "eligible", "purged", "forward_return", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("value")) for v in variants])).alias("v"))
+    live = F.col("eligible") & F.col("v.value").isNotNull()
+    labels = live & ~F.col("purged") & F.col("forward_return").isNotNull()
+    made = long.groupBy(F.col("v.variant").alias("variant"), "horizon").agg(F.count("*").alias("grid"), F.count_if("eligible").alias("eligible"), F.count_if(live).alias("present"), F.count_if(labels).alias("labelled"))
+    return made.withColumn("share", div(F.col("labelled"), F.col("eligible")))
+
+
+def scan(effects: DataFrame) -> DataFrame:
+    """A row per factor, horizon and step with its D beside its IC and spread, and its place by D within horizon and step."""
+    order = W.partitionBy("horizon", "delta").orderBy(F.round("mean_d", 9), "variant")
+    return effects.select("variant", "horizon", "delta", "paired", "mean_d", "mean_ic", "mean_spread", F.row_number().over(order).alias("place"))
+
+
+def effect_grid(effects: DataFrame, by: list[str]) -> DataFrame:
+    """Per cell of ``by``: variants, positive and negative gains, intervals above and below 0, mean of means, and whether the counts agree."""
+    made = effects.groupBy(*by).agg(
+        F.count("gain").alias("n"), F.count_if(F.col("gain") > 0).alias("positive"), F.count_if(F.col("gain") < 0).alias("negative"), F.count_if(F.col("gain_low") > 0).alias("above"), F.count_if(F.col("gain_high") < 0).alias("below"), F.avg("gain").alias("mean_of_means"),
+    )
+    return made.withColumn("consistent", (F.col("above") <= F.col("positive")) & (F.col("below") <= F.col("negative")) & (F.col("positive") + F.col("negative") <= F.col("n")))

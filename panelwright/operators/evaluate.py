@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,15 +95,18 @@ def hac(df: DataFrame, value: str, keys: list[str], lags: int, min_periods: int,
     return found.withColumns({"ci_low": F.col("mean") - z * F.col("se"), "ci_high": F.col("mean") + z * F.col("se"), "statistic": div(F.col("mean"), F.col("se"))}).drop("_total", "_varies")
 
 
-def with_p_values(summaries: DataFrame, statistic: str = "statistic") -> DataFrame:
-    """Two-sided normal p values; Spark has no erfc, so a small Arrow function over summary rows computes it."""
+# The coefficients of the public rational approximation of erfc, relative error below 1.2e-7.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
-    @F.pandas_udf("double")
-    def two_sided(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: None if pd.isna(t) else math.erfc(abs(t) / math.sqrt(2)))
 
-    return summaries.withColumn("p_value", two_sided(F.col(statistic)))
+def with_p_values(summaries: DataFrame, statistic: str = "statistic") -> DataFrame:
+    """Two-sided normal p values of a statistic; NULL without one. Spark has no erfc, so it is approximated."""
+    z = F.abs(F.col(statistic)) / F.lit(2.0**0.5)
+    t = 1 / (1 + z / 2)
+    power = F.lit(ERFC[-1])
+    for c in ERFC[-2::-1]:
+        power = F.lit(c) + t * power
+    return summaries.withColumn("p_value", t * F.exp(power - z * z))
 
 
 def stages(found: DataFrame, keys: list[str], start: Column, hours: int, direction: int, min_periods: int) -> DataFrame:

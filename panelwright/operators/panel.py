@@ -70,18 +70,25 @@ def violations(grid: DataFrame, symbol: str = "symbol", ts: str = "ts", step: st
     return repeated.unionByName(off).unionByName(lacking).unionByName(none.select(F.lit("never_eligible").alias("violation"), symbol, ts))
 
 
-def as_of(left: DataFrame, events: DataFrame, at: str, ts: str, symbol: str = "symbol", payload: str = "event") -> DataFrame:
+def as_of(left: DataFrame, events: DataFrame, at: str, ts: str, symbol: str = "symbol", payload: str = "event", bucket: str = "day") -> DataFrame:
     """``left`` with the struct of the latest event at or before ``at``: the whole row, its NULLs included.
 
-    Both sides go through one window per symbol, ordered by time with events before the rows that
-    look back at them, so there is one shuffle and no pair is formed.
+    Both sides go through one window per symbol and ``bucket`` of time, ordered by time with events
+    before the rows that look back at them; what the buckets before hold comes from a window over
+    one row per bucket. So one busy symbol is many tasks, there is one shuffle of rows, and no pair
+    is formed. Of events at one time the greatest counts; events without a time don't.
     """
     fields = [c for c in events.columns if c != symbol]
-    held = events.select(symbol, F.col(ts).alias("_t"), F.lit(0).alias("_side"), F.struct(*fields).alias(payload))
+    held = events.where(F.col(ts).isNotNull()).select(symbol, F.col(ts).alias("_t"), F.lit(0).alias("_side"), F.struct(*fields).alias(payload))
     asks = left.select(symbol, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
-    order = W.partitionBy(symbol).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    met = held.unionByName(asks, allowMissingColumns=True).withColumn(payload, F.last(payload, True).over(order))
-    return met.where("_side = 1").select("_row.*", payload)
+    both = held.unionByName(asks, allowMissingColumns=True).withColumn("_bucket", F.date_trunc(bucket, "_t")).repartition(symbol, "_bucket")
+    order = W.partitionBy(symbol, "_bucket").orderBy("_t", "_side", payload).rowsBetween(W.unboundedPreceding, 0)
+    met = both.withColumn("_in", F.last(payload, True).over(order)).where("_side = 1").select(symbol, "_bucket", "_row", "_in")
+    last = both.groupBy(symbol, "_bucket").agg(F.max(F.when(F.col("_side") == 0, F.struct("_t", payload))).alias("_last"))
+    before = W.partitionBy(symbol).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select(F.col(symbol).alias("_s"), F.col("_bucket").alias("_b"), F.last("_last", True).over(before)[payload].alias("_before")).where("_before is not null")
+    joined = met.join(carried, (met[symbol] == F.col("_s")) & (met["_bucket"] == F.col("_b")), "left")
+    return joined.select("_row.*", F.coalesce("_in", "_before").alias(payload))
 
 
 def attach(base: DataFrame, source: DataFrame, prefix: str, values: list[str], available_at: str = "available_at") -> DataFrame:
@@ -100,6 +107,9 @@ def rescale(df: DataFrame, multipliers: DataFrame, prices: list[str], volumes: l
 def funding_window(left: DataFrame, events: DataFrame, hours: int, at: str = "available_at") -> DataFrame:
     """``left`` with ``funding_sum`` over ``(at - hours, at]`` and ``funding_status``; the sum is NULL unless valid.
 
+    With them the latest event so far: ``funding_rate``, ``interval_hours``, ``observed`` (its time)
+    and ``funding_age_hours`` (since its settlement).
+
     ``events``: ``(symbol, event_ts, rate, interval_hours)``. Statuses, the first that holds:
     missing_event (none so far), missing_settlement (a settlement between two events is missing
     inside the window, or the latest is due), invalid_event, insufficient_history, valid. Running
@@ -112,7 +122,7 @@ def funding_window(left: DataFrame, events: DataFrame, hours: int, at: str = "av
     gap = F.col("settle") - F.lag("settle").over(w) > F.make_dt_interval(hours=F.col("interval_hours").cast("int"))
     marked = settled.withColumns({"ok": valid, "lost": F.when(gap, F.col("settle") - F.make_dt_interval(hours=F.col("interval_hours").cast("int")))})
     totals = marked.select(
-        "symbol", "event_ts", "settle", "ok", "interval_hours",
+        "symbol", "event_ts", "settle", "ok", "interval_hours", finite(F.col("rate")).alias("rate"),
         F.sum(F.when(F.col("ok"), F.col("rate")).otherwise(0.0)).over(run).alias("rates"),
         F.sum((~F.col("ok")).cast("int")).over(run).alias("bad"),
         F.max("lost").over(run).alias("lost"), F.min("event_ts").over(run).alias("first"),
@@ -130,7 +140,8 @@ def funding_window(left: DataFrame, events: DataFrame, hours: int, at: str = "av
         .otherwise("valid")
     )
     summed = F.col("now.rates") - F.coalesce("then.rates", F.lit(0.0))
-    return both.withColumn("funding_status", status).withColumn("funding_sum", F.when(F.col("funding_status") == "valid", summed)).drop("now", "then", "_low")
+    latest = {"funding_rate": F.col("now.rate"), "interval_hours": F.col("now.interval_hours"), "observed": F.col("now.event_ts"), "funding_age_hours": (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("now.settle").cast("timestamp"))) / 3600e6}
+    return both.withColumn("funding_status", status).withColumns({"funding_sum": F.when(F.col("funding_status") == "valid", summed), **latest}).drop("now", "then", "_low")
 
 
 def expiring(left: DataFrame, events: DataFrame, minutes: int, fields: list[str], at: str = "available_at") -> DataFrame:
@@ -156,6 +167,12 @@ def coverage(df: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
     )
 
 
+def ranges(df: DataFrame, times: list[str], ages: list[str], keys: list[str]) -> DataFrame:
+    """Per key: the first and last of every observed time, the least and greatest of every age; NULL where there is none."""
+    ends = [f(c).alias(f"{c}_{n}") for c in times for n, f in (("first", F.min), ("last", F.max))]
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), *ends, *[f(finite(F.col(c))).alias(f"{c}_{n}") for c in ages for n, f in (("min", F.min), ("max", F.max))])
+
+
 def validity(x: Column, kind: str) -> Column:
     """A field masked by its unit: prices above zero; amounts, ratios and counts from zero on."""
     ok = {"price": x > 0, "amount": x >= 0, "ratio": x >= 0}.get(kind, F.lit(True))

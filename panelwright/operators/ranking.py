@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.functions.cross import average_rank, correlation
-from panelwright.functions.pointwise import div
+from panelwright.functions.pointwise import div, finite
+from panelwright.operators.evaluate import hac
 
 
 def long_factors(panel: DataFrame, factors: list[str], keep: list[str]) -> DataFrame:
@@ -98,7 +99,7 @@ def similarity(long: DataFrame, min_symbols: int, min_periods: int) -> DataFrame
     """Per pair of factors: the mean over times of their cross-sectional correlation, and distance 1 - |mean|.
 
     Both sides are taken on the symbols that have both. Times are counted as insufficient (too few
-    symbols), constant (a side doesn't vary) or valid. The self-join is on time and symbol: its
+    symbols), constant (a side doesn't vary) or valid; a pair without any common cell has none. The self-join is on time and symbol: its
     rows are the panel's times the pairs of factors, so a long list of factors is best compared in
     blocks of pairs.
     """
@@ -107,7 +108,9 @@ def similarity(long: DataFrame, min_symbols: int, min_periods: int) -> DataFrame
     b = live.select(F.col("factor").alias("right"), "ts", "symbol", F.col("value").alias("y"))
     at = a.join(b, ["ts", "symbol"]).where("left < right").groupBy("left", "right", "ts").agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("r"))
     enough = F.col("n") >= min_symbols
-    found = at.groupBy("left", "right").agg(F.count_if(~enough).alias("insufficient"), F.count_if(enough & F.col("r").isNull()).alias("constant"), F.count_if(enough & F.col("r").isNotNull()).alias("valid"), F.avg(F.when(enough, F.col("r"))).alias("_mean"))
+    made = at.groupBy("left", "right").agg(F.count_if(~enough).alias("insufficient"), F.count_if(enough & F.col("r").isNull()).alias("constant"), F.count_if(enough & F.col("r").isNotNull()).alias("valid"), F.avg(F.when(enough, F.col("r"))).alias("_mean"))
+    all_pairs = long.agg(F.sort_array(F.collect_set("factor")).alias("all")).select(F.explode("all").alias("left"), "all").select("left", F.explode(F.filter("all", lambda x: x > F.col("left"))).alias("right"))
+    found = all_pairs.join(made, ["left", "right"], "left").fillna(0, ["insufficient", "constant", "valid"])
     mean = F.when(F.col("valid") >= min_periods, F.col("_mean"))
     reasons = F.concat_ws(",", F.when(F.col("valid") < min_periods, "too_few_times"), F.when(F.col("constant") > 0, "constant_side"), F.when(F.col("insufficient") > 0, "too_few_symbols"))
     return found.withColumns({"mean": mean, "distance": 1 - F.abs(mean), "reasons": reasons}).drop("_mean")
@@ -152,11 +155,10 @@ def thresholds(values: DataFrame, floors: list[float], value: str) -> DataFrame:
 
 
 def policy_changes(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
-    """Identities retained, added and lost between two policies."""
-    kept = old.select(by).intersect(new.select(by)).select(by, F.lit("retained").alias("change"))
-    added = new.select(by).exceptAll(old.select(by)).select(by, F.lit("added").alias("change"))
-    lost = old.select(by).distinct().join(new.select(by), by, "left_anti").select(by, F.lit("lost").alias("change"))
-    return kept.unionByName(added).unionByName(lost)
+    """Identities retained, added and lost between two policies, each once; both sides are counted in one aggregate."""
+    sides = old.select(by, F.lit(1).alias("_old"), F.lit(0).alias("_new")).unionByName(new.select(by, F.lit(0).alias("_old"), F.lit(1).alias("_new")))
+    held = sides.groupBy(by).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    return held.select(by, F.when(F.col("_old") == 0, "added").when(F.col("_new") == 0, "lost").otherwise("retained").alias("change"))
 
 
 def family_integrity(tests: DataFrame, frozen: DataFrame, keys: list[str]) -> DataFrame:
@@ -165,3 +167,34 @@ def family_integrity(tests: DataFrame, frozen: DataFrame, keys: list[str]) -> Da
     missing = frozen.select(*keys).join(tests, keys, "left_anti").withColumn("problem", F.lit("missing"))
     repeated = tests.groupBy(*keys).count().where("count > 1").select(*keys).withColumn("problem", F.lit("repeated"))
     return extra.unionByName(missing).unionByName(repeated)
+
+
+def member_coverage(panel: DataFrame, members: DataFrame, fields: list[str]) -> DataFrame:
+    """Per member and field that it uses: eligible rows of the panel, those with a finite value, their ratio.
+
+    The panel is aggregated once over all fields; ``members`` has ``member`` and the array ``fields``.
+    """
+    counts = panel.agg(F.count_if("eligible").alias("_rows"), *[F.count_if(F.col("eligible") & finite(F.col(f).cast("double")).isNotNull()).alias(f) for f in fields])
+    each = counts.select(F.col("_rows").alias("eligible_rows"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("finite_rows")) for f in fields])).alias("f")).select("eligible_rows", "f.*")
+    used = members.select("member", F.explode(F.array_distinct("fields")).alias("field"))
+    return used.join(F.broadcast(each), "field").select("member", "field", "eligible_rows", "finite_rows", div(F.col("finite_rows"), F.col("eligible_rows")).alias("ratio"))
+
+
+def directed_calibration(periods: DataFrame, per_symbol: DataFrame, keys: list[str], direction: int, groups: int, lags: int, min_periods: int) -> DataFrame:
+    """Per key: directed IC with its interval, share of years with a positive one, adjacent groups in direction, largest symbol's share of observations."""
+    tested = hac(periods, "rank_ic", keys, lags, min_periods)
+    ends = F.array_sort(F.array(F.col("ci_low") * direction, F.col("ci_high") * direction))
+    directed = tested.select(*keys, (F.col("mean") * direction).alias("directed_ic"), ends[0].alias("directed_low"), ends[1].alias("directed_high"), div(F.col("mean") * direction, F.col("std")).alias("icir"))
+    yearly = periods.groupBy(*keys, F.year("ts").alias("_year")).agg((F.avg("rank_ic") * direction).alias("_ic"))
+    stages = yearly.groupBy(*keys).agg(F.count("_ic").alias("valid_stages"), F.avg((F.col("_ic") > 0).cast("double")).alias("positive_stage_share"))
+    means = periods.groupBy(*keys).agg(*[F.avg(f"group_{g}").alias(f"_{g}") for g in range(1, groups + 1)])
+    steps = [(F.col(f"_{g + 1}") - F.col(f"_{g}")) * direction for g in range(1, groups)]
+    shape = means.select(*keys, sum((F.coalesce((x >= 0).cast("int"), F.lit(0)) for x in steps[1:]), F.coalesce((steps[0] >= 0).cast("int"), F.lit(0))).alias("adjacent_in_direction"), sum((x.isNotNull().cast("int") for x in steps[1:]), steps[0].isNotNull().cast("int")).alias("adjacent_estimable"))
+    shares = per_symbol.groupBy(*keys).agg(div(F.max("n"), F.sum("n")).alias("largest_symbol_share"))
+    return directed.join(stages, keys).join(shape, keys).join(shares, keys, "left")
+
+
+def value_quantiles(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Per key: how many values are there, their signs and linear quantiles."""
+    points = {"q0": 0, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q100": 1}
+    return values.groupBy(*keys).agg(F.count(value).alias("n"), F.count_if(F.col(value) > 0).alias("positive"), F.count_if(F.col(value) < 0).alias("negative"), *[F.expr(f"percentile({value}, {p})").alias(q) for q, p in points.items()])

@@ -112,3 +112,21 @@ nw AS (
 def avg_rank_sql(x: str, keys: str) -> str:
     """Average rank of ``x`` within ``keys`` among rows that have it, as a SQL expression."""
     return f"CASE WHEN {x} IS NOT NULL THEN rank() OVER (PARTITION BY {keys}, {x} IS NOT NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY {keys}, {x} IS NOT NULL, {x}) - 1) / 2.0::DOUBLE END"
+
+
+def wilder_sql(source: str, x: str, keys: str, n: int) -> str:
+    """CTEs: Wilder's index of ``x`` along each key's rows as the recursion that defines it; a NULL starts it anew. Ends with ``wilder``."""
+    names = [k.strip() for k in keys.split(",")]
+    same = " AND ".join(f"r.{k} = f.{k}" for k in names)
+    of = lambda p: ", ".join(f"{p}.{k}" for k in names)
+
+    def step(mean: str, move: str) -> str:
+        return f"CASE WHEN r.x IS NULL OR f.x IS NULL THEN 0 WHEN f.seen + 1 <= {n} THEN f.{mean} + greatest({move}, 0) / {n} ELSE f.{mean} + (greatest({move}, 0) - f.{mean}) / {n} END"
+
+    return f"""wr AS (SELECT {keys}, ts, {x} AS x, row_number() OVER (PARTITION BY {keys} ORDER BY ts) AS k FROM {source}),
+wf AS (
+  SELECT {keys}, ts, k, x, CAST(0 AS BIGINT) AS seen, 0.0::DOUBLE AS gain, 0.0::DOUBLE AS loss FROM wr WHERE k = 1
+  UNION ALL
+  SELECT {of("r")}, r.ts, r.k, r.x, CASE WHEN r.x IS NULL OR f.x IS NULL THEN 0 ELSE f.seen + 1 END, {step("gain", "r.x - f.x")}, {step("loss", "f.x - r.x")}
+  FROM wf f JOIN wr r ON {same} AND r.k = f.k + 1),
+wilder AS (SELECT {keys}, ts, CASE WHEN x IS NULL OR seen < {n} THEN NULL WHEN gain + loss = 0 THEN 50 ELSE 100 * gain / (gain + loss) END AS rsi FROM wf)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import comparison as V
 from panelwright.operators import displacement as R
 from panelwright.operators import evaluate as E
-from panelwright.plans.base import EV_BARS, NATION_WEEK, USER_UNIVERSE, ev_bars, nation_week, query, table, user_universe
+from panelwright.plans.base import EV_BARS, NATION_WEEK, USER_UNIVERSE, ev_bars, nation_week, query, table, user_universe, wilder_sql
 from panelwright.streaming import jobs as ST
 
 
@@ -88,10 +88,15 @@ def v_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.search(table(spark, sf_dir, "documents"), ["that", "Und", "que", "und"], "text", "doc_id")
 
 
-@query("v_table_digest")
+@query(
+    "v_table_digest",
+    """WITH h AS (SELECT o_orderpriority, CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(o_orderkey AS VARCHAR), '~'), coalesce(CAST(o_custkey AS VARCHAR), '~'), coalesce(o_orderstatus, '~'), coalesce(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR), '~'))), 1, 15) AS BIGINT) AS h FROM orders)
+SELECT o_orderpriority, count(*) AS rows, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM h GROUP BY 1""",
+)
 def v_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-free digests of a table's rows per key (the hash is Spark's own, so there is no SQL twin)."""
-    return V.digest(table(spark, sf_dir, "orders"), ["o_orderpriority"])
+    """Order-free digests of a table's rows per key."""
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)"))
+    return V.digest(rows, ["o_orderpriority"])
 
 
 @query("st_hourly_bars", f"WITH {EV_BARS} SELECT symbol, ts, open, high, low, close, volume, trades FROM ev_bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(events.ts) FROM events) - INTERVAL 10 MINUTE", "open high low close volume")
@@ -120,20 +125,13 @@ def st_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.replay(spark, sf_dir, ST.expiring_join)
 
 
-@query(
-    "st_online_rsi",
-    """WITH RECURSIVE r AS (SELECT event_type AS symbol, events.ts AS ts, value AS close, row_number() OVER (PARTITION BY event_type ORDER BY events.ts) AS k FROM events WHERE user_id % 12 = 0),
-f AS (SELECT symbol, ts, k, close, CAST(0 AS BIGINT) AS seen, 0.0::DOUBLE AS gain, 0.0::DOUBLE AS loss FROM r WHERE k = 1
-  UNION ALL SELECT r.symbol, r.ts, r.k, r.close, f.seen + 1, CASE WHEN f.seen + 1 <= 14 THEN f.gain + greatest(r.close - f.close, 0) / 14 ELSE f.gain + (greatest(r.close - f.close, 0) - f.gain) / 14 END, CASE WHEN f.seen + 1 <= 14 THEN f.loss + greatest(f.close - r.close, 0) / 14 ELSE f.loss + (greatest(f.close - r.close, 0) - f.loss) / 14 END FROM f JOIN r ON r.symbol = f.symbol AND r.k = f.k + 1)
-SELECT symbol, ts, CASE WHEN seen < 14 THEN NULL WHEN gain + loss = 0 THEN 50 ELSE 100 * gain / (gain + loss) END AS rsi FROM f""",
-    "rsi",
-)
+@query("st_online_rsi", f"WITH RECURSIVE se AS (SELECT event_type AS symbol, user_id, events.ts AS ts, value FROM events), {wilder_sql('se', 'value', 'symbol, user_id', 14)} SELECT symbol, user_id, ts, rsi FROM wilder", "rsi")
 def st_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST4: Wilder's index with its state kept between batches of a stream, of the twelfth of the users that its SQL can do."""
-    return ST.replay(spark, sf_dir, lambda events: ST.online_rsi(events.where("user_id % 12 = 0")))
+    """ST4: Wilder's index of each event type and user, its state kept between batches of a stream."""
+    return ST.replay(spark, sf_dir, ST.online_rsi)
 
 
 @query("st_online_rsi_all", rounded="rsi")
 def st_rsi_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST4: Wilder's index over the whole stream; its recursion is too slow for SQL."""
-    return ST.replay(spark, sf_dir, ST.online_rsi)
+    """ST4: Wilder's index along all events of a type, whoever made them; that recursion is too long for SQL."""
+    return ST.replay(spark, sf_dir, lambda events: ST.online_rsi(events, keys=("symbol",)))

@@ -70,31 +70,44 @@ def p_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FUNDING = f"""funding AS (SELECT event_type AS symbol, events.ts AS event_ts, date_trunc('hour', events.ts) AS settle, CASE WHEN event_id % 41 = 0 THEN NULL ELSE value / 10000 END AS rate FROM events)"""
 
 
-@query(
-    "p_funding_windows",
-    f"""WITH {EV_BARS}, {_FUNDING}, f AS (SELECT *, rate IS NOT NULL AS ok, lag(settle) OVER (PARTITION BY symbol ORDER BY event_ts) AS before FROM funding),
-l AS (SELECT symbol, ts, ts + INTERVAL 1 HOUR - INTERVAL 1 MILLISECOND AS q FROM ev_bars WHERE hour(ts) % 6 = 0),
-s AS (
-  SELECT l.symbol, l.ts, any_value(l.q) AS q, max(f.event_ts) AS latest, arg_max(f.ok, f.event_ts) AS latest_ok, arg_max(f.settle, f.event_ts) AS latest_settle, min(f.event_ts) AS first,
-    sum(CASE WHEN f.event_ts > l.q - INTERVAL 24 HOUR THEN f.rate END) AS total, bool_or(f.event_ts > l.q - INTERVAL 24 HOUR AND NOT f.ok) AS bad,
-    bool_or(f.settle - f.before > INTERVAL 8 HOUR AND f.settle - INTERVAL 8 HOUR > l.q - INTERVAL 24 HOUR) AS gap
-  FROM l LEFT JOIN f ON f.symbol = l.symbol AND f.event_ts <= l.q GROUP BY l.symbol, l.ts),
-t AS (SELECT *, CASE WHEN latest IS NULL THEN 'missing_event' WHEN gap THEN 'missing_settlement' WHEN NOT latest_ok THEN 'invalid_event' WHEN q - latest_settle >= INTERVAL 8 HOUR THEN 'missing_settlement' WHEN bad THEN 'invalid_event' WHEN q - INTERVAL 24 HOUR < first THEN 'insufficient_history' ELSE 'valid' END AS funding_status FROM s)
-SELECT symbol, ts, funding_status, CASE WHEN funding_status = 'valid' THEN coalesce(total, 0) END AS funding_sum FROM t""",
-    "funding_sum",
-)
-def p_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of irregular funding events over 24 hours with their status, for every sixth hour as in its SQL."""
-    return p_funding_all(spark, sf_dir).where(F.hour("ts") % 6 == 0)
-
-
-@query("p_funding_windows_all", rounded="funding_sum")
-def p_funding_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of irregular funding events over 24 hours with their status, for every bar; its range join is too costly for SQL."""
+def _funding_sql(hours: int) -> str:
+    return f"""WITH {EV_BARS}, {_FUNDING}, f AS (SELECT *, rate IS NOT NULL AS ok, lag(settle) OVER (PARTITION BY symbol ORDER BY event_ts) AS before FROM funding),
+t AS (SELECT symbol, event_ts, settle, ok, rate, sum(CASE WHEN ok THEN rate ELSE 0 END) OVER r AS rates, sum((NOT ok)::INT) OVER r AS bad, max(CASE WHEN settle - before > INTERVAL 8 HOUR THEN settle - INTERVAL 8 HOUR END) OVER r AS lost, min(event_ts) OVER r AS first
+  FROM f WINDOW r AS (PARTITION BY symbol ORDER BY event_ts ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT symbol, ts, ts + INTERVAL 1 HOUR - INTERVAL 1 MILLISECOND AS q, ts + INTERVAL 1 HOUR - INTERVAL 1 MILLISECOND - INTERVAL {hours} HOUR AS low FROM ev_bars),
+n AS (SELECT l.*, t.event_ts AS latest, t.settle, t.ok, t.rate, t.rates, t.bad, t.lost, t.first FROM l ASOF LEFT JOIN t ON l.symbol = t.symbol AND l.q >= t.event_ts),
+b AS (SELECT n.*, t.rates AS rates0, t.bad AS bad0 FROM n ASOF LEFT JOIN t ON n.symbol = t.symbol AND n.low >= t.event_ts),
+s AS (SELECT *, CASE WHEN latest IS NULL THEN 'missing_event' WHEN coalesce(lost > low, false) THEN 'missing_settlement' WHEN NOT ok THEN 'invalid_event' WHEN q - settle >= INTERVAL 8 HOUR THEN 'missing_settlement' WHEN bad > coalesce(bad0, 0) THEN 'invalid_event' WHEN low < first THEN 'insufficient_history' ELSE 'valid' END AS funding_status FROM b)
+SELECT symbol, ts, funding_status, CASE WHEN funding_status = 'valid' THEN rates - coalesce(rates0, 0) END AS funding_sum, rate AS funding_rate, CASE WHEN latest IS NOT NULL THEN 8.0::DOUBLE END AS interval_hours, latest AS observed, (epoch_us(q) - epoch_us(settle)) / 3600e6 AS funding_age_hours FROM s"""
+
+
+def _funding(spark: SparkSession, sf_dir: str, hours: int) -> DataFrame:
     e = table(spark, sf_dir, "events")
     funding = e.select(F.col("event_type").alias("symbol"), F.col("ts").alias("event_ts"), F.when(F.col("event_id") % 41 != 0, F.col("value") / 10000).alias("rate"), F.lit(8.0).alias("interval_hours"))
     left = ev_bars(spark, sf_dir).select("symbol", "ts", _available().alias("available_at"))
-    return P.funding_window(left, funding, 24).select("symbol", "ts", "funding_status", "funding_sum")
+    return P.funding_window(left, funding, hours).drop("available_at")
+
+
+@query("p_funding_windows", _funding_sql(24), "funding_sum funding_rate funding_age_hours")
+def p_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest funding event of every bar with its interval, observation time and age, and sums over 24 hours with their status."""
+    return _funding(spark, sf_dir, 24)
+
+
+@query("p_funding_windows_week", _funding_sql(168), "funding_sum funding_rate funding_age_hours")
+def p_funding_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over 168 hours."""
+    return _funding(spark, sf_dir, 168)
+
+
+@query(
+    "p_observed_ranges",
+    f"SELECT symbol, count(*) AS rows, min(ts) AS ts_first, max(ts) AS ts_last, min(observed) AS observed_first, max(observed) AS observed_last, min(funding_age_hours) AS funding_age_hours_min, max(funding_age_hours) AS funding_age_hours_max FROM ({_funding_sql(24)}) GROUP BY symbol",
+    "funding_age_hours_min funding_age_hours_max",
+)
+def p_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time ranges and ranges of age of what was observed, per symbol."""
+    return P.ranges(_funding(spark, sf_dir, 24), ["ts", "observed"], ["funding_age_hours"], ["symbol"])
 
 
 @query("p_look_ahead_guard", f"WITH {EV_BARS} SELECT symbol, ts, trades FROM ev_bars WHERE trades % 3 = 0")

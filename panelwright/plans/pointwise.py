@@ -53,14 +53,20 @@ def d_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The named factor templates as compositions; fields of a panel to a column of one level each.
+_NETS = ("toptrader_account", "toptrader_position", "global_account", "taker_flow")
+
+
 def templates(df: DataFrame) -> DataFrame:
-    """Spot and perpetual templates on ``spot_*`` and ``perp_*`` columns."""
+    """The 18 named factor templates and the taker flow as compositions of operators, on a panel's fields; one level of columns each."""
     w, c = T.series(), F.col
+    premium = lambda a, b: X.sub(X.div(c(a), c(b)), F.lit(1.0))
     df = df.withColumns({
-        "basis_trade_spot": X.sub(X.div(c("perp_close"), c("spot_close")), F.lit(1.0)),
-        "spot_quote_volume_24h": T.ts_sum(c("spot_quote_volume"), 24, w), "perp_quote_volume_24h": T.ts_sum(c("perp_quote_volume"), 24, w),
-        "spot_log_return_1bar": X.log(X.div(c("spot_close"), T.ts_delay(c("spot_close"), 1, w))), "perp_log_return_1bar": X.log(X.div(c("perp_close"), T.ts_delay(c("perp_close"), 1, w))),
+        "basis_trade_spot": premium("perp_close", "spot_close"), "basis_mark_index": premium("mark_close", "index_close"), "trade_mark_spread": premium("perp_close", "mark_close"),
+        "open_interest_change_1bar": T.ts_return(c("open_interest_base"), 1, w), "open_interest_change_24h": T.ts_return(c("open_interest_base"), 24, w),
+        **{f"{n}_net": X.bounded_ratio(c("taker_long_short_volume_ratio" if n == "taker_flow" else f"{n}_long_short_ratio")) for n in _NETS},
+        **{f"{m}_taker_buy_share": X.div(c(f"{m}_taker_buy_quote_volume"), c(f"{m}_quote_volume")) for m in ("spot", "perp")},
+        **{f"{m}_quote_volume_24h": T.ts_sum(c(f"{m}_quote_volume"), 24, w) for m in ("spot", "perp")},
+        **{f"{m}_log_return_1bar": X.log(X.div(c(f"{m}_close"), T.ts_delay(c(f"{m}_close"), 1, w))) for m in ("spot", "perp")},
     })
     return df.withColumns({
         "basis_change_1bar": T.ts_delta(c("basis_trade_spot"), 1, w), "perp_to_spot_quote_volume": X.div(c("perp_quote_volume_24h"), c("spot_quote_volume_24h")),
@@ -69,25 +75,38 @@ def templates(df: DataFrame) -> DataFrame:
     })
 
 
-_TEMPLATES = "basis_trade_spot basis_change_1bar spot_quote_volume_24h perp_quote_volume_24h perp_to_spot_quote_volume spot_log_return_1bar perp_log_return_1bar spot_perp_return_spread_1bar perp_realized_vol_24h"
+_TEMPLATES = (
+    "basis_trade_spot basis_mark_index trade_mark_spread basis_change_1bar open_interest_change_1bar open_interest_change_24h toptrader_account_net toptrader_position_net global_account_net taker_flow_net spot_taker_buy_share perp_taker_buy_share "
+    "spot_quote_volume_24h perp_quote_volume_24h perp_to_spot_quote_volume spot_log_return_1bar perp_log_return_1bar spot_perp_return_spread_1bar perp_realized_vol_24h"
+)
+#: Fields of a spot and perpetual panel, made of a nation's weekly prices, volumes and counts.
+_FIELDS = {
+    "spot_close": "open", "perp_close": "close * 25", "mark_close": "close * 24", "index_close": "open * 2", "spot_quote_volume": "CAST(volume AS DOUBLE)", "perp_quote_volume": "CAST(trades AS DOUBLE)", "spot_taker_buy_quote_volume": "CAST(trades AS DOUBLE)", "perp_taker_buy_quote_volume": "CAST(volume AS DOUBLE)",
+    "open_interest_base": "CAST(trades AS DOUBLE)", "toptrader_account_long_short_ratio": "CAST(trades - 3 AS DOUBLE)", "toptrader_position_long_short_ratio": "CAST(volume AS DOUBLE)", "global_account_long_short_ratio": "close", "taker_long_short_volume_ratio": "open",
+}
+
+
+def _net_sql(x: str) -> str:
+    return f"({x} - 1) / nullif({x} + 1, 0)"
 
 
 @query(
     "d_factor_templates",
-    f"""WITH {NATION_WEEK}, p AS (SELECT symbol, ts, open AS spot_close, close * 25 AS perp_close, volume AS spot_quote_volume, trades * 1.0::DOUBLE AS perp_quote_volume FROM nw),
-a AS (SELECT *, perp_close / nullif(spot_close, 0) - 1 AS basis_trade_spot, CASE WHEN count(spot_quote_volume) OVER d = 24 THEN sum(spot_quote_volume) OVER d END AS spot_quote_volume_24h,
-  CASE WHEN count(perp_quote_volume) OVER d = 24 THEN sum(perp_quote_volume) OVER d END AS perp_quote_volume_24h, ln(spot_close / lag(spot_close) OVER w) AS spot_log_return_1bar, ln(perp_close / lag(perp_close) OVER w) AS perp_log_return_1bar
-  FROM p WINDOW w AS (PARTITION BY symbol ORDER BY ts), d AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
-SELECT symbol, ts, basis_trade_spot, basis_trade_spot - lag(basis_trade_spot) OVER w AS basis_change_1bar, spot_quote_volume_24h, perp_quote_volume_24h, perp_quote_volume_24h / nullif(spot_quote_volume_24h, 0) AS perp_to_spot_quote_volume,
-  spot_log_return_1bar, perp_log_return_1bar, perp_log_return_1bar - spot_log_return_1bar AS spot_perp_return_spread_1bar,
+    f"""WITH {NATION_WEEK}, p AS (SELECT symbol, ts, {", ".join(f"{x} AS {n}" for n, x in _FIELDS.items())} FROM nw),
+a AS (SELECT *, perp_close / nullif(spot_close, 0) - 1 AS basis_trade_spot, mark_close / nullif(index_close, 0) - 1 AS basis_mark_index, perp_close / nullif(mark_close, 0) - 1 AS trade_mark_spread,
+  {", ".join(f"open_interest_base / nullif(lag(open_interest_base, {n}) OVER w, 0) - 1 AS open_interest_change_{x}" for n, x in ((1, "1bar"), (24, "24h")))}, {_net_sql("taker_long_short_volume_ratio")} AS taker_flow_net, {", ".join(f"{_net_sql(f'{n}_long_short_ratio')} AS {n}_net" for n in _NETS[:3])},
+  {", ".join(f"{m}_taker_buy_quote_volume / nullif({m}_quote_volume, 0) AS {m}_taker_buy_share, CASE WHEN count({m}_quote_volume) OVER d = 24 THEN sum({m}_quote_volume) OVER d END AS {m}_quote_volume_24h, ln({m}_close / lag({m}_close) OVER w) AS {m}_log_return_1bar" for m in ("spot", "perp"))}
+  FROM p WINDOW w AS (PARTITION BY symbol ORDER BY ts), d AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, basis_trade_spot - lag(basis_trade_spot) OVER w AS basis_change_1bar, perp_quote_volume_24h / nullif(spot_quote_volume_24h, 0) AS perp_to_spot_quote_volume, perp_log_return_1bar - spot_log_return_1bar AS spot_perp_return_spread_1bar,
   CASE WHEN count(perp_log_return_1bar) OVER d = 24 THEN stddev_pop(perp_log_return_1bar) OVER d * sqrt(8766.0::DOUBLE) END AS perp_realized_vol_24h
-FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts), d AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""",
+FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts), d AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
+SELECT symbol, ts, {_TEMPLATES.replace(" ", ", ")} FROM b""",
     _TEMPLATES,
     5,
 )
 def d_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates on a spot-like and a perpetual-like price of each nation."""
-    p = nation_week(spark, sf_dir).select("symbol", "ts", F.col("open").alias("spot_close"), (F.col("close") * 25).alias("perp_close"), F.col("volume").alias("spot_quote_volume"), F.col("trades").cast("double").alias("perp_quote_volume"))
+    """All named templates on fields made of each nation's prices, volumes and counts."""
+    p = nation_week(spark, sf_dir).select("symbol", "ts", *[F.expr(x).alias(n) for n, x in _FIELDS.items()])
     return templates(p).select("symbol", "ts", *_TEMPLATES.split())
 
 

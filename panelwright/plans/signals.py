@@ -83,11 +83,11 @@ def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.performance(_path(spark, sf_dir), _SPANS, 52.0, ["strategy", "symbol"]).withColumnRenamed("window", "span")
 
 
-@query("g_performance_summary", f"WITH {_PERFORMANCE} SELECT * REPLACE (CASE WHEN cagr IS NOT NULL THEN ln(greatest(1 + cagr, 1e-12)) END AS cagr, ln(greatest(1 + benchmark, 1e-12)) AS benchmark, ln(greatest(1 + total, 1e-12)) AS total, sign(excess) AS excess, sign(calmar) AS calmar) FROM pf", "cagr vol max_drawdown win_rate payoff profit_factor turnover participation_p95 benchmark total sharpe sortino calmar excess", 4)
+@query("g_performance_summary", f"WITH {_PERFORMANCE} SELECT * REPLACE (CASE WHEN cagr IS NOT NULL THEN ln(greatest(1 + cagr, 1e-12)) END AS cagr, ln(greatest(1 + benchmark, 1e-12)) AS benchmark, ln(greatest(1 + total, 1e-12)) AS total, sign(excess) * ln(1 + abs(excess)) AS excess, sign(calmar) * ln(1 + abs(calmar)) AS calmar) FROM pf", "cagr vol max_drawdown win_rate payoff profit_factor turnover participation_p95 benchmark total sharpe sortino calmar excess", 4)
 def g_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratios, wins, turnover, benchmark and excess over three windows; growth in logs, as it spans many orders."""
-    c = F.col
-    return _performance(spark, sf_dir).withColumns({"cagr": _log("cagr"), "benchmark": _log("benchmark"), "total": _log("total"), "excess": F.signum(c("excess")), "calmar": F.signum(c("calmar"))})
+    """Ratios, wins, turnover, benchmark and excess over three windows; growth in logs, as it spans many orders (with its sign where it has one)."""
+    signed = lambda c: F.signum(c) * F.log1p(F.abs(c))
+    return _performance(spark, sf_dir).withColumns({"cagr": _log("cagr"), "benchmark": _log("benchmark"), "total": _log("total"), "excess": signed("excess"), "calmar": signed("calmar")})
 
 
 @query("g_risk_gate", f"WITH {_PERFORMANCE}, f AS (SELECT strategy, symbol, span, concat_ws(',', CASE WHEN NOT coalesce(round(sharpe, 6) >= 0.0, false) THEN 'sharpe' END, CASE WHEN NOT coalesce(round(max_drawdown, 6) >= -0.9, false) THEN 'max_drawdown' END, CASE WHEN NOT coalesce(bars >= 100, false) THEN 'bars' END) AS failed FROM pf) SELECT *, failed = '' AS passed, min((failed = '')::INT) OVER (PARTITION BY strategy, span) = 1 AS all_passed FROM f")

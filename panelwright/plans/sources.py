@@ -76,15 +76,15 @@ def s_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s_full_outer_metrics",
-    """WITH a AS (SELECT event_type AS symbol, event_id, value AS interest, 'a' AS source FROM events WHERE event_id % 2 = 0), b AS (SELECT event_type AS symbol, event_id, value * 2 AS ratio, 'b' AS source FROM events WHERE event_id % 3 = 0)
+    """WITH a AS (SELECT event_type AS symbol, event_id, value AS interest, 'a' AS source FROM events WHERE event_id % 3 <> 0), b AS (SELECT event_type AS symbol, event_id, value * 2 AS ratio, 'b' AS source FROM events WHERE event_id % 3 <> 1)
 SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.event_id, b.event_id) AS event_id, interest, coalesce(a.source, b.source) AS source, ratio FROM a FULL JOIN b ON a.symbol = b.symbol AND a.event_id = b.event_id""",
     "interest ratio",
 )
 def s_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full outer merge of two metric tables, the first source named."""
+    """Full outer merge of two metric tables, which overlap and together have all events; the first source named."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "event_id", "value")
-    a = e.where("event_id % 2 = 0").select("symbol", "event_id", F.col("value").alias("interest"), F.lit("a").alias("source"))
-    b = e.where("event_id % 3 = 0").select("symbol", "event_id", (F.col("value") * 2).alias("ratio"), F.lit("b").alias("source"))
+    a = e.where("event_id % 3 <> 0").select("symbol", "event_id", F.col("value").alias("interest"), F.lit("a").alias("source"))
+    b = e.where("event_id % 3 <> 1").select("symbol", "event_id", (F.col("value") * 2).alias("ratio"), F.lit("b").alias("source"))
     return S.merged(a, b, ["symbol", "event_id"], ["source"])
 
 
@@ -192,9 +192,41 @@ def s_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.quality(ev_bars(spark, sf_dir))
 
 
+_CLOSES = "CASE WHEN trades % 3 = 0 THEN -60000 WHEN trades % 5 = 0 THEN 1000 ELSE 0 END"
+
+
+@query(
+    "s_close_quality",
+    f"""WITH {EV_BARS}, b AS (SELECT symbol, high, low, {_CLOSES} AS over_, volume * CASE WHEN trades = 4 THEN 2 ELSE 1 END / trades AS price FROM ev_bars)
+SELECT symbol, count(*) AS bars, count(*) FILTER (over_ < 0) AS short_closes, count(*) FILTER (over_ > 0) AS extended_closes, count(*) FILTER (price < low * (1 - 1e-8::DOUBLE) OR price > high * (1 + 1e-8::DOUBLE)) AS taker_outside, count(price) AS taker_priced FROM b GROUP BY symbol""",
+)
+def s_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short and extended closes, and takers' prices outside the bar; some bars are spoilt on purpose."""
+    opened = F.unix_millis(F.col("ts").cast("timestamp"))
+    b = ev_bars(spark, sf_dir).select("symbol", "high", "low", opened.alias("open_time"), (opened + 3_599_999 + F.expr(_CLOSES)).alias("close_time"), F.col("trades").alias("taker_base"), (F.col("volume") * F.when(F.col("trades") == 4, 2).otherwise(1)).alias("taker_quote"))
+    return S.close_quality(b)
+
+
+@query(
+    "s_windowed_csv",
+    f"""WITH {EV_BARS}, g AS (SELECT t.ts, s.symbol FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-19 23:00:00', INTERVAL 1 HOUR)) AS ts) t, (SELECT unnest(['click', 'view']) AS symbol) s)
+SELECT g.symbol, g.ts, close, b.ts IS NOT NULL AS present FROM g LEFT JOIN ev_bars b ON b.symbol = g.symbol AND b.ts = g.ts""",
+    "close",
+)
+def s_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written as CSV and read back within a window and for two symbols, against the exact grid."""
+    folder = S.shared_folder(spark, "bars")
+    S.write_report(ev_bars(spark, sf_dir).select("symbol", "ts", "close"), folder)
+    start, stop, symbols = "2024-01-10 00:00:00", "2024-01-20 00:00:00", ["click", "view"]
+    rows = S.windowed_csv(spark, folder, "symbol string, ts timestamp_ntz, close double", start, stop, symbols)
+    hours = f"explode(sequence(TIMESTAMP_NTZ '{start}', TIMESTAMP_NTZ '{stop}' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts"
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, symbols))).alias("symbol")).selectExpr("symbol", hours)
+    return grid.join(rows.withColumn("present", F.lit(True)), ["symbol", "ts"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
 @query("s_stage_window", f"WITH {EV_BARS} SELECT symbol, ts, close FROM ev_bars WHERE ts >= TIMESTAMP '2024-01-10' - INTERVAL 48 HOUR AND ts < TIMESTAMP '2024-01-20'", "close")
 def s_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a stage and its warm-up; the reserved stage is refused."""
+    """Rows of a stage and its warm-up; the reserved stage is refused."""
     return ev_bars(spark, sf_dir).where(S.stage_window("A", {"A": ("2024-01-10 00:00:00", "2024-01-20 00:00:00"), "B": ("2024-01-20 00:00:00", "2024-01-28 00:00:00")}, 48)).select("symbol", "ts", "close")
 
 
@@ -231,14 +263,14 @@ def s_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s_append_only",
-    """WITH s AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0)
+    """WITH s AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 1)
 SELECT b.o_orderkey, CASE WHEN s.o_orderkey IS NULL THEN 'new' WHEN s.o_totalprice = b.o_totalprice THEN 'same' ELSE 'conflict' END AS outcome FROM b LEFT JOIN s USING (o_orderkey)""",
 )
 def s_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch against an append-only store: new, same or conflict per key."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    batch = o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 9 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return S.append_only(o.where("o_orderkey % 2 = 0"), batch, ["o_orderkey"], ["o_totalprice"]).select("o_orderkey", "outcome")
+    batch = o.where("o_orderkey % 3 <> 1").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return S.append_only(o.where("o_orderkey % 3 <> 0"), batch, ["o_orderkey"], ["o_totalprice"]).select("o_orderkey", "outcome")
 
 
 @query("s_paged_values", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100 OFFSET 200", "o_totalprice")

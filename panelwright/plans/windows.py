@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import cross as C
 from panelwright.functions import window as T
-from panelwright.plans.base import EV_BARS, EV_GRID, NATION_WEEK, USER_UNIVERSE, avg_rank_sql, ev_bars, ev_grid, nation_week, query, user_universe
+from panelwright.plans.base import EV_BARS, EV_GRID, NATION_WEEK, USER_UNIVERSE, avg_rank_sql, ev_bars, ev_grid, nation_week, query, user_universe, wilder_sql
 
 _T = "t_delay t_delta t_return t_mean t_sum t_min t_max t_std t_cov t_corr t_rank"
 _W4 = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
@@ -32,22 +32,10 @@ def t_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev_grid(spark, sf_dir).select("symbol", "ts", *[c.alias(n) for c, n in zip(made, _T.split(), strict=True)])
 
 
-@query(
-    "t_wilder_rsi",
-    f"""WITH RECURSIVE {EV_BARS}, r AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM ev_bars),
-f AS (
-  SELECT symbol, ts, k, close, CAST(0 AS BIGINT) AS seen, 0.0::DOUBLE AS gain, 0.0::DOUBLE AS loss FROM r WHERE k = 1
-  UNION ALL
-  SELECT r.symbol, r.ts, r.k, r.close, f.seen + 1,
-    CASE WHEN f.seen + 1 <= 14 THEN f.gain + greatest(r.close - f.close, 0) / 14 ELSE f.gain + (greatest(r.close - f.close, 0) - f.gain) / 14 END,
-    CASE WHEN f.seen + 1 <= 14 THEN f.loss + greatest(f.close - r.close, 0) / 14 ELSE f.loss + (greatest(f.close - r.close, 0) - f.loss) / 14 END
-  FROM f JOIN r ON r.symbol = f.symbol AND r.k = f.k + 1)
-SELECT symbol, ts, CASE WHEN seen < 14 THEN NULL WHEN gain + loss = 0 THEN 50 ELSE 100 * gain / (gain + loss) END AS rsi FROM f""",
-    "rsi",
-)
+@query("t_wilder_rsi", f"WITH RECURSIVE {EV_GRID}, {wilder_sql('ev_grid', 'close', 'symbol', 14)} SELECT symbol, ts, rsi FROM wilder", "rsi")
 def t_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: Wilder's relative strength index over 14 changes of each event type's present hours."""
-    return T.ts_rsi(ev_bars(spark, sf_dir), "close", 14).select("symbol", "ts", "rsi")
+    """T4: Wilder's relative strength index over 14 changes of each event type's hours; a missing hour starts it anew."""
+    return T.ts_rsi(ev_grid(spark, sf_dir), "close", 14).select("symbol", "ts", "rsi")
 
 
 @query(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.functions.pointwise import finite
+from panelwright.functions.pointwise import div, finite
 
 
 def epoch_millis(x: Column) -> Column:
@@ -133,6 +136,34 @@ def quality(bars: DataFrame, ts: str = "ts", step_seconds: int = 3600) -> DataFr
     )
 
 
+def close_quality(bars: DataFrame, step_seconds: int = 3600, slack: float = 1e-8) -> DataFrame:
+    """Per symbol: bars that close short of their step or beyond it, and bars whose takers' mean price lies outside the bar.
+
+    ``bars``: ``open_time`` and ``close_time`` in milliseconds, ``high``, ``low``, and the takers'
+    base and quote volume. A bar without taker volume has no such price.
+    """
+    over = F.col("close_time") - F.col("open_time") - (step_seconds * 1000 - 1)
+    price = div(F.col("taker_quote"), F.when(F.col("taker_base") > 0, F.col("taker_base")))
+    outside = (price < F.col("low") * (1 - slack)) | (price > F.col("high") * (1 + slack))
+    return bars.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if(over < 0).alias("short_closes"), F.count_if(over > 0).alias("extended_closes"), F.count_if(outside).alias("taker_outside"), F.count(price).alias("taker_priced"))
+
+
+def windowed_csv(spark: SparkSession, path: str, schema: str, start: str, stop: str, symbols: list[str] | None = None, ts: str = "ts", symbol: str = "symbol") -> DataFrame:
+    """Rows of CSV files within ``[start, stop)`` and of the symbols, if any are named; the condition goes to the reader."""
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    kept = rows.where((F.col(ts) >= F.expr(f"TIMESTAMP_NTZ '{start}'")) & (F.col(ts) < F.expr(f"TIMESTAMP_NTZ '{stop}'")))
+    return kept.where(F.col(symbol).isin(symbols)) if symbols else kept
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster names in ``spark.checkpoint.dir``; a temporary one in local mode alone."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+    return f"{(named or f'file://{tempfile.mkdtemp()}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def membership(spark: SparkSession, path: str, start: str, stop: str, warm_hours: int) -> tuple[DataFrame, DataFrame]:
     """A universe file as ``(timestamp, symbol, eligible)`` from the warm-up on, and its violation rows.
 
@@ -169,8 +200,8 @@ def tail(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 def append_only(stored: DataFrame, batch: DataFrame, keys: list[str], content: list[str]) -> DataFrame:
     """``batch`` with ``outcome``: new for an unknown key, same for known content, conflict for other content."""
-    old = stored.select(*keys, F.xxhash64(*content).alias("_old"))
-    outcome = F.when(F.col("_old").isNull(), "new").when(F.col("_old") == F.xxhash64(*content), "same").otherwise("conflict")
+    old = stored.select(*keys, F.struct(*content).alias("_old"))
+    outcome = F.when(F.col("_old").isNull(), "new").when(F.col("_old").eqNullSafe(F.struct(*content)), "same").otherwise("conflict")
     return batch.join(old, keys, "left").withColumn("outcome", outcome).drop("_old")
 
 

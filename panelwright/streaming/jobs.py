@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.functions.window import wilder
+from panelwright.sources.tables import shared_folder
+
 DELAY = "10 minutes"
 
 
@@ -39,29 +41,31 @@ def expiring_join(events: DataFrame) -> DataFrame:
     return met.select("purchase", "view", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-def _rsi(n: int) -> Callable[[tuple[Any, ...], Iterator[pd.DataFrame], Any], Iterator[pd.DataFrame]]:
+def _rsi(n: int, keys: Sequence[str]) -> Callable[[tuple[Any, ...], Iterator[pd.DataFrame], Any], Iterator[pd.DataFrame]]:
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        previous, seen, gain, loss = state.get if state.exists else (None, 0, 0.0, 0.0)
-        rows = pd.concat([*batches]).sort_values("ts")
-        out = []
-        for value in rows["value"]:
-            if previous is not None:
-                up, down = max(value - previous, 0.0), max(previous - value, 0.0)
-                seen += 1
-                step = 1.0 if seen > n else 0.0
-                gain, loss = gain + (up - step * gain) / n, loss + (down - step * loss) / n
-            previous = float(value)
-            out.append(None if seen < n else 50.0 if gain + loss == 0 else 100 * gain / (gain + loss))
-        state.update((previous, seen, gain, loss))
-        yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"], "rsi": pd.Series(out, index=rows.index, dtype="float64")})
+        carried = state.get if state.exists else (None, 0, 0.0, 0.0)
+        rows = pd.concat([*batches]).sort_values(["ts", "value"])
+        values, out = rows["value"].to_numpy(float), np.full(len(rows), np.nan)
+        finite = np.isfinite(values)
+        for run in np.split(np.arange(len(values)), np.flatnonzero(~finite)):  # a value that is missing starts anew
+            if len(run) and not finite[run[0]]:
+                carried, run = (None, 0, 0.0, 0.0), run[1:]
+            out[run], carried = wilder(values[run], n, carried)
+        state.update(carried)
+        yield pd.DataFrame(dict(zip(keys, key, strict=True)) | {"ts": rows["ts"], "rsi": pd.Series(out, index=rows.index)})
 
     return fold
 
 
-def online_rsi(events: DataFrame, n: int = 14) -> DataFrame:
-    """Wilder's index per type over a stream in time order; four numbers are the state of a type."""
-    slim = events.select(F.col("event_type").alias("symbol"), "ts", "value")
-    made = slim.groupBy("symbol").applyInPandasWithState(_rsi(n), "symbol string, ts timestamp, rsi double", "previous double, seen long, gain double, loss double", "append", "NoTimeout")
+def online_rsi(events: DataFrame, n: int = 14, keys: Sequence[str] = ("symbol", "user_id")) -> DataFrame:
+    """Wilder's index per event type (and user) over a stream in time order; four numbers are the state of a key.
+
+    A micro-batch's rows of one key are sorted together; with the user in the key they are few,
+    however long the stream is.
+    """
+    slim = events.select(F.col("event_type").alias("symbol"), "user_id", "ts", "value")
+    named = ", ".join(f"{k} {kind}" for k, kind in slim.dtypes if k in keys)
+    made = slim.groupBy(*keys).applyInPandasWithState(_rsi(n, keys), f"{named}, ts timestamp, rsi double", "previous double, seen long, gain double, loss double", "append", "NoTimeout")
     return made.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
@@ -69,10 +73,9 @@ def replay(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFram
     """Runs a job over the events table read as a stream until all of it has been processed; the rows it has put out.
 
     The sink and the query's state lie in the shared folder that the cluster names in
-    ``spark.checkpoint.dir``, or in a temporary one where that is unset.
+    ``spark.checkpoint.dir``, or in a temporary one in local mode where that is unset.
     """
-    place = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='panelwright-')}"
-    place = f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = shared_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     made = job(events)

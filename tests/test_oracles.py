@@ -53,17 +53,6 @@ def test_online_rsi_over_all_users(spark):
     assert all(got[k] == v or math.isclose(got[k], v, rel_tol=1e-6, abs_tol=2e-4) for k, v in want.items())
 
 
-def test_funding_windows_of_every_bar(spark, duck):
-    """All bars against the SQL of every sixth hour, run here without that condition."""
-    part = registry.oracle_sql()["p_funding_windows"]
-    whole = part.replace(" WHERE hour(ts) % 6 = 0", "")
-    assert whole != part
-    want = {(s, ts): (status, total) for s, ts, status, total in duck.sql(f"SELECT symbol, ts, funding_status, funding_sum FROM ({whole})").fetchall()}
-    got = {(r["symbol"], r["ts"]): (r["funding_status"], r["funding_sum"]) for r in registry.queries()["p_funding_windows_all"](spark, SF).collect()}
-    assert got.keys() == want.keys() and {ts.hour for _, ts in got} == set(range(24))
-    assert all(got[k][0] == s and (got[k][1] == v or math.isclose(got[k][1], v, rel_tol=1e-6, abs_tol=2e-4)) for k, (s, v) in want.items())
-
-
 def test_queries_without_sql_have_stable_rows(spark):
     for name in set(registry.queries()) - set(registry.oracle_sql()):
         assert registry.queries()[name](spark, SF).count() > 0
@@ -72,4 +61,5 @@ def test_queries_without_sql_have_stable_rows(spark):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["ts", "n", "rank_ic"]
+    found = __spark_entry__.entry(spark)
+    assert found.columns == ["ts", "n", "rank_ic"] and found.where("rank_ic is not null").count() > 50
