@@ -24,12 +24,12 @@ from panelwright.llm.simhash import _LOWER
 VOCABULARY, WIDTH = 2_048, 16
 END, PAD = VOCABULARY - 1, VOCABULARY
 MERGES = VOCABULARY - 257
-#: A window of 24 inputs scores its last 16: each token is scored once, with the 9 to 24 tokens before it.
-WINDOW, STEP = 24, 16
+#: A window of 32 inputs scores its last 24: each token is scored once, with the 9 to 32 tokens before it.
+WINDOW, STEP = 32, 24
 #: The softmax has two levels: 32 classes of 64 subwords.
 CLASSES, MEMBERS = 32, 64
 #: Rounds of local descent, each over all windows of its own part of the training documents.
-ROUNDS, BATCH = 3, 64
+ROUNDS, BATCH = 3, 192
 #: Words that are one in so many of the training corpus or more (no more than that many can be) have
 #: their counts on every executor; counts of rarer words are joined.
 HEAD_SHARE = 1 << 19
@@ -117,16 +117,20 @@ def gradient(model: Model, inputs: np.ndarray, targets: np.ndarray) -> tuple[flo
     full = np.zeros_like(h)
     full[live] = dh * (1 - hs * hs)
     g["shift"][:] = full.sum(axis=(0, 1))
-    g["direct"][:] = np.einsum("bld,ble->de", x, full)
+    rows_of_x, wide = x.reshape(-1, WIDTH).T, full.reshape(-1, WIDTH)
+    g["direct"][:] = rows_of_x @ wide
     dx = full @ w["direct"].T
     da, dv = full @ v.transpose(0, 2, 1), attention.transpose(0, 2, 1) @ full
     ds = attention * (da - (da * attention).sum(axis=-1, keepdims=True)) * scale
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
     for name, d in (("query", dq), ("key", dk), ("value", dv)):
-        g[name][:] = np.einsum("bld,ble->de", x, d)
+        g[name][:] = rows_of_x @ d.reshape(-1, WIDTH)
         dx += d @ w[name].T
     g["place"][:] = dx.sum(axis=0)
-    np.add.at(g["embed"], inputs, dx)
+    flat = inputs.ravel()
+    order = np.argsort(flat, kind="stable")  # a token's rows stand together and are added up at once
+    first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
+    g["embed"][flat[order[first]]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
     return float(loss) / n, g_flat / np.float32(n)
 
 
@@ -351,15 +355,6 @@ def _windows(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([inputs, targets])
 
 
-def _batch(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    targets = np.full((len(windows), WINDOW), PAD, np.int32)
-    for row, ids in zip(targets, windows, strict=True):
-        row[: len(ids)] = ids
-    inputs = np.full_like(targets, END)
-    inputs[:, 1:] = targets[:, :-1]
-    return inputs, targets
-
-
 def train(docs: DataFrame, counts: DataFrame, n_docs: int, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> Model:
     """The model of all ``docs``: biases from all their subwords, the rest by rounds of local descent.
 

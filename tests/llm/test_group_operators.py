@@ -241,7 +241,7 @@ def test_lm_scores_each_token_once_and_sums_to_one():
     rng = np.random.default_rng(3)
     long = rng.integers(0, lm.VOCABULARY, 75)
     inputs, targets, owner = lm.blocks(np.concatenate([long, long[:1]]), np.array([0, 75, 75, 76]))
-    assert (targets != lm.PAD).sum() == 76 and np.bincount(owner, minlength=3).tolist() == [5, 0, 1]
+    assert (targets != lm.PAD).sum() == 76 and np.bincount(owner, minlength=3).tolist() == [-(-75 // lm.STEP), 0, 1]
     assert targets[targets != lm.PAD].tolist() == [*long.tolist(), long[0]]
     every = np.tile(inputs[:1], (lm.VOCABULARY, 1))
     wanted = np.full((lm.VOCABULARY, lm.STEP), lm.PAD, np.int32)
@@ -253,13 +253,51 @@ def test_lm_scores_each_token_once_and_sums_to_one():
     assert np.allclose(a[:40], b[:40])  # later tokens don't matter to earlier ones
 
 
+@pytest.mark.parametrize("safe", [True, False])
+def test_lm_scorer_against_the_plain_forward_pass(safe):
+    """Looked-up keys and values give the loss that the training pass multiplies out, with and without the largest term subtracted."""
+    model = _random_model()
+    scorer = lm.Scorer(model)
+    scorer.safe = safe
+    ids = np.random.default_rng(4).integers(0, lm.VOCABULARY, 130)
+    inputs, targets = lm._windows(ids, np.array([0, 70, 71, 71, 130]))
+    loss, _ = lm.gradient(model, inputs, targets)
+    assert -scorer.windows(inputs, targets[:, lm.WINDOW - lm.STEP :]).sum() / 130 == pytest.approx(loss, rel=1e-4)
+    assert -scorer.score(ids, np.array([0, 70, 71, 71, 130])).sum() * np.log(10) / 130 == pytest.approx(loss, rel=1e-4)
+
+
+def test_lm_beats_its_unigram_on_held_out_text(rows):
+    """Trained on part of the documents, the model gives others more than the smoothed unigram of the same subwords that it starts from."""
+    subwords = lm.Subwords(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t for d, t in rows if d is not None and d < 900_000 and t]
+    ids, starts = subwords.encode([lm.words_of(t) for t in texts[:150]])
+    model = lm.initial(np.bincount(ids, minlength=lm.VOCABULARY).astype(float))
+    held, held_starts = subwords.encode([lm.words_of(t) for t in texts[150:]])
+    windows = lm._windows(held, held_starts)
+    before, _ = lm.gradient(model, *windows[:, :400])
+    made = np.random.default_rng(0).permutation(lm._windows(ids, starts), axis=1)
+    for _ in range(2):
+        lm.descend(model, ((made[0, i : i + 64], made[1, i : i + 64]) for i in range(0, made.shape[1], 64)), 0.005)
+    after, _ = lm.gradient(model, *windows[:, :400])
+    assert after < before - 0.2
+
+
+def _batch(windows):
+    targets = np.full((len(windows), lm.WINDOW), lm.PAD, np.int32)
+    for row, ids in zip(targets, windows, strict=True):
+        row[: len(ids)] = ids
+    inputs = np.full_like(targets, lm.END)
+    inputs[:, 1:] = targets[:, :-1]
+    return inputs, targets
+
+
 def test_lm_learns():
     rng = np.random.default_rng(6)
     stream = np.tile(rng.integers(0, 300, 8), 2000)
     model = lm.initial(np.bincount(stream, minlength=lm.VOCABULARY).astype(float))
-    before, _ = lm.gradient(model, *lm._batch([stream[i : i + lm.WINDOW] for i in range(0, 640, 32)]))
-    lm.descend(model, (lm._batch([stream[i : i + lm.WINDOW] for i in rng.integers(0, 9000, 16)]) for _ in range(80)), 0.01)
-    after, _ = lm.gradient(model, *lm._batch([stream[i : i + lm.WINDOW] for i in range(0, 640, 32)]))
+    before, _ = lm.gradient(model, *_batch([stream[i : i + lm.WINDOW] for i in range(0, 640, 32)]))
+    lm.descend(model, (_batch([stream[i : i + lm.WINDOW] for i in rng.integers(0, 9000, 16)]) for _ in range(80)), 0.01)
+    after, _ = lm.gradient(model, *_batch([stream[i : i + lm.WINDOW] for i in range(0, 640, 32)]))
     assert after < before / 2
 
 
@@ -270,7 +308,8 @@ def test_lm_trains_on_every_token_after_its_predecessors(spark):
     live = targets != lm.PAD
     assert targets[live].tolist() == [*stream, lm.END, lm.END]
     assert inputs[live].tolist() == [lm.END, *stream, lm.END]
-    assert inputs[2].tolist() == stream[32 - 9 : 32 - 9 + lm.WINDOW].tolist()
+    first = 2 * lm.STEP - (lm.WINDOW - lm.STEP) - 1
+    assert inputs[2].tolist() == stream[first : first + lm.WINDOW].tolist()
     texts = [" ".join(f"word{i}" for i in range(700)), "one two", "", None]
     one = spark.createDataFrame([(t,) for t in texts], "_body string").coalesce(1)
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
