@@ -192,7 +192,7 @@ def _first_links(members: DataFrame, sketches: DataFrame) -> DataFrame:
     return best.select(F.least("line", "best.head").alias("u"), F.greatest("line", "best.head").alias("v"), "best.sum").distinct()
 
 
-def _rest(members: DataFrame, bodies: DataFrame, sketches: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, bodies: DataFrame, sketches: DataFrame, groups: DataFrame) -> DataFrame:
     """``(line, group)`` after all pairs of a bucket that ``groups`` leaves apart have been verified too."""
     rooted = members.select("band", "line").join(groups, "line", "left").select("band", "line", F.coalesce("group", "line").alias("root"))
     roots = rooted.groupBy("band", "root").agg(F.count("*").alias("held"))
@@ -205,7 +205,7 @@ def _rest(members: DataFrame, bodies: DataFrame, sketches: DataFrame, links: Dat
     if large.take(1):
         sets = _bodies(bodies, checkpoint(large.select("line").distinct())).select("line", F.inline(F.array(F.struct(_set_of(F.encode("norm", "UTF-16BE")).alias("shingles")))))
         keyed = keyed.unionByName(_prefix_keys(large, checkpoint(sets.select("line", "shingles", F.size("shingles").alias("n")))).select("key", "line", "root"))
-    pairs = checkpoint(_across(keyed, sketches).join(links, ["u", "v"], "left_anti"))
+    pairs = checkpoint(_across(keyed, sketches))
     # The likeliest pair of every root goes first; what it joins needs no further pair.
     each = pairs.select(F.explode(F.array("a", "b")).alias("root"), F.struct("apart", "u", "v", "sum", "a", "b").alias("pair"))
     nearest = checkpoint(each.groupBy("root").agg(F.min("pair").alias("pair")).select("pair.*").distinct())
@@ -234,7 +234,7 @@ def duplicate_lines(lines: DataFrame) -> DataFrame:
     # First every line is linked to the likeliest head of its buckets; then the pairs that this leaves apart are tried.
     links = checkpoint(_first_links(members, sketches))
     groups = connected_components(_alike(links, bodies)).select(F.col("node").alias("line"), F.col("component").alias("group"))
-    groups = _rest(members, bodies, sketches, links, groups)
+    groups = _rest(members, bodies, sketches, groups)
 
     member = signed.select("line", "keeper", "copies").join(groups, "line", "left").where("copies > 1 or group is not null")
     member = checkpoint(member.select("line", "keeper", F.coalesce("group", "line").alias("group")))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.runtime import checkpoint
 
-#: Ranges that the splitters bound, rows that the sample is meant to have, bytes above which a range is subdivided.
-RANGES, SAMPLE_ROWS, RANGE_BYTES = 256, 50_000, 64 << 20
+#: Ranges that the splitters bound, rows that the sample is meant to have, bytes and rows above which a range is subdivided.
+RANGES, SAMPLE_ROWS, RANGE_BYTES, RANGE_ROWS = 256, 50_000, 64 << 20, 1_000_000
 
 
 def _range_of(key: Column, splitters: list[int], first: int = 0) -> Column:
@@ -26,13 +26,14 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_
     ``size`` is the text's UTF-8 length plus one. Rows are keyed by a hash of the text, so equal
     texts are neighbours. A sample in which a row's chance grows with its size (``SAMPLE_ROWS``
     expected) gives the splitters of ``RANGES`` ranges of about equal bytes; a range that holds
-    more than ``RANGE_BYTES``, be it by scale or because one text fills it, is subdivided by a hash
-    of the row. Exact totals of these cells give each row its byte offset in the order of all
+    more than ``RANGE_BYTES`` or ``RANGE_ROWS``, be it by scale or because one text fills it, is
+    subdivided by a hash of the row, which differs between rows that repeat. Exact totals of these cells give each row its byte offset in the order of all
     rows, and a shard is one n-th of the bytes: two shards differ by one row's size at most,
     whatever the sample was. ``slot`` numbers a shard's rows from 0.
 
     Null text: size 1, checksum of the empty string. Null ids, ties and repeated rows are rows like
-    any other. An empty table gives an empty result. Other columns are ignored.
+    any other. A long text counts whole and goes to one shard. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -42,6 +43,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_
             (F.octet_length(body) + 1).cast("long").alias("size"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
             F.xxhash64(body).alias("key"),
+            F.monotonically_increasing_id().alias("salt"),  # fixed as the rows are written; tells rows apart that repeat
         )
     )
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
@@ -52,9 +54,10 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_
     sample = rows.where(chance < F.col("size") * F.lit(SAMPLE_ROWS / total))
     splitters = sorted(set(sample.agg(F.percentile_approx("key", quantiles, 10_000)).first()[0] or []))
     ranged = rows.withColumn("range", _range_of(F.col("key"), splitters))
-    held = {r["range"]: r["bytes"] for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes")).collect()}
-    parts = [-(-held.get(i, 0) // RANGE_BYTES) or 1 for i in range(len(splitters) + 1)]
-    celled = ranged.withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.element_at(F.array(*map(F.lit, parts)), F.col("range") + 1)).cast("int"))
+    found = {r["range"]: r for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
+    held = {i: r["bytes"] for i, r in found.items()}
+    parts = [max(1, -(-held[i] // RANGE_BYTES), -(-found[i]["rows"] // RANGE_ROWS)) if i in found else 1 for i in range(len(splitters) + 1)]
+    celled = ranged.withColumn("part", F.pmod(F.xxhash64("doc_id", "key", "salt"), F.element_at(F.array(*map(F.lit, parts)), F.col("range") + 1)).cast("int"))
 
     starts, before = [], 0
     for i in range(len(splitters) + 1):

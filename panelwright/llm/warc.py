@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Compressed bytes after which a task begins its next archive.
 ARCHIVE_BYTES = 8 << 20
+#: Bytes that a record's headers may take, and compressed bytes that are unpacked at a time.
+HEADER_BYTES, PIECE_BYTES = 64 << 10, 16 << 10
 _MAGIC, _VERSION, _END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 _EPOCH = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,48 +66,71 @@ class _Damaged(Exception):
 
 
 def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
-    """The record at ``at``: where it ends, its headers and its block; raises where a check fails."""
-    stop = data.find(_END, at)
+    """The record at ``at``: where it ends, its headers (names in lower case) and its block; raises where a check fails."""
+    stop = data.find(_END, at, at + HEADER_BYTES)
     if not data.startswith(_VERSION, at) or stop < 0:
         raise _Damaged("no header")
     try:
-        headers = dict(line.split(": ", 1) for line in data[at:stop].decode().split("\r\n")[1:])
-        size = int(headers["Content-Length"])
+        fields = (line.split(":", 1) for line in data[at:stop].decode().split("\r\n")[1:])
+        headers = {name.strip().lower(): value.strip() for name, value in fields}
+        size = int(headers["content-length"])
     except (ValueError, KeyError) as e:
         raise _Damaged("bad header") from e
-    block, end = data[stop + 4 : stop + 4 + size], stop + 4 + size
+    block, end = data[stop + 4 : stop + 4 + max(0, size)], stop + 4 + size
     if size < 0 or len(block) < size or data[end : end + 4] != _END:
         raise _Damaged("bad length")
-    if headers.get("WARC-Block-Digest", (sha := f"sha1:{base32_sha1(block)}")) != sha:
+    if headers.get("warc-block-digest", (sha := f"sha1:{base32_sha1(block)}")) != sha:
         raise _Damaged("bad digest")
     return end + 4, headers, block
 
 
 def _member(data: bytes, at: int) -> tuple[int, bytes]:
-    """The gzip member at ``at``: where it ends and its content; its checksum is checked."""
-    opened = zlib.decompressobj(31)
-    try:
-        content = opened.decompress(data[at:])
-    except zlib.error as e:
-        raise _Damaged("bad member") from e
-    if not opened.eof:
-        raise _Damaged("cut member")
-    return len(data) - len(opened.unused_data), content
+    """The gzip member at ``at``: where it ends and its content; its checksum is checked. Reads no further than the member."""
+    opened, pieces, whole = zlib.decompressobj(31), [], memoryview(data)
+    while not opened.eof:
+        part = whole[at : at + PIECE_BYTES]
+        if not len(part):
+            raise _Damaged("cut member")
+        try:
+            pieces.append(opened.decompress(part))
+        except zlib.error as e:
+            raise _Damaged("bad member") from e
+        at += len(part) - len(opened.unused_data)
+    return at, b"".join(pieces)
 
 
 def _record(start: int, end: int, headers: dict[str, str], block: bytes) -> Found:
     http, _, payload = block.partition(_END)
-    if headers.get("WARC-Type") == "response" and headers.get("WARC-Payload-Digest", (sha := f"sha1:{base32_sha1(payload)}")) != sha:
+    if headers.get("warc-type") == "response" and headers.get("warc-payload-digest", (sha := f"sha1:{base32_sha1(payload)}")) != sha:
         raise _Damaged("bad payload digest")
     return Found(start, end, headers, http, payload)
 
 
+def _inside(content: bytes, start: int, end: int) -> list[Found]:
+    """The sound records of a sound member that lies from ``start`` to ``end``; one gap of that place if any of it is damaged."""
+    found, at, reason = [], 0, ""
+    while at < len(content):
+        try:
+            after, headers, block = _parse(content, at)
+            found.append(_record(start, end, headers, block))
+            at = after
+        except _Damaged as e:
+            reason = reason or str(e)
+            at = content.find(_VERSION, at + 1)
+            if at < 0:
+                break
+    if not found:
+        raise _Damaged(reason or "no record")
+    return [*found, Found(start, end, gap=f"in member: {reason}")] if reason else found
+
+
 def salvage(data: bytes) -> Iterator[Found]:
     """Every sound record of an archive, and a gap for each stretch of bytes that isn't one.
 
     Plain records and gzip members may alternate. After a failed check the search goes on one byte
     further for the next member or version line that passes all checks; a mark inside a payload
-    that passes none is stepped over. No byte is left out: records and gaps cover the archive.
+    that passes none is stepped over. No byte is left out: records and gaps cover the archive. In a
+    member that holds several records the sound ones around a damaged one are found too.
     """
     at, lost, reason = 0, -1, ""
     mark = re.compile(re.escape(_MAGIC) + b"|" + re.escape(_VERSION))
@@ -113,11 +138,7 @@ def salvage(data: bytes) -> Iterator[Found]:
         try:
             if data.startswith(_MAGIC, at):
                 end, content = _member(data, at)
-                inner, each = 0, []
-                while inner < len(content):
-                    inner_end, headers, block = _parse(content, inner)
-                    each.append(_record(at, end, headers, block))
-                    inner = inner_end
+                each = _inside(content, at, end)
             else:
                 end, headers, block = _parse(data, at)
                 each = [_record(at, end, headers, block)]
@@ -189,7 +210,10 @@ def _writing(folder: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
 def write_archives(pages: DataFrame, folder: str, payload: str = "html", url: str = "url", min_bytes: int = 0) -> int:
     """Writes a gzip member per row of ``pages`` to archives in ``folder`` (a URI that all executors reach); the number of records.
 
-    Null payloads are empty; a missing or null url is replaced by the page's name.
+    Null payloads are empty; a missing or null url is replaced by the page's name. Of ties the
+    smallest page_id is the response; rows that repeat it are responses too. Long payloads are one
+    record each, in memory in proportion to them. An empty table writes no archive. Other columns
+    are ignored, whatever their names.
     """
     store, top = fs.FileSystem.from_uri(folder)
     store.create_dir(top, recursive=True)
@@ -215,8 +239,8 @@ def _row(archive: str, x: Found) -> tuple:
     size = re.search(rb"(?i)\r\nContent-Length: *(\d+)", x.http)
     h = x.headers
     return (
-        archive, x.start, x.end, None, h.get("WARC-Type"), _number(h.get("WARC-Record-ID")), h.get("WARC-Target-URI"), _number(h.get("WARC-Refers-To")),
-        int(size[1]) if size else len(x.payload), h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), x.payload,
+        archive, x.start, x.end, None, h.get("warc-type"), _number(h.get("warc-record-id")), h.get("warc-target-uri"), _number(h.get("warc-refers-to")),
+        int(size[1]) if size else len(x.payload), h.get("warc-payload-digest", "").removeprefix("sha1:"), x.payload,
     )
 
 
@@ -243,7 +267,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     Gaps have ``gap`` (the reason), ``start`` and ``stop`` (the archive's bytes set aside) and no
     other fields; records have ``gap`` null. An archive is read whole by one task, which is why
-    the writer bounds its size.
+    the writer bounds its size. Header names may have any case. No archives give no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
     kinds = {pa.string(): "string", pa.int64(): "bigint", pa.binary(): "binary"}

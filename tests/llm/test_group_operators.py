@@ -1,9 +1,11 @@
 """Operators over groups of rows against brute force: line dedup, sharding, SimHash, WARC, LM, pipeline."""
 
 import base64
+import gzip
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,6 +16,7 @@ import xxhash
 
 from panelwright.llm import line_dedup, lm, queries, sharding, simhash, warc
 from panelwright.llm.components import connected_components
+from panelwright.llm.runtime import new_folder
 
 
 def _groups(n, links):
@@ -175,30 +178,49 @@ def test_warc_query(spark, folder):
 
 def test_warc_edges(spark):
     rows = [(1, "http://a b\n", "same"), (2, None, "same"), (None, "u", "same"), (3, "u", None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\x1f\u008b\x08 inside"), (1, "http://a b\n", "same")]
-    folder = warc.new_folder(spark)
+    folder = new_folder(spark, "warc")
     assert warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder) == len(rows)
     got = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archives(spark, folder).collect())
     assert got == Counter([(1, "response", None, 4), (1, "response", None, 4), (2, "revisit", 1, 4), (None, "revisit", 1, 4), (3, "response", None, 0), (4, "revisit", 3, 0), (5, "response", None, 21)])
-    none = warc.new_folder(spark)
+    none = new_folder(spark, "warc")
     assert warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), none) == 0
     assert warc.read_archives(spark, none).count() == 0
 
 
 @pytest.mark.parametrize("packed", [True, False])
 def test_warc_salvage(packed):
-    import gzip
-
     records = [warc.record(i, f"http://x/{i}", f"payload {i} WARC/1.1 inside".encode() * 40, None, False) for i in range(6)]
     parts = [gzip.compress(r) if packed else r for r in records]
     parts[1] = parts[1][:60] + b"\xff\x00" + parts[1][62:]  # damaged
     parts[3] = parts[3][: len(parts[3]) // 2]  # cut
     data = b"junk" + b"".join(parts)
     found = [*warc.salvage(data)]
-    assert [warc._number(x.headers["WARC-Record-ID"]) for x in found if not x.gap] == [0, 2, 4, 5]
+    assert [warc._number(x.headers["warc-record-id"]) for x in found if not x.gap] == [0, 2, 4, 5]
     assert [(a.end, b.start) for a, b in zip(found, found[1:], strict=False)] == [(b.start, b.start) for b in found[1:]]
     assert found[0].gap and found[0].start == 0 and found[-1].end == len(data) and sum(bool(x.gap) for x in found) == 3
 
 
+def test_warc_salvage_inside_members_and_other_writers():
+    """Sound records around a damaged one of one gzip member; header names in any case, values without a blank."""
+    each = [bytearray(warc.record(i, f"http://x/{i}", f"page {i} body".encode(), None, False)) for i in range(3)]
+    each[1][each[1].index(b"body")] ^= 1
+    found = [*warc.salvage(gzip.compress(b"".join(each)))]
+    assert [warc._number(x.headers["warc-record-id"]) for x in found if not x.gap] == [0, 2] and [x.gap for x in found if x.gap] == ["in member: bad digest"]
+    other = b"WARC/1.0\r\nwarc-type:resource\r\nWARC-RECORD-ID: <urn:page:7>\r\ncontent-length:5\r\n\r\nhello\r\n\r\n"
+    found = [*warc.salvage(other + gzip.compress(other))]
+    assert [(x.gap, warc._number(x.headers["warc-record-id"])) for x in found] == [(None, 7)] * 2
+
+
+def test_warc_reads_in_time_that_grows_with_the_archive():
+    member = gzip.compress(warc.record(1, "http://x", bytes(range(256)) * 8, None, False))
+    seconds = []
+    for n in (500, 4000):
+        began = time.thread_time()
+        assert sum(not x.gap for x in warc.salvage(member * n)) == n
+        seconds.append(time.thread_time() - began)
+    assert seconds[1] < 20 * seconds[0]
+
+
 def test_lm_base_counts(spark, folder, rows):
     held = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 5 == 1
     words = [(d, (t or "").encode().lower().split()) for d, t in rows]
