@@ -427,8 +427,10 @@ def score_texts(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str
     rarer words are joined by the word.
 
     Null and empty texts are an end alone. Null ids are trained on as the empty id; repeated rows
-    come out repeated. Without training rows every word is unknown and the model is uniform.
-    Other columns are ignored.
+    come out repeated and count as often as they occur. A long text is cut into windows and scored
+    whole. Without training rows every word is unknown and the model is uniform; an empty table
+    gives an empty one. Other columns are ignored, whatever their names. The weights depend on how
+    the rows are dealt to tasks, as each task descends on its own.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     learned = docs.where(fold("doc_id") != held)
