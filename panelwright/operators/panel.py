@@ -158,6 +158,20 @@ def expiring(left: DataFrame, events: DataFrame, minutes: int, fields: list[str]
     return seen.withColumns({**{f: F.when(fresh, finite(F.col(f"event.{f}"))) for f in fields}, "status": status, "age_minutes": age}).drop("event")
 
 
+def feature_frame(bars: DataFrame, funding: DataFrame, metrics: DataFrame, at: str, fields: list[str]) -> DataFrame:
+    """``bars`` with the latest funding event and the latest metrics known at ``at``, such as the bar's open.
+
+    ``funding``: ``(symbol, event_ts, rate, interval_hours)``; an interval that isn't above 0 is NULL.
+    Each source keeps its own observation time; a whole latest row counts, its NULLs included.
+    """
+    both = as_of(as_of(bars, funding, at, "event_ts", payload="_f"), metrics, at, "event_ts", payload="_m")
+    hours = F.when(finite(F.col("_f.interval_hours")) > 0, F.col("_f.interval_hours"))
+    return both.withColumns({
+        "funding_rate": finite(F.col("_f.rate")), "funding_interval_hours": hours, "funding_observed_at": F.col("_f.event_ts"),
+        **{f: finite(F.col(f"_m.{f}")) for f in fields}, "metrics_observed_at": F.col("_m.event_ts"),
+    }).drop("_f", "_m")
+
+
 def coverage(df: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
     """Per key and field: rows, valid rows, ratio, eligible rows, eligible rows with a value."""
     long = df.select(*keys, "eligible", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), finite(F.col(f)).alias("value")) for f in fields])).alias("e"))

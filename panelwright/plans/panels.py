@@ -110,6 +110,22 @@ def p_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.ranges(_funding(spark, sf_dir, 24), ["ts", "observed"], ["funding_age_hours"], ["symbol"])
 
 
+@query(
+    "p_feature_frame",
+    f"""WITH {EV_BARS}, {_METRICS}, g AS (SELECT event_type AS symbol, events.ts AS event_ts, CASE WHEN event_id % 41 = 0 THEN NULL ELSE value / 10000 END AS rate, CASE WHEN event_id % 5 = 0 THEN 0.0::DOUBLE ELSE 8.0::DOUBLE END AS hours FROM events),
+f AS (SELECT b.symbol, b.ts, close, rate AS funding_rate, CASE WHEN hours > 0 THEN hours END AS funding_interval_hours, g.event_ts AS funding_observed_at FROM ev_bars b ASOF LEFT JOIN g ON b.symbol = g.symbol AND b.ts >= g.event_ts)
+SELECT f.*, m.interest, m.ratio, m.event_ts AS metrics_observed_at FROM f ASOF LEFT JOIN metrics m ON f.symbol = m.symbol AND f.ts >= m.event_ts""",
+    "close funding_rate funding_interval_hours interest ratio",
+)
+def p_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with funding and metrics as they were known at the bar's open."""
+    e = table(spark, sf_dir, "events")
+    funding = e.select(
+        F.col("event_type").alias("symbol"), F.col("ts").alias("event_ts"), F.when(F.col("event_id") % 41 != 0, F.col("value") / 10000).alias("rate"), F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(8.0).alias("interval_hours"),
+    )
+    return P.feature_frame(ev_bars(spark, sf_dir).select("symbol", "ts", "close"), funding, _metrics(spark, sf_dir), "ts", ["interest", "ratio"])
+
+
 @query("p_look_ahead_guard", f"WITH {EV_BARS} SELECT symbol, ts, trades FROM ev_bars WHERE trades % 3 = 0")
 def p_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that saw something before it was available; a spoilt observation time is found."""
