@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import codec, decontaminate, line_dedup, lm, quality_gam, quality_rules, sharding, simhash, token_counts, warc
+from panelwright.llm import codec, conversations, decontaminate, line_dedup, lm, manifest, quality_gam, quality_rules, sharding, simhash, token_counts, warc
 from panelwright.llm.runtime import new_folder
 
 
@@ -66,8 +66,23 @@ def op10_hashed_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFra
     return ruled.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "probability")
 
 
+def op11_survivor_coalescence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summaries(conversations.damage(_table(spark, sf_dir, "conversations")), F.col("present"))
+
+
+def op13_octopus_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    more = manifest.leaf("doc_id", "source", "lang", F.col("n_chars") + 1, "text")
+    proved = manifest.manifest(docs, "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, more))
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_aho_corasick_decontamination, op2_rank_synchronous_token_counts, op3_minhash_line_dedup, op4_attention_lm_scores, op5_transducer_lexicon_bpe, op6_salvage_warc, op7_pairwise_gam_quality, op8_sampled_splitter_shards, op9_pigeonring_simhash, op10_hashed_ngram_quality_rules)}
+    found = (
+        op1_aho_corasick_decontamination, op2_rank_synchronous_token_counts, op3_minhash_line_dedup, op4_attention_lm_scores, op5_transducer_lexicon_bpe, op6_salvage_warc,
+        op7_pairwise_gam_quality, op8_sampled_splitter_shards, op9_pigeonring_simhash, op10_hashed_ngram_quality_rules, op11_survivor_coalescence_repair, op13_octopus_merkle_manifest,
+    )
+    return {f.__name__: f for f in found}
 
 
 #: Windows of the items and all runs of as many words of the documents meet by their text.
@@ -95,5 +110,49 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+#: Whole levels as lists; CRC-32 bit by bit, as DuckDB hasn't it.
+OP13_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT *, list_reduce(string_split(CAST(doc_id AS VARCHAR), ''), lambda acc, c:
+      list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(CAST(acc AS BIGINT), CAST(ascii(c) AS BIGINT))), CAST(4294967295 AS BIGINT)) AS crc
+  FROM (SELECT doc_id, lang, n_chars, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents)
+), d AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS changed
+  FROM f
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d
+), lv AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM p GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(1, (len(nodes) + 1) // 2 + 1), lambda i: sha256(nodes[2 * i - 1] || coalesce(nodes[2 * i], ''))) FROM lv WHERE len(nodes) > 1
+), s AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM lv WHERE len(nodes) = 1
+), tv AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM s
+  UNION ALL
+  SELECT level + 1, list_transform(range(1, (len(nodes) + 1) // 2 + 1), lambda i: sha256(nodes[2 * i - 1] || coalesce(nodes[2 * i], ''))) FROM tv WHERE len(nodes) > 1
+), nodes AS (
+  SELECT lang, level, unnest(nodes) AS digest, unnest(range(len(nodes))) AS place FROM lv
+), tops AS (
+  SELECT level, unnest(nodes) AS digest, unnest(range(len(nodes))) AS place FROM tv
+), hops AS (
+  SELECT p.lang, p.place, list(CASE WHEN nodes.digest IS NULL THEN 'N' WHEN (p.place >> lv.level) & 1 = 1 THEN 'L' || nodes.digest ELSE 'R' || nodes.digest END ORDER BY lv.level) AS hops
+  FROM p JOIN lv ON p.lang IS NOT DISTINCT FROM lv.lang AND len(lv.nodes) > 1
+  LEFT JOIN nodes ON p.lang IS NOT DISTINCT FROM nodes.lang AND nodes.level = lv.level AND nodes.place = xor(p.place >> lv.level, 1) GROUP BY p.lang, p.place
+), over AS (
+  SELECT s.place, list(CASE WHEN tops.digest IS NULL THEN 'N' WHEN (s.place >> tv.level) & 1 = 1 THEN 'L' || tops.digest ELSE 'R' || tops.digest END ORDER BY tv.level) AS hops
+  FROM s JOIN tv ON len(tv.nodes) > 1 LEFT JOIN tops ON tops.level = tv.level AND tops.place = xor(s.place >> tv.level, 1) GROUP BY s.place
+), w AS (
+  SELECT p.*, s.subroot, list_concat(coalesce(hops.hops, []), coalesce(over.hops, [])) AS hops, (SELECT nodes[1] FROM tv WHERE len(nodes) = 1) AS root
+  FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang LEFT JOIN hops ON p.lang IS NOT DISTINCT FROM hops.lang AND p.place = hops.place LEFT JOIN over ON s.place = over.place
+), r AS (
+  SELECT *, list_reduce(hops, lambda acc, h: sha256(CASE h[1] WHEN 'N' THEN acc WHEN 'L' THEN h[2:] || acc ELSE acc || h[2:] END), coalesce(changed, leaf)) AS folded_root FROM w
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(hops, lambda h: CASE h[1] WHEN 'N' THEN '' ELSE h[2:] END), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_aho_corasick_decontamination": OP1_SQL.strip()}
+    return {"op1_aho_corasick_decontamination": OP1_SQL.strip(), "op13_octopus_merkle_manifest": OP13_SQL.strip()}
