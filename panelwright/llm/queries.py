@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import codec, conversations, decontaminate, line_dedup, lm, manifest, quality_gam, quality_rules, sharding, simhash, token_counts, warc
+from panelwright.llm import codec, conversations, decontaminate, line_dedup, lm, manifest, pieces, quality_gam, quality_rules, sharding, simhash, token_counts, warc
 from panelwright.llm.runtime import new_folder
 
 
@@ -70,6 +70,11 @@ def op11_survivor_coalescence_repair(spark: SparkSession, sf_dir: str) -> DataFr
     return conversations.summaries(conversations.damage(_table(spark, sf_dir, "conversations")), F.col("present"))
 
 
+def op12_aligned_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], back=True)
+    return pieces.digests(done)
+
+
 def op13_octopus_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     more = manifest.leaf("doc_id", "source", "lang", F.col("n_chars") + 1, "text")
@@ -80,7 +85,8 @@ def op13_octopus_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_aho_corasick_decontamination, op2_rank_synchronous_token_counts, op3_minhash_line_dedup, op4_attention_lm_scores, op5_transducer_lexicon_bpe, op6_salvage_warc,
-        op7_pairwise_gam_quality, op8_sampled_splitter_shards, op9_pigeonring_simhash, op10_hashed_ngram_quality_rules, op11_survivor_coalescence_repair, op13_octopus_merkle_manifest,
+        op7_pairwise_gam_quality, op8_sampled_splitter_shards, op9_pigeonring_simhash, op10_hashed_ngram_quality_rules, op11_survivor_coalescence_repair, op12_aligned_sentencepiece,
+        op13_octopus_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
