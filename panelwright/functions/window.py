@@ -6,6 +6,8 @@ otherwise the result is NULL. Frames count rows, so a panel's grid must have eve
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from panelwright.functions.pointwise import div, finite
+from panelwright.operators import scan
 
 
 def series(*keys: str, time: str = "ts") -> WindowSpec:
@@ -125,23 +128,40 @@ def wilder(values: np.ndarray, n: int, state: tuple[float | None, int, float, fl
     return out, (float(values[-1]), seen + len(change), float(up[-1]) if len(up) else gain, float(down[-1]) if len(down) else loss)
 
 
-def ts_rsi(df: DataFrame, x: str, n: int, name: str = "rsi", symbol: str = "symbol", time: str = "ts") -> DataFrame:
-    """``df`` with Wilder's relative strength index of ``x``: a recursion, folded over each run of rows in order.
+def wilder_means(rows: DataFrame, n: int, keys: Sequence[str], time: str, bucket: str = "day") -> DataFrame:
+    """``rows`` with ``seen``, ``gain`` and ``loss``: changes of ``x`` so far since the last row without one, and Wilder's means of their rises and falls.
 
-    A row without a value starts anew, so the group of one task is a stretch of a symbol's rows
-    between two gaps, not the symbol. Rows of a symbol have distinct times.
+    ``rows`` has ``x`` and, in a row that states what was before all others of its key, that row's
+    ``seen0``, ``gain0`` and ``loss0`` (null elsewhere). Means start as those of ``n`` changes and then
+    move by 1/n. Each is an affine map of the one before, and maps compose, so that a key's rows
+    spread over tasks by buckets of time. Times of a key are distinct.
     """
-    kinds = dict(df.dtypes)
+    dealt = scan.running(scan.bucketed(rows, keys, time, bucket), keys, [time], _before=("previous", F.col("x")), _at=("sum", F.lit(1)))
+    moved = dealt.withColumn("_change", F.col("x") - F.col("_before.value"))
+    start = F.when(F.col("_change").isNull(), F.struct(F.col("_at").alias("at"), F.coalesce("seen0", F.lit(0)).cast("long").alias("seen")))
+    moved = scan.running(moved, keys, [time], _start=("max", start)).withColumn("seen", F.col("_at") - F.col("_start.at") + F.col("_start.seen"))
+    fresh = F.col("_change").isNull()
+    decay = F.when(fresh, 0.0).when(F.col("seen") <= n, 1.0).otherwise(1 - 1 / n)
+    sides = {"gain": F.col("_change"), "loss": -F.col("_change")}
+    gains = {name: F.when(fresh, F.coalesce(f"{name}0", F.lit(0.0))).otherwise(F.greatest(side, F.lit(0.0)) / n) for name, side in sides.items()}
+    return scan.affine(moved, keys, time, decay, **gains).select(*rows.columns, "seen", "gain", "loss")
+
+
+def wilder_index(n: int) -> Column:
+    """The index of a row of ``wilder_means``: NULL before ``n`` changes, 50 where nothing has moved."""
+    both = F.col("gain") + F.col("loss")
+    return F.when(F.col("x").isNotNull() & (F.col("seen") >= n), F.when(both == 0, 50.0).otherwise(F.try_divide(100 * F.col("gain"), both)))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        return rows.assign(value=wilder(rows["x"].to_numpy(), n)[0])[["s", "t", "value"]]
 
-    value = finite(F.col(x).cast("double"))
-    gaps = F.count_if(value.isNull()).over(W.partitionBy(symbol).orderBy(time).rowsBetween(W.unboundedPreceding, 0))
-    slim = df.select(F.col(symbol).alias("s"), F.col(time).alias("t"), value.alias("x"), gaps.alias("run")).where("x is not null")
-    found = slim.groupBy("s", "run").applyInPandas(fold, f"s {kinds[symbol]}, t {kinds[time]}, value double")
-    return df.join(found.select(F.col("s").alias(symbol), F.col("t").alias(time), F.nanvl("value", F.lit(None).cast("double")).alias(name)), [symbol, time], "left")
+def ts_rsi(df: DataFrame, x: str, n: int, name: str = "rsi", symbol: str = "symbol", time: str = "ts", bucket: str = "month") -> DataFrame:
+    """``df`` with Wilder's relative strength index of ``x``; a row without a value starts it anew.
+
+    A symbol of any length spreads over tasks, one for each ``bucket`` of time. Rows of a symbol
+    have distinct times.
+    """
+    slim = df.select(symbol, time, finite(F.col(x).cast("double")).alias("x"), *[F.lit(None).cast("double").alias(c) for c in ("seen0", "gain0", "loss0")])
+    found = wilder_means(slim, n, [symbol], time, bucket).select(symbol, time, wilder_index(n).alias(name))
+    return df.join(found, [symbol, time], "left")
 
 
 def lookback(operator: str, n: int, *inner: int) -> int:

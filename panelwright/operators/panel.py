@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.functions.pointwise import div, finite
+from panelwright.operators import scan
+from panelwright.sources.tables import stored
 
 HOUR = "INTERVAL 1 HOUR"
 
@@ -113,20 +115,18 @@ def funding_window(left: DataFrame, events: DataFrame, hours: int, at: str = "av
     ``events``: ``(symbol, event_ts, rate, interval_hours)``. Statuses, the first that holds:
     missing_event (none so far), missing_settlement (a settlement between two events is missing
     inside the window, or the latest is due), invalid_event, insufficient_history, valid. Running
-    totals on the events and two as-of lookups give each window's totals.
+    totals on the events, by day and carried from day to day, and two as-of lookups give each
+    window's totals.
     """
-    w = W.partitionBy("symbol").orderBy("event_ts")
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    settled = events.withColumn("settle", hour_of(F.col("event_ts")))
-    valid = finite(F.col("rate")).isNotNull() & (F.col("interval_hours") > 0)
-    gap = F.col("settle") - F.lag("settle").over(w) > F.make_dt_interval(hours=F.col("interval_hours").cast("int"))
-    marked = settled.withColumns({"ok": valid, "lost": F.when(gap, F.col("settle") - F.make_dt_interval(hours=F.col("interval_hours").cast("int")))})
-    totals = marked.select(
-        "symbol", "event_ts", "settle", "ok", "interval_hours", finite(F.col("rate")).alias("rate"),
-        F.sum(F.when(F.col("ok"), F.col("rate")).otherwise(0.0)).over(run).alias("rates"),
-        F.sum((~F.col("ok")).cast("int")).over(run).alias("bad"),
-        F.max("lost").over(run).alias("lost"), F.min("event_ts").over(run).alias("first"),
-    )
+    hours_between = F.make_dt_interval(hours=F.col("interval_hours").cast("int"))
+    settled = events.select("symbol", "event_ts", hour_of(F.col("event_ts")).alias("settle"), finite(F.col("rate")).alias("rate"), "interval_hours")
+    marked = scan.running(scan.bucketed(settled, ["symbol"], "event_ts"), ["symbol"], ["event_ts"], before=("previous", F.col("settle")))
+    lost = F.when(F.col("settle") - F.col("before.value") > hours_between, F.col("settle") - hours_between)
+    ok = F.col("rate").isNotNull() & (F.col("interval_hours") > 0)
+    marked = marked.withColumns({"ok": ok, "gap": lost})
+    totals = stored(scan.running(
+        marked, ["symbol"], ["event_ts"], rates=("sum", F.when(F.col("ok"), F.col("rate")).otherwise(0.0)), bad=("sum", (~F.col("ok")).cast("int")), lost=("max", F.col("gap")), first=("min", F.col("event_ts")),
+    ).drop("before", "gap", "_bucket"))
     low = left.withColumn("_low", F.col(at) - F.make_dt_interval(hours=F.lit(hours)))
     both = as_of(as_of(low, totals, at, "event_ts", payload="now"), totals, "_low", "event_ts", payload="then")
     age = F.col(at) - F.col("now.settle")

@@ -121,7 +121,7 @@ def st_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT a.event_id AS purchase, b.event_id AS view, a.ts AS ts FROM events a JOIN events b ON a.event_type = 'purchase' AND b.event_type = 'view' AND a.user_id = b.user_id AND b.ts <= a.ts AND b.ts > a.ts - INTERVAL 6 HOUR""",
 )
 def st_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST3: a stream joined to snapshots of the last six hours of the same user."""
+    """A stream joined to all views of the last six hours of the same user."""
     return ST.replay(spark, sf_dir, ST.expiring_join)
 
 
@@ -133,5 +133,25 @@ def st_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("st_online_rsi_all", rounded="rsi")
 def st_rsi_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST4: Wilder's index along all events of a type, whoever made them; that recursion is too long for SQL."""
-    return ST.replay(spark, sf_dir, lambda events: ST.online_rsi(events, keys=("symbol",)))
+    """ST4: Wilder's index along all events of a type, whoever made them, batch after batch; that recursion is too long for SQL."""
+    return ST.replay_rsi(spark, sf_dir)
+
+
+@query(
+    "st_latest_snapshot",
+    """WITH a AS (SELECT event_id AS purchase, user_id, events.ts AS ts FROM events WHERE event_type = 'purchase' AND epoch_ms(events.ts) <= (SELECT epoch_ms(max(events.ts)) FROM events) - 600000),
+m AS (SELECT user_id, events.ts AS event_ts, CASE WHEN event_id % 7 <> 0 THEN value END AS interest, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS DOUBLE) END AS ratio FROM events WHERE event_type IN ('view', 'click')),
+j AS (SELECT a.user_id, a.purchase, a.ts, m.event_ts, m.interest, m.ratio, m.event_ts IS NOT NULL AND a.ts - m.event_ts < INTERVAL 6 HOUR AS fresh FROM a ASOF LEFT JOIN m ON a.user_id = m.user_id AND a.ts >= m.event_ts)
+SELECT user_id, purchase, ts, CASE WHEN fresh THEN interest END AS interest, CASE WHEN fresh THEN ratio END AS ratio,
+  CASE WHEN NOT fresh THEN 'stale' WHEN interest IS NULL AND ratio IS NULL THEN 'missing' WHEN interest IS NULL OR ratio IS NULL THEN 'partial' ELSE 'valid' END AS status, CASE WHEN fresh THEN (epoch_us(ts) - epoch_us(event_ts)) / 60e6 END AS age_minutes FROM j""",
+    "interest ratio age_minutes",
+)
+def st_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST3, P7: every purchase in a stream with its user's latest snapshot, its status and age; state and timers in event time."""
+
+    def job(events: DataFrame) -> DataFrame:
+        asks = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), "ts")
+        seen = events.where("event_type in ('view', 'click')").select("user_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("interest"), F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("double")).alias("ratio"))
+        return ST.latest_snapshots(asks, seen, "user_id", "purchase", 360, ["interest", "ratio"])
+
+    return ST.replay(spark, sf_dir, job, store="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

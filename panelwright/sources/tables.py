@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -164,6 +167,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(named or f'file://{tempfile.mkdtemp()}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_stored: list[str] = []
+
+
+@atexit.register
+def _remove() -> None:
+    """Takes the tables of this process away when it ends, where they can be reached without Spark."""
+    for path in _stored:
+        with contextlib.suppress(Exception):
+            store, top = fs.FileSystem.from_uri(path)
+            store.delete_dir(top)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: for what several parts of a plan start from, and to cut lineage."""
+    path = shared_folder(df.sparkSession, "table")
+    _stored.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def membership(spark: SparkSession, path: str, start: str, stop: str, warm_hours: int) -> tuple[DataFrame, DataFrame]:
     """A universe file as ``(timestamp, symbol, eligible)`` from the warm-up on, and its violation rows.
 

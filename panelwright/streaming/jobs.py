@@ -9,8 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from panelwright.functions.window import wilder
+from panelwright.functions.pointwise import finite
+from panelwright.functions.window import wilder, wilder_index, wilder_means
 from panelwright.sources.tables import shared_folder
 
 DELAY = "10 minutes"
@@ -41,6 +43,88 @@ def expiring_join(events: DataFrame) -> DataFrame:
     return met.select("purchase", "view", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+class Snapshots(StatefulProcessor):
+    """The latest snapshot of a key for every ask, in event time: rows wait until the watermark has passed them.
+
+    State is the snapshot that counts, and the rows still waiting. A timer at the earliest waiting
+    row's time takes all rows that the watermark has passed, in order of time, snapshots before the
+    asks of the same time. Another one, when the snapshot has expired, forgets it.
+    """
+
+    def __init__(self, minutes: int, fields: Sequence[str], ask: str):
+        self.expiry, self.fields, self.ask = minutes * 60_000_000, [*fields], ask
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        row = ", ".join(["micros long", "side int", f"{self.ask} long", *(f"{f} double" for f in self.fields)])
+        self.latest = handle.getValueState("latest", row)
+        self.waiting = handle.getListState("waiting", row)
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            came = [self._plain(r) for r in part[["micros", "side", self.ask, *self.fields]].itertuples(index=False, name=None)]
+            self.waiting.appendList(came)
+            self._remind(min(r[0] for r in came))
+        return iter(())
+
+    def _plain(self, row: tuple[Any, ...]) -> tuple[Any, ...]:
+        whole = [None if pd.isna(v) else int(v) for v in row[:3]]
+        return *whole, *(None if v is None or not np.isfinite(v) else float(v) for v in row[3:])
+
+    def _remind(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1], tuple((v is not None, v or 0) for v in r[3:]))) if self.waiting.exists() else []
+        due, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        latest = tuple(self.latest.get()) if self.latest.exists() else None
+        found = []
+        for row in due:
+            if row[1] == 0:
+                latest = tuple(row)
+            else:
+                fresh = latest is not None and row[0] - latest[0] < self.expiry
+                values = latest[3:] if fresh else (None,) * len(self.fields)
+                there = sum(v is not None for v in values)
+                status = "stale" if not fresh else "missing" if not there else "partial" if there < len(values) else "valid"
+                found.append((row[2], row[0], *values, status, (row[0] - latest[0]) / 60e6 if fresh else None))
+        if later:
+            self.waiting.put(later)
+            self._remind(later[0][0])
+        elif rows:
+            self.waiting.clear()
+        if latest is not None and (later or passed < latest[0] + self.expiry):
+            self.latest.update(latest)
+            if not later:
+                self._remind(latest[0] + self.expiry)
+        elif latest is not None:
+            self.latest.clear()
+        if found:
+            keys = {f"key{i}": [k] * len(found) for i, k in enumerate(key)}
+            columns = [self.ask, "micros", *self.fields, "status", "age_minutes"]
+            yield pd.DataFrame(keys | dict(zip(columns, zip(*found, strict=True), strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def latest_snapshots(asks: DataFrame, snapshots: DataFrame, key: str, ask: str, minutes: int, fields: Sequence[str]) -> DataFrame:
+    """Each ask of a stream with its key's latest snapshot so far, if that is younger than ``minutes``: fields, status and age.
+
+    ``asks``: ``(key, ask, ts)``, ``snapshots``: ``(key, ts, fields...)``; both from one stream. The
+    whole latest snapshot counts, its nulls included; status is stale, missing, partial or valid, as
+    in ``panel.expiring``. An ask comes out once the watermark has passed it. Rows later than the
+    watermark are left out by Spark. Needs the state store of RocksDB.
+    """
+    held = snapshots.select(F.col(key).alias("key0"), "ts", F.lit(0).alias("side"), F.lit(0).cast("long").alias(ask), *[F.col(f).cast("double").alias(f) for f in fields])
+    asked = asks.select(F.col(key).alias("key0"), "ts", F.lit(1).alias("side"), F.col(ask).cast("long").alias(ask), *[F.lit(None).cast("double").alias(f) for f in fields])
+    both = held.unionByName(asked).withColumn("micros", F.unix_micros("ts")).withWatermark("ts", DELAY)
+    schema = f"key0 {dict(both.dtypes)['key0']}, {ask} long, micros long, {', '.join(f'{f} double' for f in fields)}, status string, age_minutes double"
+    made = both.groupBy("key0").transformWithStateInPandas(Snapshots(minutes, fields, ask), schema, "Append", "EventTime")
+    return made.select(F.col("key0").alias(key), ask, F.timestamp_micros("micros").cast("timestamp_ntz").alias("ts"), *fields, "status", "age_minutes")
+
+
 def _rsi(n: int, keys: Sequence[str]) -> Callable[[tuple[Any, ...], Iterator[pd.DataFrame], Any], Iterator[pd.DataFrame]]:
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         carried = state.get if state.exists else (None, 0, 0.0, 0.0)
@@ -69,16 +153,68 @@ def online_rsi(events: DataFrame, n: int = 14, keys: Sequence[str] = ("symbol",
     return made.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-def replay(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def rsi_of_batch(batch: DataFrame, before: DataFrame, n: int, keys: Sequence[str], bucket: str = "day") -> tuple[DataFrame, DataFrame]:
+    """``(keys, ts, rsi)`` of a batch that follows the state ``before``, and the state after it: ``(keys, ts, x, seen, gain, loss)``, one row a key.
+
+    A key's rows spread over tasks by time; a row without a value starts its index anew. Keys that a
+    batch doesn't have keep their state.
+    """
+    slim = batch.select(*keys, "ts", finite(F.col("value").cast("double")).alias("x"), *[F.lit(None).cast("double").alias(c) for c in ("seen0", "gain0", "loss0")])
+    began = before.select(*keys, F.lit("1700-01-01").cast("timestamp").alias("ts"), "x", *[F.col(c).cast("double").alias(f"{c}0") for c in ("seen", "gain", "loss")])
+    rows = wilder_means(slim.unionByName(began), n, keys, "ts", bucket)
+    after = rows.groupBy(*keys).agg(F.max_by(F.struct("ts", "x", "seen", "gain", "loss"), "ts").alias("s")).select(*keys, "s.*")
+    return rows.where("seen0 is null").select(*keys, "ts", wilder_index(n).alias("rsi")), after
+
+
+def replay_rsi(spark: SparkSession, sf_dir: str, n: int = 14, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Wilder's index per event type over the events table read as a stream, micro-batch after micro-batch.
+
+    A batch continues the state that the batch before has written, one row a key; both output and
+    state are written under the batch's number, so that a batch that runs again replaces its own.
+    Batches follow one another in time.
+    """
+    place = shared_folder(spark, "rsi")
+    kinds = "symbol string, user_id long"
+    named = ", ".join(k for k in kinds.split(", ") if k.split()[0] in keys)
+    state = f"{named}, ts timestamp, x double, seen long, gain double, loss double"
+
+    def fold(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = session.read.schema(state).parquet(f"{place}/state/{number - 1}") if number else session.createDataFrame([], state)
+        found, after = rsi_of_batch(batch, before, n, keys)
+        after.write.mode("overwrite").parquet(f"{place}/state/{number}")
+        found.write.mode("overwrite").parquet(f"{place}/out/{number}")
+
+    events = stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "user_id", "ts", "value")
+    events.writeStream.foreachBatch(fold).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(f"{named}, ts timestamp, rsi double").parquet(f"{place}/out/*")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def replay(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame], store: str | None = None) -> DataFrame:
     """Runs a job over the events table read as a stream until all of it has been processed; the rows it has put out.
 
     The sink and the query's state lie in the shared folder that the cluster names in
-    ``spark.checkpoint.dir``, or in a temporary one in local mode where that is unset.
+    ``spark.checkpoint.dir``, or in a temporary one in local mode where that is unset. ``store`` is
+    the state store's class for this run alone.
     """
     place = shared_folder(spark, "stream")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    made = job(events)
-    running = made.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination()
+    made = job(stream(spark, sf_dir))
+    before = spark.conf.get(_STORE)
+    try:
+        if store:
+            spark.conf.set(_STORE, store)
+        running = made.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before)
     return spark.read.schema(made.schema).parquet(f"{place}/out")
