@@ -90,6 +90,27 @@ def align(by_file: DataFrame, bars: DataFrame, coverage: DataFrame) -> DataFrame
     )
 
 
+def structure_faults(aligned: DataFrame, file_symbol: str = "file_symbol") -> DataFrame:
+    """``(fault, symbol, ts)`` of aligned rows that a reader must refuse; a sound file has none.
+
+    Faults: repeated_key, symbol_mismatch (the row's symbol isn't its file's), unknown_status,
+    off_hour, wrong_close (a bar isn't available at its hour's close), received_after_available,
+    and nonzero_valid_zero (an hour known to be empty has values, or lacks the explicit zeros).
+    """
+    close = F.col("ts") + F.expr("INTERVAL 1 HOUR") - F.expr("INTERVAL 1 MILLISECOND")
+    zero = [F.coalesce(F.col(c) != 0, F.lit(True)) for c in ("events", "long_events", "short_events", "long_notional", "short_notional")]
+    anything = zero[0]
+    for z in zero[1:]:
+        anything = anything | z
+    faults = {
+        "symbol_mismatch": ~F.col("symbol").eqNullSafe(F.col(file_symbol)), "unknown_status": ~F.coalesce(F.col("status").isin("valid_event", "valid_zero", "source_unknown"), F.lit(False)), "off_hour": hour_of(F.col("ts")) != F.col("ts"),
+        "wrong_close": ~F.coalesce(F.col("close_ts") == close, F.lit(False)), "received_after_available": F.coalesce(F.col("received") > F.col("available_at"), F.lit(False)), "nonzero_valid_zero": (F.col("status") == "valid_zero") & anything,
+    }
+    each = aligned.select("symbol", "ts", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in faults.items()]))).alias("fault"))
+    again = aligned.groupBy("symbol", "ts").agg(F.count("*").alias("n")).where("n > 1").select("symbol", "ts", F.lit("repeated_key").alias("fault"))
+    return each.unionByName(again).select("fault", "symbol", "ts")
+
+
 def usable(aligned: DataFrame, available_at: Column) -> DataFrame:
     """``aligned`` with count and amount flags, masked values and a status in order of precedence."""
     known = F.col("status").isin("valid_event", "valid_zero")

@@ -181,6 +181,28 @@ def coverage(df: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
     )
 
 
+def coverage_rollup(df: DataFrame, fields: list[str], required: DataFrame, market: str = "market", symbol: str = "symbol") -> DataFrame:
+    """Eligible rows and eligible rows with a value per market, field and symbol, per market and field, per market, and of all.
+
+    ``level`` is the grouping id: 0 a symbol's field, 1 a market's field, 3 a market, 7 all. Fields with
+    an entry in ``required`` ``(field, needed)`` have ``ready`` on their levels: enough eligible values.
+    Markets and the whole have the lists of fields that have any eligible value and that have none;
+    a list is as long as there are fields.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), finite(F.col(f)).alias("value")) for f in fields]))
+    long = df.select(F.col(market).alias("market"), F.col(symbol).alias("symbol"), "eligible", each.alias("e")).select("market", "symbol", "eligible", "e.*")
+    counted = long.rollup("market", "field", "symbol").agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("rows"), F.count_if("eligible").alias("eligible"), F.count_if(F.col("eligible") & F.col("value").isNotNull()).alias("valid"),
+    )
+    ready = counted.join(required.select("field", "needed"), "field", "left").withColumn("ready", F.col("valid") >= F.col("needed"))
+    names = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("field")))), ",")
+    field_levels = counted.where("level = 1")
+    by_market = field_levels.groupBy("market").agg(names(F.col("valid") > 0).alias("covered"), names(F.col("valid") == 0).alias("uncovered")).withColumn("level", F.lit(3))
+    whole = field_levels.groupBy("field").agg(F.sum("valid").alias("valid")).agg(F.lit(None).cast("string").alias("market"), names(F.col("valid") > 0).alias("covered"), names(F.col("valid") == 0).alias("uncovered")).withColumn("level", F.lit(7))
+    lists = by_market.unionByName(whole).select(F.col("market").alias("_m"), F.col("level").alias("_l"), "covered", "uncovered")
+    return ready.join(lists, ready["market"].eqNullSafe(F.col("_m")) & (ready["level"] == F.col("_l")), "left").select("level", "market", "field", "symbol", "rows", "eligible", "valid", "needed", "ready", "covered", "uncovered")
+
+
 def ranges(df: DataFrame, times: list[str], ages: list[str], keys: list[str]) -> DataFrame:
     """Per key: the first and last of every observed time, the least and greatest of every age; NULL where there is none."""
     ends = [f(c).alias(f"{c}_{n}") for c in times for n, f in (("first", F.min), ("last", F.max))]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.cross import average_rank, correlation
 from panelwright.functions.pointwise import div, finite
 from panelwright.operators.evaluate import hac
+from panelwright.operators.gram import pair_counts
 
 
 def long_factors(panel: DataFrame, factors: list[str], keep: list[str]) -> DataFrame:
@@ -95,25 +96,19 @@ def scoreboard(summaries: DataFrame, parts: dict[str, float], floors: dict[str,
     return made.withColumn("place", F.row_number().over(W.orderBy(F.desc("eligible"), F.desc(F.round("score", 9)), "factor")))
 
 
-def similarity(long: DataFrame, min_symbols: int, min_periods: int) -> DataFrame:
+def similarity(long: DataFrame, min_symbols: int, min_periods: int, bucket: str = "week") -> DataFrame:
     """Per pair of factors: the mean over times of their cross-sectional correlation, and distance 1 - |mean|.
 
     Both sides are taken on the symbols that have both. Times are counted as insufficient (too few
-    symbols), constant (a side doesn't vary) or valid; a pair without any common cell has none. The self-join is on time and symbol: its
-    rows are the panel's times the pairs of factors, so a long list of factors is best compared in
-    blocks of pairs.
+    symbols), constant (a side doesn't vary) or valid; a pair without any common cell has none. The
+    correlations of a time come from blocked Gram sums; a task has a ``bucket`` of time of two blocks.
     """
-    live = long.where("value is not null").select("factor", "ts", "symbol", "value")
-    a = live.select(F.col("factor").alias("left"), "ts", "symbol", F.col("value").alias("x"))
-    b = live.select(F.col("factor").alias("right"), "ts", "symbol", F.col("value").alias("y"))
-    at = a.join(b, ["ts", "symbol"]).where("left < right").groupBy("left", "right", "ts").agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("r"))
-    enough = F.col("n") >= min_symbols
-    made = at.groupBy("left", "right").agg(F.count_if(~enough).alias("insufficient"), F.count_if(enough & F.col("r").isNull()).alias("constant"), F.count_if(enough & F.col("r").isNotNull()).alias("valid"), F.avg(F.when(enough, F.col("r"))).alias("_mean"))
+    made = pair_counts(long, min_symbols, bucket)
     all_pairs = long.agg(F.sort_array(F.collect_set("factor")).alias("all")).select(F.explode("all").alias("left"), "all").select("left", F.explode(F.filter("all", lambda x: x > F.col("left"))).alias("right"))
     found = all_pairs.join(made, ["left", "right"], "left").fillna(0, ["insufficient", "constant", "valid"])
-    mean = F.when(F.col("valid") >= min_periods, F.col("_mean"))
+    mean = F.when(F.col("valid") >= min_periods, F.try_divide("total", "valid"))
     reasons = F.concat_ws(",", F.when(F.col("valid") < min_periods, "too_few_times"), F.when(F.col("constant") > 0, "constant_side"), F.when(F.col("insufficient") > 0, "too_few_symbols"))
-    return found.withColumns({"mean": mean, "distance": 1 - F.abs(mean), "reasons": reasons}).drop("_mean")
+    return found.withColumns({"mean": mean, "distance": 1 - F.abs(mean), "reasons": reasons}).drop("total")
 
 
 def nearest(pairs: DataFrame, k: int, cut: float) -> DataFrame:

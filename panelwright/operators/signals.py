@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import window as T
 from panelwright.functions.pointwise import div
+from panelwright.operators import scan
 
 
 def _latch(df: DataFrame, enter: Column, leave: Column, keys: list[str]) -> Column:
@@ -110,6 +111,35 @@ def performance(path: DataFrame, windows: dict[str, tuple[str, str]], periods_pe
     return made.withColumns({"sharpe": div(F.col("_mean"), above("vol")), "sortino": div(F.col("_mean"), above("_downside")), "calmar": div(F.col("cagr"), F.when(F.col("max_drawdown") < -1e-12, -F.col("max_drawdown"))), "excess": F.col("total") - F.col("benchmark")}).drop("_mean", "_downside")
 
 
+def window_growth(path: DataFrame, windows: dict[str, tuple[str, str]], keys: list[str]) -> DataFrame:
+    """Per key and window: growth from the anchor, the last bar before the window, to the window's last bar, in logs and per year of 365 days.
+
+    The anchor's equity earns the window's first return; a window that the path begins in has its
+    first bar as anchor, whose own return then doesn't count. ``log_cagr`` is the log of last over
+    anchor by years; NULL after a total loss, or where the window has one bar and no anchor.
+    Turnover is of the window's bars, by year.
+    """
+    over = lambda c: ("sum", F.when(F.col(c) > -1, F.log1p(c)))
+    totals = scan.running(
+        scan.bucketed(path.select(*keys, "ts", "net", "benchmark", "turnover"), keys, "ts", "year"), keys, ["ts"],
+        _net=over("net"), _benchmark=over("benchmark"), _lost=("sum", (F.col("net") <= -1).cast("int")),
+    )
+    spans = [F.struct(F.lit(n).alias("window"), F.expr(f"TIMESTAMP_NTZ '{a}'").alias("start"), F.expr(f"TIMESTAMP_NTZ '{b}'").alias("stop")) for n, (a, b) in windows.items()]
+    seen = totals.withColumn("_w", F.explode(F.array(*spans))).where("ts < _w.stop").withColumn("state", F.struct("ts", "_net", "_benchmark", "_lost"))
+    inside = F.col("ts") >= F.col("_w.start")
+    at = lambda pick, when: pick(F.when(when, F.col("state")), F.when(when, F.col("ts")))
+    made = seen.groupBy(*keys, F.col("_w.window").alias("window")).agg(
+        F.count_if(inside).alias("bars"), at(F.max_by, ~inside).alias("before"), at(F.min_by, inside).alias("first"), at(F.max_by, inside).alias("last"), F.sum(F.when(inside, F.col("turnover"))).alias("turnover"),
+    ).where("bars > 0").withColumn("anchor", F.coalesce("before", "first"))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    years = F.when(F.col("last.ts") > F.col("anchor.ts"), (seconds("last.ts") - seconds("anchor.ts")) / (365.0 * 24 * 3600))
+    sound = F.col("last._lost") == F.col("anchor._lost")
+    growth = {"log_growth": F.when(sound, F.col("last._net") - F.col("anchor._net")), "log_benchmark": F.col("last._benchmark") - F.col("anchor._benchmark")}
+    made = made.withColumns({"anchor_ts": F.col("anchor.ts"), "last_ts": F.col("last.ts"), "years": years, **growth})
+    made = made.withColumns({"log_cagr": div(F.col("log_growth"), F.col("years")), "turnover_a_year": div(F.col("turnover"), F.col("years"))})
+    return made.select(*keys, "window", "bars", "anchor_ts", "last_ts", "years", "log_growth", "log_cagr", "log_benchmark", "turnover_a_year")
+
+
 def risk_gate(table: DataFrame, bounds: dict[str, tuple[str, float]], keys: list[str]) -> DataFrame:
     """``table`` with ``failed`` checks and ``passed``, and whether all rows of a key pass."""
     checks = [F.when(~F.coalesce(F.col(c) >= v if op == ">=" else F.col(c) <= v, F.lit(False)), c) for c, (op, v) in bounds.items()]

@@ -110,7 +110,7 @@ sim AS (SELECT "left" AS a, "right" AS b, insufficient, constant, valid, concat_
 
 
 def _similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.similarity(_long(spark, sf_dir), 20, 50)
+    return M.similarity(_long(spark, sf_dir), 20, 50, bucket="year")
 
 
 @query("m_pairwise_similarity", f"WITH {_SIM} SELECT * FROM sim", "mean distance")

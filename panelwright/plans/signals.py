@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import signals as G
 from panelwright.plans.base import EV_BARS, NATION_WEEK, ev_bars, nation_week, query
+from panelwright.sources.tables import stored
 
 _RULES = {
     "hold": G.buy_and_hold, "trend": partial(G.sma_trend, n=20), "momentum": partial(G.momentum, n=13), "breakout": partial(G.donchian, entry=13, leave=6),
@@ -29,7 +30,7 @@ sg AS (SELECT symbol, ts, close, 'hold' AS strategy, 1.0::DOUBLE AS weight FROM
 
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.run_rules(nation_week(spark, sf_dir).select("symbol", "ts", "close"), _RULES)
+    return G.run_rules(stored(nation_week(spark, sf_dir).select("symbol", "ts", "close")), _RULES)
 
 
 @query("g_signal_rules", f"WITH {_SIGNALS} SELECT * FROM sg", "close weight")
@@ -103,6 +104,20 @@ def g_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _performance(spark, sf_dir).groupBy("symbol", "strategy").pivot("span", ["whole", "train", "test"]).agg(_log(F.max("total")))
 
 
+_GROWTH = f"""{_PATH}, c AS (SELECT *, sum(CASE WHEN net > -1 THEN ln(1 + net) END) OVER w AS gn, sum(CASE WHEN benchmark > -1 THEN ln(1 + benchmark) END) OVER w AS gb, sum((net <= -1)::INT) OVER w AS lost FROM pt WINDOW w AS (PARTITION BY strategy, symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+sp(span, a, b) AS (VALUES {", ".join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n, (a, b) in _SPANS.items())}),
+wi AS (SELECT strategy, symbol, span, any_value(a) AS a, count(*) AS bars, min(ts) AS first_ts, max(ts) AS last_ts, sum(turnover) AS turnover FROM c JOIN sp ON ts >= a AND ts < b GROUP BY 1, 2, 3),
+an AS (SELECT wi.*, (SELECT max(ts) FROM pt WHERE pt.strategy = wi.strategy AND pt.symbol = wi.symbol AND ts < wi.a) AS before_ts FROM wi),
+gr AS (SELECT an.strategy, an.symbol, span, bars, x.ts AS anchor_ts, y.ts AS last_ts, nullif((epoch(y.ts) - epoch(x.ts)) / (365.0::DOUBLE * 86400), 0) AS years, CASE WHEN y.lost = x.lost THEN coalesce(y.gn, 0) - coalesce(x.gn, 0) END AS log_growth, coalesce(y.gb, 0) - coalesce(x.gb, 0) AS log_benchmark, an.turnover
+  FROM an JOIN c x ON x.strategy = an.strategy AND x.symbol = an.symbol AND x.ts = coalesce(before_ts, first_ts) JOIN c y ON y.strategy = an.strategy AND y.symbol = an.symbol AND y.ts = an.last_ts)"""
+
+
+@query("g_window_growth", f"WITH {_GROWTH} SELECT strategy, symbol, span, bars, anchor_ts, last_ts, years, log_growth, log_growth / years AS log_cagr, log_benchmark, turnover / years AS turnover_a_year FROM gr", "years log_growth log_cagr log_benchmark turnover_a_year", 4)
+def g_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth of each window from the bar before it, in logs, by years between both ends."""
+    return G.window_growth(_path(spark, sf_dir), _SPANS, ["strategy", "symbol"]).withColumnRenamed("window", "span")
+
+
 @query("g_bar_spacing", f"WITH {EV_BARS}, g AS (SELECT symbol, (epoch(ts) - epoch(lag(ts) OVER (PARTITION BY symbol ORDER BY ts))) / 3600 AS h FROM ev_bars) SELECT symbol, median(h) AS hours, 8760.0::DOUBLE / median(h) AS bars_per_year FROM g GROUP BY symbol", "hours bars_per_year")
 def g_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observed spacing of bars."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import panel as P
 from panelwright.plans.base import EV_BARS, EV_GRID, USER_UNIVERSE, ev_bars, ev_grid, query, table, user_universe
+from panelwright.sources import archives as A
 from panelwright.sources import tables as S
 
 
@@ -107,7 +108,7 @@ def s_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     "open_interest",
 )
 def s_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric rows with every needed value, invalid ones masked, renamed and tagged."""
+    """Metric rows with the needed value, invalid ones masked, renamed and tagged."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("sum_open_interest"))
     return S.mask_invalid(e, ["sum_open_interest"]).withColumnsRenamed({"sum_open_interest": "open_interest"}).dropna("any", subset=["open_interest"]).withColumn("period", F.lit("five_minutes"))
 
@@ -275,8 +276,8 @@ def s_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s_paged_values", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100 OFFSET 200", "o_totalprice")
 def s_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page of ordered values with the total."""
-    return S.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 200, 100)
+    """One page of ordered values with the total, found by counts of ranges."""
+    return A.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 200, 100, most=1 << 10)
 
 
 @query(

@@ -187,21 +187,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def membership(spark: SparkSession, path: str, start: str, stop: str, warm_hours: int) -> tuple[DataFrame, DataFrame]:
-    """A universe file as ``(timestamp, symbol, eligible)`` from the warm-up on, and its violation rows.
-
-    Only ``true false 1 0`` are booleans, and a timestamp must name its zone.
-    """
-    raw = spark.read.schema("timestamp string, symbol string, eligible string").option("header", True).csv(path)
-    token = F.lower(F.trim("eligible"))
-    flag = F.when(token.isin("true", "1"), True).when(token.isin("false", "0"), False)
-    zoned = F.trim("timestamp").rlike(r"(Z|[+-]\d\d:?\d\d)$")
-    parsed = raw.select(F.when(zoned, F.col("timestamp").try_cast("timestamp")).alias("ts"), F.col("symbol"), flag.alias("eligible"), F.col("timestamp").alias("raw"))
-    bad = parsed.where("ts is null or symbol is null or eligible is null").select("raw", "symbol")
-    low = F.to_timestamp(F.lit(start)) - F.make_dt_interval(hours=F.lit(warm_hours))
-    return parsed.where((F.col("ts") >= low) & (F.col("ts") < F.to_timestamp(F.lit(stop)))).select(F.col("ts").alias("timestamp"), "symbol", "eligible"), bad
-
-
 def stage_window(stage: str, bounds: dict[str, tuple[str, str]], warm_hours: int, ts: str = "ts") -> Column:
     """The condition that a time lies in a development stage or its warm-up; the reserved stage C is refused."""
     if stage not in ("A", "B"):
@@ -228,17 +213,6 @@ def append_only(stored: DataFrame, batch: DataFrame, keys: list[str], content: l
     return batch.join(old, keys, "left").withColumn("outcome", outcome).drop("_old")
 
 
-def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in an order, with the total number of rows."""
-    total = df.agg(F.count("*").alias("total"))
-    return df.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total))
-
-
-def write_by_symbol(df: DataFrame, path: str) -> None:
-    """One directory per symbol; rows are spread by symbol and a salt so that one large symbol has several files."""
-    df.repartition("symbol", F.pmod(F.xxhash64("ts"), F.lit(8))).write.mode("overwrite").partitionBy("symbol").option("compression", "zstd").parquet(path)
-
-
 def write_report(df: DataFrame, path: str, kind: str = "csv", mode: str = "append") -> None:
     """A report table as CSV, JSON lines or Parquet, appended as a ledger by default."""
     writer = df.write.mode(mode)

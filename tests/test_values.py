@@ -13,6 +13,7 @@ from panelwright.functions import window as T
 from panelwright.operators import displacement as R
 from panelwright.operators import evaluate as E
 from panelwright.operators import panel as P
+from panelwright.sources import archives as A
 from panelwright.sources import tables as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -156,16 +157,9 @@ def test_epoch_units_and_quarantine(spark):
     assert got[0] == [] and got[3_600_000] == ["missing_field", "inconsistent_zero_volume", "high_low_bounds"]
 
 
-def test_membership_file(spark, tmp_path):
-    path = tmp_path / "universe.csv"
-    path.write_text("timestamp,symbol,eligible\n2024-01-01T00:00:00Z,a,true\n2024-01-01T01:00:00Z,a,0\n2024-01-01T02:00:00,a,1\n2024-01-01T03:00:00Z,a,yes\n")
-    good, bad = S.membership(spark, str(path), "2024-01-01 01:00:00", "2024-01-02 00:00:00", 1)
-    assert [r["eligible"] for r in good.orderBy("timestamp").collect()][:2] == [True, False] and bad.count() == 2
-
-
 def test_sinks_round_trip(spark, tmp_path):
     df = hours(spark, [1, 2, 3])
-    S.write_by_symbol(df, str(tmp_path / "p"))
+    A.write_partitioned(df, str(tmp_path / "p"), "symbol")
     assert spark.read.parquet(str(tmp_path / "p")).count() == 3
     S.write_report(df, str(tmp_path / "c"))
     S.write_report(df, str(tmp_path / "c"))
