@@ -43,7 +43,7 @@ def op5_transducer_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
-    return warc.read_archives(spark, folder).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(spark, folder, payloads=False).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_pairwise_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import logging
 import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
@@ -19,9 +22,11 @@ from pyspark.sql import functions as F
 
 #: Compressed bytes after which a task begins its next archive.
 ARCHIVE_BYTES = 8 << 20
-#: Bytes that a record's headers may take, and compressed bytes that are unpacked at a time.
-HEADER_BYTES, PIECE_BYTES = 64 << 10, 16 << 10
+#: Bytes of an archive that are read at a time, and of a member that are unpacked at a time.
+WINDOW_BYTES, PIECE_BYTES = 1 << 20, 16 << 10
 _MAGIC, _VERSION, _END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
+_MARK, _FIRST_LINE = re.compile(re.escape(_MAGIC) + b"[\\x00-\\x1f]|" + re.escape(_VERSION)), re.compile(re.escape(_VERSION) + rb"\d\r\n")
+_log = logging.getLogger(__name__)
 _EPOCH = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -62,41 +67,137 @@ class Found:
 
 
 class _Damaged(Exception):
-    pass
+    """A check that failed; ``until``: no version line before that place passes either."""
+
+    def __init__(self, reason: str, until: int = 0):
+        super().__init__(reason)
+        self.until = until
+
+
+class Source:
+    """The bytes of an archive, read by offset in windows; where a search went is remembered, so that it isn't gone again."""
+
+    def __init__(self, file: BinaryIO, size: int):
+        self.file, self.size = file, size
+        self.start, self.window = 0, b""
+        self.known: dict[tuple[bytes, str], tuple[int, int]] = {}
+
+    def _hold(self, at: int, size: int) -> None:
+        """Has the window hold ``size`` bytes from ``at`` on, or all that there are."""
+        if not self.start <= at <= min(at + size, self.size) <= self.start + len(self.window):
+            self.file.seek(at)
+            self.start, self.window = at, self.file.read(max(0, min(max(size, WINDOW_BYTES), self.size - at)))
+
+    def read(self, at: int, size: int) -> bytes:
+        """Up to ``size`` bytes from ``at`` on; a few bytes elsewhere don't move the window."""
+        if size <= 64 and not self.start <= at <= at + size <= self.start + len(self.window):
+            self.file.seek(at)
+            return self.file.read(min(size, max(0, self.size - at)))
+        self._hold(at, size)
+        return self.window[at - self.start : at - self.start + size]
+
+    def find(self, what: bytes, at: int, search: str = "") -> int:
+        """Where ``what`` comes next, from ``at`` on; the size if nowhere. Each named ``search`` goes forward on its own."""
+        if at >= self.size:
+            return self.size
+        since, found = self.known.get((what, search), (0, -1))
+        if not since <= at <= found:
+            found = self._search(re.compile(re.escape(what)), at, len(what))
+            self.known[what, search] = at, found
+        return found
+
+    def mark(self, at: int) -> int:
+        """The next place that may begin a member or a record."""
+        return self._search(_MARK, at, len(_VERSION))
+
+    def _search(self, pattern: re.Pattern[bytes], at: int, width: int) -> int:
+        while at < self.size:
+            self._hold(at, width)
+            found = pattern.search(self.window, at - self.start)
+            if found:
+                return self.start + found.start()
+            at = max(at + 1, self.start + len(self.window) - width + 1)
+        return self.size
+
+
+def _headers(data: Source, at: int) -> tuple[int, dict[str, str]]:
+    """Where the header of the record at ``at`` ends, and its fields, names in lower case; lines are read up to the first that is none."""
+    if not _FIRST_LINE.match(data.read(at, 16)):
+        raise _Damaged("no header")
+    stop = data.find(_END, at)
+    if stop >= data.size:
+        raise _Damaged("no header", data.size)
+    headers: dict[str, str] = {}
+    here = data.find(b"\r\n", at) + 2
+    while here < stop + 2:
+        after = data.find(b"\r\n", here)
+        name, colon, value = data.read(here, after - here).partition(b":")
+        try:
+            field_name = name.decode().strip().lower()
+            if not colon or (field_name in headers and field_name != "warc-concurrent-to"):
+                raise _Damaged("bad header", here)
+            headers[field_name] = value.decode().strip()
+        except UnicodeDecodeError as e:
+            raise _Damaged("bad header", here) from e
+        here = after + 2
+    return stop + 4, headers
 
 
-def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
-    """The record at ``at``: where it ends, its headers (names in lower case) and its block; raises where a check fails."""
-    stop = data.find(_END, at, at + HEADER_BYTES)
-    if not data.startswith(_VERSION, at) or stop < 0:
-        raise _Damaged("no header")
-    try:
-        fields = (line.split(":", 1) for line in data[at:stop].decode().split("\r\n")[1:])
-        headers = {name.strip().lower(): value.strip() for name, value in fields}
-        size = int(headers["content-length"])
-    except (ValueError, KeyError) as e:
-        raise _Damaged("bad header") from e
-    block, end = data[stop + 4 : stop + 4 + max(0, size)], stop + 4 + size
-    if size < 0 or len(block) < size or data[end : end + 4] != _END:
+def _parse(data: Source, at: int) -> tuple[int, dict[str, str], bytes]:
+    """The record at ``at``: where it ends, its headers and its block; raises where a check fails.
+
+    A header may have any length. The length that it states is held against what is there, and the
+    record's end is looked at, before the block is read.
+    """
+    begin, headers = _headers(data, at)
+    if not (headers.get("content-length") or "").isdecimal():
+        raise _Damaged("bad header", begin if "content-length" not in headers else 0)
+    size = int(headers["content-length"])
+    end = begin + size
+    if end + 4 > data.size or data.read(end, 4) != _END:
         raise _Damaged("bad length")
+    block = data.read(begin, size)
     if headers.get("warc-block-digest", (sha := f"sha1:{base32_sha1(block)}")) != sha:
         raise _Damaged("bad digest")
     return end + 4, headers, block
 
 
-def _member(data: bytes, at: int) -> tuple[int, bytes]:
-    """The gzip member at ``at``: where it ends and its content; its checksum is checked. Reads no further than the member."""
-    opened, pieces, whole = zlib.decompressobj(31), [], memoryview(data)
+def _deflated(data: Source, at: int) -> int:
+    """Where the deflate stream of the gzip member at ``at`` begins; raises if its header's fields can't be those of one."""
+    head = data.read(at, 12)
+    if len(head) < 10 or head[3] & 0xE0:
+        raise _Damaged("bad member")
+    here = at + 10
+    if head[3] & 4:
+        here += 2 + int.from_bytes(data.read(here, 2), "little")
+    for flag in (8, 16):
+        if head[3] & flag:
+            here = data.find(b"\0", here, f"{head[3] & 12}, {flag}") + 1
+    here += 2 * (head[3] >> 1 & 1)
+    if here >= data.size:
+        raise _Damaged("bad member")
+    return here
+
+
+def _member(data: Source, at: int, begin: int) -> tuple[int, bytes]:
+    """The gzip member at ``at`` whose deflate stream begins at ``begin``: where it ends and its content; its checksum is checked."""
+    opened, pieces, here = zlib.decompressobj(-15), [], begin
+    crc = size = 0
+    take = 256  # a false mark fails within few bytes
     while not opened.eof:
-        part = whole[at : at + PIECE_BYTES]
-        if not len(part):
+        part, take = data.read(here, take), min(2 * take, PIECE_BYTES)
+        if not part:
             raise _Damaged("cut member")
         try:
-            pieces.append(opened.decompress(part))
+            piece = opened.decompress(part)
         except zlib.error as e:
             raise _Damaged("bad member") from e
-        at += len(part) - len(opened.unused_data)
-    return at, b"".join(pieces)
+        pieces.append(piece)
+        crc, size = zlib.crc32(piece, crc), size + len(piece)
+        here += len(part) - len(opened.unused_data)
+    if data.read(here, 8) != crc.to_bytes(4, "little") + (size & 0xFFFFFFFF).to_bytes(4, "little"):
+        raise _Damaged("bad member")
+    return here + 8, b"".join(pieces)
 
 
 def _record(start: int, end: int, headers: dict[str, str], block: bytes) -> Found:
@@ -108,46 +209,59 @@ def _record(start: int, end: int, headers: dict[str, str], block: bytes) -> Foun
 
 def _inside(content: bytes, start: int, end: int) -> list[Found]:
     """The sound records of a sound member that lies from ``start`` to ``end``; one gap of that place if any of it is damaged."""
+    data = Source(io.BytesIO(content), len(content))
     found, at, reason = [], 0, ""
-    while at < len(content):
+    while at < data.size:
         try:
-            after, headers, block = _parse(content, at)
+            after, headers, block = _parse(data, at)
             found.append(_record(start, end, headers, block))
             at = after
         except _Damaged as e:
             reason = reason or str(e)
-            at = content.find(_VERSION, at + 1)
-            if at < 0:
-                break
+            at = data.find(_VERSION, max(at + 1, e.until))
     if not found:
         raise _Damaged(reason or "no record")
     return [*found, Found(start, end, gap=f"in member: {reason}")] if reason else found
 
 
-def salvage(data: bytes) -> Iterator[Found]:
+def salvage(data: bytes | Source) -> Iterator[Found]:
     """Every sound record of an archive, and a gap for each stretch of bytes that isn't one.
 
     Plain records and gzip members may alternate. After a failed check the search goes on one byte
     further for the next member or version line that passes all checks; a mark inside a payload
     that passes none is stepped over. No byte is left out: records and gaps cover the archive. In a
     member that holds several records the sound ones around a damaged one are found too.
+
+    Damage costs about as much as sound bytes: a mark is held against the form of a member's or a
+    record's head first, marks whose heads lead to the same deflate stream try it once, and where a
+    header's lines end badly no version line before that place is tried.
     """
-    at, lost, reason = 0, -1, ""
-    mark = re.compile(re.escape(_MAGIC) + b"|" + re.escape(_VERSION))
-    while at < len(data):
+    data = data if isinstance(data, Source) else Source(io.BytesIO(data), len(data))
+    at, lost, reason, barred = 0, -1, "", 0
+    tried: set[int] = set()
+    while at < data.size:
+        each = None
         try:
-            if data.startswith(_MAGIC, at):
-                end, content = _member(data, at)
+            if data.read(at, 3) == _MAGIC:
+                begin = _deflated(data, at)
+                if begin in tried:
+                    raise _Damaged("bad member")
+                tried.add(begin)
+                end, content = _member(data, at, begin)
                 each = _inside(content, at, end)
+            elif at < barred:
+                raise _Damaged("bad header")
             else:
                 end, headers, block = _parse(data, at)
                 each = [_record(at, end, headers, block)]
         except _Damaged as e:
+            barred = max(barred, e.until)
             if lost < 0:
                 lost, reason = at, str(e)
-            found = mark.search(data, at + 1)
-            at = found.start() if found else len(data)
+        if each is None:
+            at = data.mark(at + 1)
             continue
+        tried.clear()
         if lost >= 0:
             yield Found(lost, at, gap=reason)
             lost = -1
@@ -235,40 +349,54 @@ def _number(name: str | None) -> int | None:
 
 def _row(archive: str, x: Found) -> tuple:
     if x.gap:
+        _log.warning("%s: bytes %d to %d set aside: %s", archive, x.start, x.end, x.gap)
         return archive, x.start, x.end, x.gap, None, None, None, None, None, None, None
     size = re.search(rb"(?i)\r\nContent-Length: *(\d+)", x.http)
     h = x.headers
+    # A revisit has no payload of its own to take the digest of.
+    digest = h.get("warc-payload-digest") or (None if h.get("warc-type") == "revisit" else base32_sha1(x.payload))
     return (
         archive, x.start, x.end, None, h.get("warc-type"), _number(h.get("warc-record-id")), h.get("warc-target-uri"), _number(h.get("warc-refers-to")),
-        int(size[1]) if size else len(x.payload), h.get("warc-payload-digest", "").removeprefix("sha1:"), x.payload,
+        int(size[1]) if size else len(x.payload), digest and digest.removeprefix("sha1:"), x.payload,
     )
 
 
-def _reading(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            rows, held = [], 0
-            for x in salvage(content.as_py()):
-                rows.append(_row(path, x))
-                held += len(x.payload)
-                if held > 4 << 20:
-                    yield _batch(rows)
-                    rows, held = [], 0
-            yield _batch(rows)
+def _reading(payloads: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size in zip(*(batch.column(c).to_pylist() for c in ("path", "length")), strict=True):
+                store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                rows, held = [], 0
+                with store.open_input_file(place) as file:
+                    for x in salvage(Source(file, size)):
+                        rows.append(_row(path, x)[: None if payloads else -1])
+                        held += 256 + payloads * len(x.payload)
+                        if held > 4 << 20:
+                            yield _batch(rows, payloads)
+                            rows, held = [], 0
+                yield _batch(rows, payloads)
 
+    return run
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * len(_FIELDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)], schema=_FIELDS)
 
+def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
+    fields = [*_FIELDS][: None if payloads else -1]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record and per gap of all archives in ``folder``.
+
+def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """A row per record and per gap of all archives in ``folder``, a URI that all executors reach.
 
     Gaps have ``gap`` (the reason), ``start`` and ``stop`` (the archive's bytes set aside) and no
-    other fields; records have ``gap`` null. An archive is read whole by one task, which is why
-    the writer bounds its size. Header names may have any case. No archives give no rows.
+    other fields, and are logged by the executors; records have ``gap`` null. ``payloads`` false leaves
+    that column out. Header names may have any case, headers and URLs any length. A record without
+    a payload digest gets its payload's own, a revisit without one has null.
+
+    An archive is read in order by one task, in windows by offset, so that it may be larger than
+    memory; a record is held whole. Records that repeat and archives with the same records are all
+    there; rows have the reader's columns alone, so that no name clashes. No archives give no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "length")
     kinds = {pa.string(): "string", pa.int64(): "bigint", pa.binary(): "binary"}
-    return files.mapInArrow(_reading, ", ".join(f"{f.name} {kinds[f.type]}" for f in _FIELDS))
+    return files.mapInArrow(_reading(payloads), ", ".join(f"{f.name} {kinds[f.type]}" for f in [*_FIELDS][: None if payloads else -1]))
