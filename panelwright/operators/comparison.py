@@ -38,6 +38,16 @@ def input_support(panel: DataFrame, fields: list[str], least: int = 20) -> DataF
     return at.agg(F.sum("n").alias("cells"), F.count_if(F.col("n") >= least).alias("full_times"), F.min("n").alias("fewest"), F.max("n").alias("most"))
 
 
+def labelled_support(labels: DataFrame, fields: list[str], least: int = 20) -> DataFrame:
+    """Per horizon: eligible cells, those with a label, with all inputs, with both, and times with at least ``least`` of the last."""
+    inputs = F.lit(True)
+    for f in fields:
+        inputs = inputs & finite(F.col(f)).isNotNull()
+    label = F.col("forward_return").isNotNull()
+    at = labels.where("eligible").groupBy("horizon", "ts").agg(F.count("*").alias("n"), F.count_if(label).alias("l"), F.count_if(inputs).alias("i"), F.count_if(inputs & label).alias("b"))
+    return at.groupBy("horizon").agg(F.sum("n").alias("eligible"), F.sum("l").alias("labelled"), F.sum("i").alias("with_inputs"), F.sum("b").alias("with_both"), F.count_if(F.col("b") >= least).alias("full_times"))
+
+
 def universe_differences(old: DataFrame, new: DataFrame, lifecycle: DataFrame) -> DataFrame:
     """Per symbol with differing eligibility: how many times each way, the first and last, beside its declared end."""
     both = old.select("ts", "symbol", F.col("eligible").alias("x")).join(new.select("ts", "symbol", F.col("eligible").alias("y")), ["ts", "symbol"], "full")

@@ -151,6 +151,14 @@ def alignment_audit(usable_rows: DataFrame) -> DataFrame:
     return usable_rows.select(F.explode(named).alias("finding")).groupBy("finding").agg(F.count("*").alias("rows"))
 
 
+def alignment_totals(usable_rows: DataFrame) -> DataFrame:
+    """Per symbol: rows, usable ones, events, amounts by side, invalid notionals, and rows whose file's hour isn't theirs."""
+    return usable_rows.groupBy("symbol").agg(
+        F.count("*").alias("rows"), F.count_if("count_usable").alias("counted"), F.count_if("amount_usable").alias("priced"), F.sum("events").alias("events"),
+        F.sum("long_notional").alias("long_notional"), F.sum("short_notional").alias("short_notional"), F.sum("invalid").alias("invalid"), F.count_if(F.col("mismatch") > 0).alias("mismatches"),
+    )
+
+
 def most_frequent(rows: DataFrame, condition: Column, key: str, n: int = 20) -> DataFrame:
     """The ``n`` keys with most rows that meet a condition, a top-n report."""
     return rows.where(condition).groupBy(key).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), key).limit(n)

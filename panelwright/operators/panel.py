@@ -203,6 +203,48 @@ def coverage_rollup(df: DataFrame, fields: list[str], required: DataFrame, marke
     return ready.join(lists, ready["market"].eqNullSafe(F.col("_m")) & (ready["level"] == F.col("_l")), "left").select("level", "market", "field", "symbol", "rows", "eligible", "valid", "needed", "ready", "covered", "uncovered")
 
 
+def next_bar_panel(df: DataFrame, scale: float = 1.0, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
+    """``df``'s keys with the next bar's open and close and its open-to-close return; rows without one go."""
+    w = W.partitionBy(symbol).orderBy(ts)
+    each = df.select(symbol, ts, F.lead("open").over(w).alias("next_open"), F.lead("close").over(w).alias("next_close"))
+    return each.withColumn("next_return", div(F.col("next_close") * scale, F.col("next_open")) - 1).where("next_return is not null")
+
+
+def excluded_symbols(asked: DataFrame, bars: DataFrame, panel: DataFrame) -> DataFrame:
+    """``(symbol, reason)`` of the symbols asked for that a panel doesn't have: no_bars, or no_next_bar where there are some."""
+    there = bars.where("close is not null").select("symbol").distinct().withColumn("_bars", F.lit(True))
+    lacking = asked.select("symbol").distinct().join(panel.select("symbol").distinct(), "symbol", "left_anti")
+    return lacking.join(there, "symbol", "left").select("symbol", F.when(F.col("_bars"), "no_next_bar").otherwise("no_bars").alias("reason"))
+
+
+#: Endings of leveraged tokens' names.
+LEVERAGED = r"(UP|DOWN|BULL|BEAR)$"
+
+
+def cohort(markets: dict[str, DataFrame], steps: int, excluded: DataFrame, n: int, volume: str = "volume", period: str = "day") -> DataFrame:
+    """The ``n`` symbols with the largest median volume of a period, of those that have all ``steps`` valid bars in every market.
+
+    ``markets``: bars ``(symbol, ts, close, volume)`` of the time before the cut; a bar is valid with a
+    close above zero and a volume that isn't negative. Named symbols and leveraged tokens are left
+    out. Volumes of the first market count. The median, not the total, ranks: one busy day doesn't.
+    """
+    names = [*markets]
+    valid = {m: df.where((finite(F.col("close")) > 0) & (finite(F.col(volume)) >= 0)) for m, df in markets.items()}
+    found = valid[names[0]].groupBy("symbol", F.date_trunc(period, "ts").alias("_p")).agg(F.sum(volume).alias("_v")).groupBy("symbol").agg(F.median("_v").alias("median_volume"))
+    for df in valid.values():
+        found = found.join(df.groupBy("symbol").agg(F.countDistinct("ts").alias("_n")).where(F.col("_n") == steps).select("symbol"), "symbol", "left_semi")
+    found = found.join(excluded, "symbol", "left_anti").where(~F.col("symbol").rlike(LEVERAGED))
+    top = found.orderBy(F.desc("median_volume"), "symbol").limit(n)
+    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("median_volume"), "symbol")).cast("long"))
+
+
+def field_hours(df: DataFrame, fields: list[str], least: int) -> DataFrame:
+    """Per field: eligible rows, eligible rows with a value, and times with at least ``least`` such symbols, of all times."""
+    each = df.groupBy("ts").agg(F.count_if("eligible").alias("_e"), *[F.count_if(F.col("eligible") & finite(F.col(f).cast("double")).isNotNull()).alias(f) for f in fields])
+    long = each.unpivot(["ts", "_e"], fields, "field", "n")
+    return long.groupBy("field").agg(F.sum("_e").alias("eligible"), F.sum("n").alias("valid"), F.count_if(F.col("n") >= least).alias("full_times"), F.count("*").alias("times"))
+
+
 def ranges(df: DataFrame, times: list[str], ages: list[str], keys: list[str]) -> DataFrame:
     """Per key: the first and last of every observed time, the least and greatest of every age; NULL where there is none."""
     ends = [f(c).alias(f"{c}_{n}") for c in times for n, f in (("first", F.min), ("last", F.max))]

@@ -206,6 +206,12 @@ def tail(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order]).limit(n)
 
 
+def tail_snapshot(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The last ``n`` rows in an order, each with the whole frame's number of rows and its first and last ``order[0]``."""
+    whole = df.agg(F.count("*").alias("frame_rows"), F.min(order[0]).alias("frame_first"), F.max(order[0]).alias("frame_last"))
+    return tail(df, n, order).join(F.broadcast(whole))
+
+
 def append_only(stored: DataFrame, batch: DataFrame, keys: list[str], content: list[str]) -> DataFrame:
     """``batch`` with ``outcome``: new for an unknown key, same for known content, conflict for other content."""
     old = stored.select(*keys, F.struct(*content).alias("_old"))
