@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.cross import average_rank, correlation
 from panelwright.functions.pointwise import div
-from panelwright.operators.evaluate import hac
+from panelwright.operators.evaluate import hac_of
+from panelwright.sources.tables import stored
 
 
 def pairs(panel: DataFrame, factor: str, steps: list[int], keys: list[str], step_seconds: int = 3600) -> DataFrame:
@@ -129,11 +130,12 @@ def variant_effects(periods: DataFrame, reference: str, direction: int, lags: in
     paired = paired.withColumns({
         "gain": F.when(valid, F.col("_d") - F.col("d")), "ic_change": F.when(valid, (F.col("rank_ic") - F.col("_rank_ic")) * direction), "spread_change": F.when(valid, (F.col("spread") - F.col("_spread")) * direction),
     })
-    by = [*keys, "variant"]
-    found = paired.groupBy(*by).agg(F.count("*").alias("periods"), F.count_if(valid).alias("paired"), F.avg("d").alias("mean_d"), F.avg("rank_ic").alias("mean_ic"), F.avg("spread").alias("mean_spread"))
-    for effect in ("gain", "ic_change", "spread_change"):
-        tested = hac(paired, effect, by, lags, min_periods).select(*by, F.col("mean").alias(effect), F.col("se").alias(f"{effect}_se"), F.col("ci_low").alias(f"{effect}_low"), F.col("ci_high").alias(f"{effect}_high"), F.col("status").alias(f"{effect}_status"))
-        found = found.join(tested, by)
+    by, effects = [*keys, "variant"], ["gain", "ic_change", "spread_change"]
+    paired = stored(paired.select(*by, "ts", "d", "rank_ic", "spread", valid.alias("valid"), *effects))
+    found = paired.groupBy(*by).agg(F.count("*").alias("periods"), F.count_if("valid").alias("paired"), F.avg("d").alias("mean_d"), F.avg("rank_ic").alias("mean_ic"), F.avg("spread").alias("mean_spread"))
+    tested = hac_of(paired, effects, by, lags, min_periods)
+    named = {"mean": "", "se": "_se", "ci_low": "_low", "ci_high": "_high", "status": "_status"}
+    found = found.join(tested.select(*by, *[F.col(f"{e}_{p}").alias(f"{e}{n}") for e in effects for p, n in named.items()]), by)
     stop = (F.col("gain_high") < min_gain) | (F.col("ic_change_high") < -max_ic_loss)
     go = (F.col("gain") >= min_gain) & (F.col("gain_low") > 0) & (F.col("ic_change_low") >= -max_ic_loss)
     no = F.lit(False)

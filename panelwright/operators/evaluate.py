@@ -73,26 +73,43 @@ def periods(labelled: DataFrame, factor: str, keys: list[str], groups: int, min_
     return found.withColumns({"spread": spread, "directional_spread": spread * direction}).drop("_ic", "distinct")
 
 
+HAC_PARTS = ("n", "grid_periods", "mean", "std", "status", "se", "ci_low", "ci_high", "statistic")
+
+
 def hac(df: DataFrame, value: str, keys: list[str], lags: int, min_periods: int, confidence: float = 0.95, ts: str = "ts") -> DataFrame:
     """Mean of a series per key with Newey-West standard error over its full grid of periods.
 
     A period without a value keeps its slot and scores 0. Bartlett weights, n / (n - 1), normal
     confidence bounds. Statuses: insufficient_evidence, degenerate_variance, estimated.
     """
+    return hac_of(df, [value], keys, lags, min_periods, confidence, ts).select(*keys, *[F.col(f"{value}_{p}").alias(p) for p in HAC_PARTS])
+
+
+def hac_of(df: DataFrame, values: list[str], keys: list[str], lags: int, min_periods: int, confidence: float = 0.95, ts: str = "ts") -> DataFrame:
+    """``hac`` of several series in one pass: per key ``VALUE_n``, ``VALUE_mean`` and the other parts of each."""
     each = W.partitionBy(*keys)
-    x = finite(F.col(value))
-    scored = df.select(*keys, ts, x.alias("x")).withColumn("u", F.coalesce(F.col("x") - F.avg("x").over(each), F.lit(0.0)))
     order = each.orderBy(ts)
-    lagged = scored.withColumns({f"l{k}": F.lag("u", k).over(order) for k in range(1, lags + 1)})
-    cross = F.sum(F.col("u") * F.col("u"))
-    for k in range(1, lags + 1):
-        cross = cross + F.lit(2 * (1 - k / (lags + 1))) * F.coalesce(F.sum(F.col("u") * F.col(f"l{k}")), F.lit(0.0))
-    found = lagged.groupBy(*keys).agg(F.count("x").alias("n"), F.count("*").alias("grid_periods"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), cross.alias("_total"), (F.min("x") < F.max("x")).alias("_varies"))
-    variance = F.when(F.col("n") > 1, F.col("_total") / (F.col("n") * (F.col("n") - 1)))
-    status = F.when(F.col("n") < min_periods, "insufficient_evidence").when(~F.coalesce("_varies", F.lit(False)) | (variance <= 0), "degenerate_variance").otherwise("estimated")
+    rows = df.select(*keys, ts, *[finite(F.col(v)).alias(f"x_{v}") for v in values])
+    rows = rows.withColumns({f"u_{v}": F.coalesce(F.col(f"x_{v}") - F.avg(f"x_{v}").over(each), F.lit(0.0)) for v in values})
+    rows = rows.withColumns({f"l{k}_{v}": F.lag(f"u_{v}", k).over(order) for v in values for k in range(1, lags + 1)})
+    sums = [F.count("*").alias("grid_periods")]
+    for v in values:
+        x, u = F.col(f"x_{v}"), F.col(f"u_{v}")
+        cross = F.sum(u * u)
+        for k in range(1, lags + 1):
+            cross = cross + F.lit(2 * (1 - k / (lags + 1))) * F.coalesce(F.sum(u * F.col(f"l{k}_{v}")), F.lit(0.0))
+        sums += [F.count(x).alias(f"{v}_n"), F.avg(x).alias(f"{v}_mean"), F.stddev_samp(x).alias(f"{v}_std"), cross.alias(f"{v}_total"), (F.min(x) < F.max(x)).alias(f"{v}_varies")]
+    found = rows.groupBy(*keys).agg(*sums)
     z = NormalDist().inv_cdf((1 + confidence) / 2)
-    found = found.withColumn("status", status).withColumn("se", F.when(F.col("status") == "estimated", F.sqrt(F.greatest(variance, F.lit(0.0)))))
-    return found.withColumns({"ci_low": F.col("mean") - z * F.col("se"), "ci_high": F.col("mean") + z * F.col("se"), "statistic": div(F.col("mean"), F.col("se"))}).drop("_total", "_varies")
+    out = []
+    for v in values:
+        n, mean = F.col(f"{v}_n"), F.col(f"{v}_mean")
+        variance = F.when(n > 1, F.col(f"{v}_total") / (n * (n - 1)))
+        status = F.when(n < min_periods, "insufficient_evidence").when(~F.coalesce(f"{v}_varies", F.lit(False)) | (variance <= 0), "degenerate_variance").otherwise("estimated")
+        se = F.when(status == "estimated", F.sqrt(F.greatest(variance, F.lit(0.0))))
+        parts = {"n": n, "grid_periods": F.col("grid_periods"), "mean": mean, "std": F.col(f"{v}_std"), "status": status, "se": se, "ci_low": mean - z * se, "ci_high": mean + z * se, "statistic": div(mean, se)}
+        out += [parts[p].alias(f"{v}_{p}") for p in HAC_PARTS]
+    return found.select(*keys, *out)
 
 
 # The coefficients of the public rational approximation of erfc, relative error below 1.2e-7.
