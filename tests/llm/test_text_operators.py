@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,18 +52,55 @@ def test_decontamination(spark, folder, rows):
     assert any(w[2] for w in want)
 
 
-def test_decontamination_in_blocks_offsets_and_edges(spark, docs, folder, clashing, empty):
+def test_decontamination_offsets_and_edges(spark, docs, folder, clashing, empty):
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
-    one = decontaminate.contamination(docs, bench).select("doc_id", "n_hit", "contaminated").collect()
-    many = decontaminate.contamination(docs, bench, block_bytes=1500).select("doc_id", "n_hit", "contaminated").collect()
-    assert sorted(map(tuple, one), key=repr) == sorted(map(tuple, many), key=repr)
     assert decontaminate.contamination(empty, bench).count() == 0
-    assert decontaminate.contamination(clashing, bench.limit(0)).where("contaminated").count() == 0
-    machine = decontaminate.build_automaton([(7, "Größe ZWEI drei"), (8, "drei")])
-    text = "é-größe, zwei\tDREI! Vier drei"
-    n, hit, ids = decontaminate.scan(machine, text)
-    assert (n, hit.tolist(), ids) == (6, [False, True, True, True, False, True], {7, 8})
-    assert [text[a:b] for a, b in decontaminate.spans(text, hit)] == ["größe, zwei\tDREI", "drei"]
+    assert decontaminate.contamination(clashing, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0
+    twice = decontaminate.contamination(docs, bench.unionByName(bench)).select("doc_id", "n_hit", "items").collect()
+    once = decontaminate.contamination(docs, bench).select("doc_id", "n_hit", "items").collect()
+    assert sorted(map(tuple, once), key=repr) == sorted(map(tuple, twice), key=repr)
+    machine = decontaminate.build_automaton([(7, "Größe ZWEI drei"), (8, "drei"), (9, None), (10, " - ")])
+    bodies = ["", "é-größe, zwei\tDREI! Vier drei", "größe", "zwei drei"]
+    found = machine.scan(bodies)
+    assert (found.first.tolist(), found.hit.tolist()) == ([0, 0, 6, 7, 9], [False, True, True, True, False, True, False, False, True])
+    assert [sorted(x) for x in found.items] == [[], ["7", "8"], [], ["8"]]
+    assert [[body[a:b] for a, b in found.spans(i)] for i, body in enumerate(bodies)] == [[], ["größe, zwei\tDREI", "drei"], [], ["drei"]]
+
+
+SMALL = st.lists(st.sampled_from("abc"), max_size=40).map(" ".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(SMALL, max_size=6), st.lists(SMALL, max_size=5))
+def test_automaton_finds_what_all_windows_find(items, bodies):
+    found = decontaminate.build_automaton(enumerate(items)).scan(bodies)
+    for i, body in enumerate(bodies):
+        words, hit, owners = body.split(), set(), set()
+        for item, text in enumerate(items):
+            for window in _windows(text)[1]:
+                for at in range(len(words) - len(window) + 1):
+                    if tuple(words[at : at + len(window)]) == window:
+                        hit.update(range(at, at + len(window)))
+                        owners.add(str(item))
+        assert np.flatnonzero(found.hit[found.first[i] : found.first[i + 1]]).tolist() == sorted(hit)
+        assert sorted(found.items[i]) == sorted(owners)
+
+
+def test_automaton_of_a_large_benchmark_is_read_from_its_file(tmp_path):
+    """Two megabytes of random words: a node takes 16 bytes, and the arrays stay in the file."""
+    rng = np.random.default_rng(5)
+    drawn = [f"w{i}" for i in rng.integers(0, 300_000, 300_000)]
+    items = [(i, " ".join(drawn[i * 100 : i * 100 + 100])) for i in range(3000)]
+    with open(tmp_path / "machine.arrow", "wb") as out:
+        decontaminate.build_automaton(items).write(out)
+    assert (tmp_path / "machine.arrow").stat().st_size < 250 * len(drawn)
+    before = pa.total_allocated_bytes()
+    machine = decontaminate.Automaton.open(str(tmp_path / "machine.arrow"))
+    assert pa.total_allocated_bytes() - before < 1 << 16
+    found = machine.scan([text for _, text in items[:50]] + [" ".join(drawn[50:150])])
+    assert found.hit.all()
+    assert found.items[:50] == [[str(i)] for i in range(50)]
+    assert sorted(found.items[50]) == ["0", "1"]
 
 
 @settings(max_examples=150, deadline=None)
