@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from panelwright.llm import line_dedup, lm, queries, sharding, simhash, warc
 from panelwright.llm.components import connected_components
@@ -80,7 +81,7 @@ def test_line_dedup_tries_all_pairs_of_a_bucket(spark, monkeypatch, paired):
     sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in norms]
     alike = {(i, j) for j in range(len(norms)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert 200 < len(alike) < 2000
-    got = {place[r["line"]]: place[r["group"]] for r in line_dedup.duplicate_lines(lines).collect()}
+    got = {place[r["line"]]: place[r["group"]] for r in line_dedup.duplicate_lines(*line_dedup.told_apart(lines)).collect()}
     buckets = {}
     for r in line_dedup._bands(lines).collect():
         buckets.setdefault(r["band"], set()).add(place[r["line"]])
@@ -91,6 +92,13 @@ def test_line_dedup_tries_all_pairs_of_a_bucket(spark, monkeypatch, paired):
     assert len(meets) > 0.9 * len(alike) and same([got.get(i, -1 - i) for i in range(len(norms))]) == same(want)
 
 
+def test_lines_of_equal_hashes_are_told_apart(spark, docs, monkeypatch):
+    want = sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect()), key=repr)
+    monkeypatch.setattr(line_dedup, "_line_hash", lambda norm: F.xxhash64(norm) % 50)
+    weak = line_dedup.dedup_lines(docs)
+    assert sorted(map(tuple, weak.select("doc_id", "text", "n_dropped").collect()), key=repr) == want
+
+
 def test_line_dedup_edges(spark, docs, clashing, empty):
     got = line_dedup.dedup_lines(docs)
     assert got.count() == docs.count() and got.where("doc_id = 900001 and text is null and n_lines = 0").count() == 1
