@@ -178,12 +178,15 @@ def fold(doc_id: str | Column, folds: int = 5) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, text: str, rows: int, label: str = "quality") -> DataFrame:
     """``(doc_id, label, _body)`` of up to ``rows`` labelled documents outside fold 0, those of the smallest id hashes.
 
-    Ids whose label rows disagree or are null, and labels other than 0 and 1, are left out.
+    Ids whose label rows disagree or are null, labels other than 0 and 1, and labels without a
+    document are left out and take no place; an id that repeats is one row, with the least of its texts.
     """
     clear = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most"))
     clear = clear.where(F.col("label").isin(0, 1) & (F.col("label") == F.col("most")) & (fold("doc_id") != 0))
-    chosen = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", F.col("label").cast("int").alias("label"))
-    return docs.select("doc_id", F.col(text).alias("_body")).join(F.broadcast(chosen), "doc_id")
+    held = clear.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", F.col("label").cast("int").alias("label"))
+    found = docs.select("doc_id", F.col(text).alias("_body")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("_body").alias("_body"))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAINING_ROWS) -> Gam:

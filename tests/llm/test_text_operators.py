@@ -170,6 +170,11 @@ def test_quality_model_edges(spark, docs, folder, clashing, empty):
     assert quality_gam.score_quality(empty, flat).count() == 0
     torn = labels.unionByName(labels.selectExpr("doc_id", "1 - quality AS quality", "toxic"))
     assert quality_gam.labelled(docs, torn, "text", 1000).count() == 0
+    # Labels without a document take no place under the bound, and an id that repeats is one row.
+    strangers = labels.unionByName(labels.selectExpr("doc_id + 5000000 AS doc_id", "quality", "toxic"))
+    known = quality_gam.labelled(docs, labels, "text", 1000)
+    twice = quality_gam.labelled(docs.unionByName(docs), strangers, "text", known.count())
+    assert known.count() > 20 and sorted(map(tuple, twice.collect())) == sorted(map(tuple, known.collect()))
 
 
 def test_pair_tables_learn_what_single_ones_cannot():
