@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.functions import cross as C
@@ -11,6 +10,7 @@ from panelwright.functions import window as T
 from panelwright.operators import displacement as R
 from panelwright.operators import evaluate as E
 from panelwright.operators import ranking as M
+from panelwright.operators import selection
 from panelwright.plans.base import NATION_WEEK, avg_rank_sql, nation_week, query, tidy, tidy_sql
 
 _END = "1999-06-07"
@@ -432,8 +432,7 @@ def r_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def r_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per parent the variant of the lowest mean, ties in a fixed order."""
-    s = nation_week(spark, sf_dir).where("eligible").groupBy("symbol", F.year("ts").alias("parent")).agg(F.round(F.avg("activity"), 3).alias("score"))
-    return s.withColumn("k", F.row_number().over(W.partitionBy("parent").orderBy("score", "symbol"))).where("k = 1").select("parent", "symbol", "score")
+    return selection.front(nation_week(spark, sf_dir).where("eligible").select(F.year("ts").alias("parent"), "symbol", F.col("activity").alias("score")), "parent", "symbol", "score")
 
 
 @query(
@@ -452,5 +451,4 @@ def r_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five of each class by an order, and the sixth as a disjoint sample."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("class"), "o_orderkey", "o_totalprice")
-    ranked = o.withColumn("k", F.row_number().over(W.partitionBy("class").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("k <= 6")
-    return ranked.select("class", "o_orderkey", (F.col("k") == 6).alias("disjoint"))
+    return selection.disjoint_picks(o, "class", [F.desc("o_totalprice"), "o_orderkey"], 5, 1).drop("o_totalprice")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.operators import panel as P
+from panelwright.operators import selection as C
 from panelwright.plans.base import EV_BARS, EV_GRID, NATION_WEEK, USER_UNIVERSE, ev_bars, ev_grid, nation_week, query, table, user_universe
 
 
@@ -210,5 +211,4 @@ SELECT date_trunc('day', ts) AS day, count(*) AS hours, count(*) FILTER (members
 )
 def p_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members an hour, and hours below the minimum by day."""
-    h = user_universe(spark, sf_dir).groupBy("ts").agg(F.count_if(F.col("eligible") & F.coalesce(F.col("volume") > 10, F.lit(False))).alias("members"))
-    return h.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("hours"), F.count_if(F.col("members") < 6).alias("below_minimum"), F.min("members").alias("fewest"), F.max("members").alias("most"))
+    return C.thin_times(C.members(user_universe(spark, sf_dir), F.col("eligible") & (F.col("volume") > 10)), 6)

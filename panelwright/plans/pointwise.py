@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import pointwise as X
 from panelwright.functions import window as T
+from panelwright.functions.templates import NETS, templates
 from panelwright.plans.base import EV_GRID, NATION_WEEK, ev_grid, nation_week, query
 
 _NAMES = "x_add x_sub x_mul x_div x_abs x_neg x_sign x_min x_max x_log x_sqrt x_power x_bounded"
@@ -53,28 +54,6 @@ def d_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_NETS = ("toptrader_account", "toptrader_position", "global_account", "taker_flow")
-
-
-def templates(df: DataFrame) -> DataFrame:
-    """The 18 named factor templates and the taker flow as compositions of operators, on a panel's fields; one level of columns each."""
-    w, c = T.series(), F.col
-    premium = lambda a, b: X.sub(X.div(c(a), c(b)), F.lit(1.0))
-    df = df.withColumns({
-        "basis_trade_spot": premium("perp_close", "spot_close"), "basis_mark_index": premium("mark_close", "index_close"), "trade_mark_spread": premium("perp_close", "mark_close"),
-        "open_interest_change_1bar": T.ts_return(c("open_interest_base"), 1, w), "open_interest_change_24h": T.ts_return(c("open_interest_base"), 24, w),
-        **{f"{n}_net": X.bounded_ratio(c("taker_long_short_volume_ratio" if n == "taker_flow" else f"{n}_long_short_ratio")) for n in _NETS},
-        **{f"{m}_taker_buy_share": X.div(c(f"{m}_taker_buy_quote_volume"), c(f"{m}_quote_volume")) for m in ("spot", "perp")},
-        **{f"{m}_quote_volume_24h": T.ts_sum(c(f"{m}_quote_volume"), 24, w) for m in ("spot", "perp")},
-        **{f"{m}_log_return_1bar": X.log(X.div(c(f"{m}_close"), T.ts_delay(c(f"{m}_close"), 1, w))) for m in ("spot", "perp")},
-    })
-    return df.withColumns({
-        "basis_change_1bar": T.ts_delta(c("basis_trade_spot"), 1, w), "perp_to_spot_quote_volume": X.div(c("perp_quote_volume_24h"), c("spot_quote_volume_24h")),
-        "spot_perp_return_spread_1bar": X.sub(c("perp_log_return_1bar"), c("spot_log_return_1bar")),
-        "perp_realized_vol_24h": X.mul(T.ts_std(c("perp_log_return_1bar"), 24, w), F.sqrt(F.lit(8766.0))),
-    })
-
-
 _TEMPLATES = (
     "basis_trade_spot basis_mark_index trade_mark_spread basis_change_1bar open_interest_change_1bar open_interest_change_24h toptrader_account_net toptrader_position_net global_account_net taker_flow_net spot_taker_buy_share perp_taker_buy_share "
     "spot_quote_volume_24h perp_quote_volume_24h perp_to_spot_quote_volume spot_log_return_1bar perp_log_return_1bar spot_perp_return_spread_1bar perp_realized_vol_24h"
@@ -94,7 +73,7 @@ def _net_sql(x: str) -> str:
     "d_factor_templates",
     f"""WITH {NATION_WEEK}, p AS (SELECT symbol, ts, {", ".join(f"{x} AS {n}" for n, x in _FIELDS.items())} FROM nw),
 a AS (SELECT *, perp_close / nullif(spot_close, 0) - 1 AS basis_trade_spot, mark_close / nullif(index_close, 0) - 1 AS basis_mark_index, perp_close / nullif(mark_close, 0) - 1 AS trade_mark_spread,
-  {", ".join(f"open_interest_base / nullif(lag(open_interest_base, {n}) OVER w, 0) - 1 AS open_interest_change_{x}" for n, x in ((1, "1bar"), (24, "24h")))}, {_net_sql("taker_long_short_volume_ratio")} AS taker_flow_net, {", ".join(f"{_net_sql(f'{n}_long_short_ratio')} AS {n}_net" for n in _NETS[:3])},
+  {", ".join(f"open_interest_base / nullif(lag(open_interest_base, {n}) OVER w, 0) - 1 AS open_interest_change_{x}" for n, x in ((1, "1bar"), (24, "24h")))}, {_net_sql("taker_long_short_volume_ratio")} AS taker_flow_net, {", ".join(f"{_net_sql(f'{n}_long_short_ratio')} AS {n}_net" for n in NETS[:3])},
   {", ".join(f"{m}_taker_buy_quote_volume / nullif({m}_quote_volume, 0) AS {m}_taker_buy_share, CASE WHEN count({m}_quote_volume) OVER d = 24 THEN sum({m}_quote_volume) OVER d END AS {m}_quote_volume_24h, ln({m}_close / lag({m}_close) OVER w) AS {m}_log_return_1bar" for m in ("spot", "perp"))}
   FROM p WINDOW w AS (PARTITION BY symbol ORDER BY ts), d AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
 b AS (SELECT *, basis_trade_spot - lag(basis_trade_spot) OVER w AS basis_change_1bar, perp_quote_volume_24h / nullif(spot_quote_volume_24h, 0) AS perp_to_spot_quote_volume, perp_log_return_1bar - spot_log_return_1bar AS spot_perp_return_spread_1bar,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.plans import archives, comparison, details, evaluation, liquidation, panels, pointwise, portfolios, signals, sources, windows  # noqa: F401  (they register)
+from panelwright.plans import archives, comparison, details, evaluation, liquidation, panels, pointwise, portfolios, reports, signals, sources, windows  # noqa: F401  (they register)
 from panelwright.plans.base import FOUND
 
 

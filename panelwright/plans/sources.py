@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.operators import panel as P
+from panelwright.operators import selection as C
 from panelwright.plans.base import EV_BARS, EV_GRID, USER_UNIVERSE, ev_bars, ev_grid, query, table, user_universe
 from panelwright.sources import archives as A
 from panelwright.sources import tables as S
@@ -139,8 +140,8 @@ def s_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of rows in which all of a group's values are present."""
     both = (F.col("value") > 20) & (F.col("event_id") % 2 == 0)
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("symbol")).agg(F.count_if(both).alias("interest_rows"), F.min(F.when(both, F.col("ts"))).alias("interest_first"), F.max(F.when(both, F.col("ts"))).alias("interest_last"), F.count_if(F.col("event_id") % 4 == 0).alias("ratio_rows"))
+    found = C.conditional_coverage(table(spark, sf_dir, "events"), [F.col("event_type").alias("symbol")], {"interest": both, "ratio": F.col("event_id") % 4 == 0})
+    return found.drop("ratio_first", "ratio_last")
 
 
 @query(

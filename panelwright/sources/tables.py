@@ -111,7 +111,13 @@ def quarantine(bars: DataFrame, step_seconds: int = 3600, slack_seconds: int = 5
     without volume that has trades or the reverse, bounds of high and low, taker volume in total.
     """
     c = F.col
-    w = W.partitionBy("symbol").orderBy("open_time")
+    bars = bars.withColumn("_day", F.floor(c("open_time") / F.lit(86_400_000)))
+    # The next bar's opening, in two levels, so that a task has one symbol's day and not all of its bars.
+    days = bars.groupBy("symbol", "_day").agg(F.min("open_time").alias("_first")).select(
+        c("symbol").alias("_of"), c("_day").alias("_on"), F.lead("_first").over(W.partitionBy("symbol").orderBy("_day")).alias("_later")
+    )
+    bars = bars.join(days, c("symbol").eqNullSafe(c("_of")) & c("_day").eqNullSafe(c("_on")), "left")
+    following = F.coalesce(F.lead("open_time").over(W.partitionBy("symbol", "_day").orderBy("open_time")), c("_later"))
     fields = ["symbol", "open_time", "close_time", "open", "high", "low", "close", "volume", "trades", "taker_volume"]
     complete_row = ~F.greatest(*[c(f).isNull().cast("int") for f in fields]).cast("boolean")
     step = step_seconds * 1000
@@ -119,23 +125,31 @@ def quarantine(bars: DataFrame, step_seconds: int = 3600, slack_seconds: int = 5
     traded = c("volume") > 0
     tests = {
         "missing_field": ~complete_row, "wrong_symbol": (c("symbol") != expected_symbol) if expected_symbol else F.lit(False), "unaligned_open": F.pmod(c("open_time"), F.lit(step)) != 0,
-        "close_before_open": c("close_time") <= c("open_time"), "extended_close": over > slack_seconds * 1000, "overlaps_next": (over > 0) & (c("close_time") >= F.lead("open_time").over(w)),
+        "close_before_open": c("close_time") <= c("open_time"), "extended_close": over > slack_seconds * 1000, "overlaps_next": (over > 0) & (c("close_time") >= following),
         "nonpositive_price": F.least(c("open"), c("high"), c("low"), c("close")) <= 0, "inconsistent_zero_volume": (traded & (c("trades") == 0)) | (~traded & (c("trades") > 0)),
         "negative_trades": c("trades") < 0, "high_low_bounds": (c("high") < F.greatest("open", "close")) | (c("low") > F.least("open", "close")), "taker_above_total": c("taker_volume") > c("volume") * (1 + 1e-12),
     }
-    return bars.withColumn("reasons", F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), name) for name, t in tests.items()])))
+    return bars.withColumn("reasons", F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), name) for name, t in tests.items()]))).drop("_day", "_of", "_on", "_later")
 
 
 def quality(bars: DataFrame, ts: str = "ts", step_seconds: int = 3600) -> DataFrame:
-    """Per symbol: bars, duplicates, missing bars within the span, gaps, the largest gap, bars out of bounds."""
-    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
-    stepped = bars.withColumn("_s", seconds).withColumn("_gap", (F.col("_s") - F.lag("_s").over(W.partitionBy("symbol").orderBy("_s"))) / step_seconds)
-    out_of_bounds = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
-    return stepped.groupBy("symbol").agg(
-        F.count("*").alias("bars"), (F.count("*") - F.countDistinct("_s")).alias("duplicates"),
-        (((F.max("_s") - F.min("_s")) / step_seconds).cast("long") + 1 - F.countDistinct("_s")).alias("missing"),
-        F.count_if(F.col("_gap") > 1).alias("gaps"), F.coalesce(F.max(F.when(F.col("_gap") > 1, F.col("_gap") - 1)), F.lit(0)).cast("long").alias("largest_gap"),
-        F.count_if(out_of_bounds).alias("out_of_bounds"),
+    """Per symbol: bars, duplicates, missing bars within the span, gaps, the largest gap, bars out of bounds.
+
+    Bars are compared with the one before within a symbol's day; from day to day, each day is one row.
+    """
+    c = F.col
+    days = bars.withColumn("_s", F.unix_seconds(c(ts).cast("timestamp"))).withColumn("_day", F.floor(c("_s") / F.lit(86400)))
+    stepped = days.withColumn("_gap", (c("_s") - F.lag("_s").over(W.partitionBy("symbol", "_day").orderBy("_s"))) / step_seconds)
+    out_of_bounds = (c("high") < F.greatest("open", "close")) | (c("low") > F.least("open", "close"))
+    wide = lambda gap: F.when(gap > 1, gap - 1)
+    daily = stepped.groupBy("symbol", "_day").agg(
+        F.count("*").alias("_n"), F.count_if(c("_s").isNotNull() & F.coalesce(c("_gap") > 0, F.lit(True))).alias("_times"), F.min("_s").alias("_first"), F.max("_s").alias("_last"),
+        F.count_if(c("_gap") > 1).alias("_gaps"), F.max(wide(c("_gap"))).alias("_largest"), F.count_if(out_of_bounds).alias("_out"),
+    )
+    daily = daily.withColumn("_gap", (c("_first") - F.lag("_last").over(W.partitionBy("symbol").orderBy("_day"))) / step_seconds)
+    return daily.groupBy("symbol").agg(
+        F.sum("_n").alias("bars"), (F.sum("_n") - F.sum("_times")).alias("duplicates"), (((F.max("_last") - F.min("_first")) / step_seconds).cast("long") + 1 - F.sum("_times")).alias("missing"),
+        (F.sum("_gaps") + F.count_if(c("_gap") > 1)).alias("gaps"), F.coalesce(F.greatest(F.max("_largest"), F.max(wide(c("_gap")))), F.lit(0)).cast("long").alias("largest_gap"), F.sum("_out").alias("out_of_bounds"),
     )
 
 
@@ -222,4 +236,10 @@ def append_only(stored: DataFrame, batch: DataFrame, keys: list[str], content: l
 def write_report(df: DataFrame, path: str, kind: str = "csv", mode: str = "append") -> None:
     """A report table as CSV, JSON lines or Parquet, appended as a ledger by default."""
     writer = df.write.mode(mode)
-    (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+    (writer.option("header", True).option("escape", '"') if kind == "csv" else writer).format(kind).save(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str, kind: str = "csv") -> DataFrame:
+    """All loads of a report that ``write_report`` has appended; texts with quotes, commas and line ends come back whole."""
+    reader = spark.read.schema(schema)
+    return (reader.option("header", True).option("multiLine", True).option("escape", '"') if kind == "csv" else reader).format(kind).load(path)
