@@ -24,6 +24,10 @@ STRIDE, SKETCH = 4, 16
 BROADCAST_ROWS = 1_000_000
 #: Buckets with up to this many lines outside their largest proven group are tried in all pairs that aren't linked yet; others are split by shingles first.
 PAIRED = 2048
+#: Where buckets hold more than so many pairs of lines that aren't linked yet for each of their lines, groups are merged along pivots first, as long as that links any and at most so often.
+CROWDED, PIVOTED = 64, 4
+#: Pivots of a bucket in each turn: lines of its most frequent root, and of the others.
+PIVOTS = (2, 4)
 
 
 def _salt(lane: int) -> int:
@@ -126,6 +130,14 @@ def _members(signed: DataFrame) -> DataFrame:
     return checkpoint(_banded(signed).join(_sized(shared, shared.count()), "band").select("band", "line", "head"))
 
 
+def _occurrences(lines: DataFrame, signed: DataFrame, members: DataFrame) -> DataFrame:
+    """``(_key, _hash, pos, line, norm)`` of all lines that occur twice or share a bucket; ``norm`` is null but for the latter in the document that keeps them."""
+    shared = members.select("line", F.lit(True).alias("shared")).distinct()
+    wanted = checkpoint(signed.select("line", "keeper", "copies").join(shared, "line", "left").where("copies > 1 or shared").select("line", "keeper", "shared"))
+    met = lines.select("_key", "_hash", "pos", "line", "norm").join(_sized(wanted, 2 * wanted.count()), "line")
+    return checkpoint(met.select("_key", "_hash", "pos", "line", F.when(F.col("shared") & (F.col("_key") == F.col("keeper")), F.col("norm")).alias("norm")))
+
+
 def _bodies(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(line, norm)`` of the lines in ``wanted``, which is checkpointed and holds each once."""
     return lines.select("line", "norm").join(_sized(wanted, wanted.count()), "line", "left_semi").distinct()
@@ -217,12 +229,53 @@ def _first_links(members: DataFrame, sketches: DataFrame) -> DataFrame:
     return best.select(F.least("line", "best.head").alias("u"), F.greatest("line", "best.head").alias("v"), "best.sum").distinct()
 
 
-def _rest(members: DataFrame, bodies: DataFrame, sketches: DataFrame, groups: DataFrame) -> DataFrame:
-    """``(line, group)`` after all pairs of a bucket that ``groups`` leaves apart have been verified too."""
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``(line, group)`` after the links ``(a, b)`` between groups, or lines that have none yet."""
+    joined = checkpoint(connected_components(links, "a", "b").select(F.col("node").alias("group"), "component"))
+    moved = groups.join(joined, "group", "left").select("line", F.coalesce("component", "group").alias("group"))
+    return checkpoint(moved.unionByName(joined.select(F.col("group").alias("line"), F.col("component").alias("group"))).distinct())
+
+
+def _mixed(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, bool]:
+    """``(band, line, root, main, apart)``: lines of buckets with several roots, the most frequent of them and how many lines have another; whether pairs are many."""
     rooted = members.select("band", "line").join(groups, "line", "left").select("band", "line", F.coalesce("group", "line").alias("root"))
     roots = rooted.groupBy("band", "root").agg(F.count("*").alias("held"))
-    mixed = checkpoint(roots.groupBy("band").agg((F.sum("held") - F.max("held")).alias("apart")).where("apart > 0"))
-    rooted = checkpoint(rooted.join(mixed, "band"))
+    mixed = roots.groupBy("band").agg(F.max_by("root", F.struct("held", "root")).alias("main"), (F.sum("held") - F.max("held")).alias("apart"), F.sum("held").alias("held"))
+    mixed = checkpoint(mixed.where("apart > 0"))
+    pairs, held = mixed.agg(F.sum(F.col("apart").cast("double") * F.col("held")), F.sum("held")).first()
+    return checkpoint(rooted.join(mixed.drop("held"), "band")), (pairs or 0) > CROWDED * (held or 0)
+
+
+def _pivoted(rooted: DataFrame, sketches: DataFrame, bodies: DataFrame, turn: int) -> DataFrame:
+    """Links ``(a, b)`` between roots that share a bucket: of each root's lines, the one least apart from a pivot is verified.
+
+    Pivots are lines of each bucket that hashes pick, other ones each turn: ``PIVOTS`` of its most
+    frequent root and of the others. A line outside the most frequent root meets no more than
+    these, so that the pairs grow with the lines, whatever their groups.
+    """
+    main = F.col("root") == F.col("main")
+    sides = [(side, i) for side, n in zip((main, ~main), PIVOTS, strict=True) for i in range(n)]
+    chosen = [F.min_by(F.struct("line", "root"), F.when(side, F.xxhash64("line", F.lit(turn), F.lit(i)))) for side, i in sides]
+    pivots = checkpoint(rooted.groupBy("band").agg(F.array(*chosen).alias("pivots")).select("band", F.inline("pivots")).toDF("band", "pivot", "root_q").distinct())
+    others = rooted.where(~main).select("line", "root", "band")
+    met = others.join(_sized(pivots, pivots.count()), "band").where(F.col("root") != F.col("root_q")).select("line", "root", "pivot", "root_q").distinct()
+    near = met.join(_named(sketches, "a", "line"), "line").join(_named(sketches, "b", "pivot"), "pivot").where(_may_be_alike("a", "b"))
+    pair = F.struct(_apart("a", "b").alias("apart"), F.least("line", "pivot").alias("u"), F.greatest("line", "pivot").alias("v"), (F.col("an") + F.col("bn")).alias("sum"), F.least("root", "root_q").alias("a"), F.greatest("root", "root_q").alias("b"))
+    best = checkpoint(near.select("root", pair.alias("pair")).groupBy("root").agg(F.min("pair").alias("pair")).select("pair.*").distinct())
+    return checkpoint(_alike(best, bodies).join(best.select("u", "v", "a", "b"), ["u", "v"]).select("a", "b"))
+
+
+def _rest(members: DataFrame, bodies: DataFrame, sketches: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(line, group)`` after all pairs of a bucket that ``groups`` leaves apart have been verified too."""
+    rooted, crowded = _mixed(members, groups)
+    for turn in range(PIVOTED):
+        if not crowded:
+            break
+        links = _pivoted(rooted, sketches, bodies, turn)
+        if not links.take(1):
+            break
+        groups = _merged(groups, links)
+        rooted, crowded = _mixed(members, groups)
     if not rooted.take(1):
         return groups
     keyed = rooted.where(F.col("apart") <= PAIRED).select(F.col("band").alias("key"), "line", "root")
@@ -240,10 +293,7 @@ def _rest(members: DataFrame, bodies: DataFrame, sketches: DataFrame, groups: Da
     left = pairs.join(nearest, ["u", "v"], "left_anti").join(a, "a", "left").join(b, "b", "left")
     left = checkpoint(left.where(F.coalesce("new_a", "a") != F.coalesce("new_b", "b")).select("u", "v", "sum", "a", "b"))
     far = _alike(left, bodies).join(left.select("u", "v", "a", "b"), ["u", "v"]).select("a", "b")
-    joined = connected_components(near.unionByName(far), "a", "b")
-    joined = checkpoint(joined.select(F.col("node").alias("group"), "component"))
-    moved = groups.join(joined, "group", "left").select("line", F.coalesce("component", "group").alias("group"))
-    return moved.unionByName(joined.select(F.col("group").alias("line"), F.col("component").alias("group"))).distinct()
+    return _merged(groups, near.unionByName(far))
 
 
 def duplicate_lines(lines: DataFrame, signed: DataFrame) -> DataFrame:
@@ -253,7 +303,11 @@ def duplicate_lines(lines: DataFrame, signed: DataFrame) -> DataFrame:
     that holds any line of the component.
     """
     members = _members(signed)
-    bodies = checkpoint(_bodies(lines, checkpoint(members.select("line").distinct())))
+    return _grouped(signed, members, _occurrences(lines, signed, members))
+
+
+def _grouped(signed: DataFrame, members: DataFrame, seen: DataFrame) -> DataFrame:
+    bodies = checkpoint(seen.where("norm is not null").select("line", "norm").distinct())
     sketches = checkpoint(_sketched(bodies))
     # First every line is linked to the likeliest head of its buckets; then the pairs that this leaves apart are tried.
     links = checkpoint(_first_links(members, sketches))
@@ -276,7 +330,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     id, so whole copies of a document empty the later copy, not both. Blank lines always stay.
 
     Candidates are all pairs of lines that meet in one of 12 bands of 4 MinHash lanes and that links
-    found before don't join already; large buckets are split by an exact prefix filter. Sketches that
+    found before don't join already; crowded buckets merge their groups along pivots before, large ones are
+    split by an exact prefix filter. Sketches that
     bound from below how many shingles two lines don't share leave out pairs that can't be alike;
     every other candidate is verified on its whole shingle sets, and components are found by joins.
     Lines equal in their comparison form (by 128 bits of hashes) are one class from the start and
@@ -292,8 +347,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     columns = docs.columns
     keyed = _documents(docs, doc_id, text)
     lines, signed = told_apart(_lines(keyed))
-    member = checkpoint(duplicate_lines(lines, signed))
-    seen = checkpoint(lines.select("_key", "_hash", "pos", "line").join(_sized(member, 3 * member.count()), "line").drop("line"))
+    members = _members(signed)
+    # One pass over the texts gives the lines that may be in a group, and where they are.
+    seen = _occurrences(lines, signed, members)
+    member = checkpoint(_grouped(signed, members, seen))
+    seen = checkpoint(seen.drop("norm").join(_sized(member, 3 * member.count()), "line").drop("line"))
     first = checkpoint(seen.where("_key = keeper").groupBy("group").agg(F.min(F.struct("_hash", "pos")).alias("kept")))
     gone = seen.join(_sized(first, first.count()), "group").where("_key <> keeper or _hash <> kept._hash or pos <> kept.pos")
     gone = checkpoint(gone.groupBy("_key", "_hash").agg(F.collect_set("pos").alias("_gone")))

@@ -92,6 +92,24 @@ def test_line_dedup_tries_all_pairs_of_a_bucket(spark, monkeypatch, paired):
     assert len(meets) > 0.9 * len(alike) and same([got.get(i, -1 - i) for i in range(len(norms))]) == same(want)
 
 
+def test_line_dedup_merges_crowded_buckets_before_it_pairs(spark, monkeypatch):
+    """Of very many lines that are nearly alike, groups merge along pivots, so that few pairs are left; the groups are those of all pairs."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    base = word(300)
+    norms = [base[:at] + word(n) + base[at + n :] for at, n in zip(rng.integers(0, 285, 500), rng.integers(9, 15, 500), strict=True)]
+    lines = spark.createDataFrame([(i, i, 0, x) for i, x in enumerate(norms)], "_key long, _hash long, pos int, norm string").selectExpr("*", "xxhash64(norm) AS line")
+    members, bodies = line_dedup._members(line_dedup.told_apart(lines)[1]), lines.select("line", "norm")
+    sketches, none = line_dedup._sketched(bodies), spark.createDataFrame([], "line long, group long")
+    made, across = [], line_dedup._across
+    monkeypatch.setattr(line_dedup, "_across", lambda *a: [made.append(across(*a).count()), across(*a)][1])
+    found = {tuple(r) for r in line_dedup._rest(members, bodies, sketches, none).collect()}
+    few = sum(made)
+    monkeypatch.setattr(line_dedup, "CROWDED", math.inf, raising=False)
+    assert found == {tuple(r) for r in line_dedup._rest(members, bodies, sketches, none).collect()}
+    assert 4 * few < sum(made) - few, made
+
+
 def test_lines_of_equal_hashes_are_told_apart(spark, docs, monkeypatch):
     want = sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect()), key=repr)
     monkeypatch.setattr(line_dedup, "_line_hash", lambda norm: F.xxhash64(norm) % 50)
