@@ -128,7 +128,7 @@ def st_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("st_online_rsi", f"WITH RECURSIVE se AS (SELECT event_type AS symbol, user_id, events.ts AS ts, value FROM events), {wilder_sql('se', 'value', 'symbol, user_id', 14)} SELECT symbol, user_id, ts, rsi FROM wilder", "rsi")
 def st_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST4: Wilder's index of each event type and user, its state kept between batches of a stream."""
-    return ST.replay(spark, sf_dir, ST.online_rsi)
+    return ST.online_rsi(spark, sf_dir)
 
 
 @query("st_online_rsi_all", rounded="rsi")

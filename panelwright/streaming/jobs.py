@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from panelwright.functions.pointwise import finite
-from panelwright.functions.window import wilder, wilder_index, wilder_means
+from panelwright.functions.window import wilder_index, wilder_means
+from panelwright.operators import scan
 from panelwright.sources.tables import shared_folder
 
 DELAY = "10 minutes"
@@ -125,32 +128,79 @@ def latest_snapshots(asks: DataFrame, snapshots: DataFrame, key: str, ask: str,
     return made.select(F.col("key0").alias(key), ask, F.timestamp_micros("micros").cast("timestamp_ntz").alias("ts"), *fields, "status", "age_minutes")
 
 
-def _rsi(n: int, keys: Sequence[str]) -> Callable[[tuple[Any, ...], Iterator[pd.DataFrame], Any], Iterator[pd.DataFrame]]:
-    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        carried = state.get if state.exists else (None, 0, 0.0, 0.0)
-        rows = pd.concat([*batches]).sort_values(["ts", "value"])
-        values, out = rows["value"].to_numpy(float), np.full(len(rows), np.nan)
-        finite = np.isfinite(values)
-        for run in np.split(np.arange(len(values)), np.flatnonzero(~finite)):  # a value that is missing starts anew
-            if len(run) and not finite[run[0]]:
-                carried, run = (None, 0, 0.0, 0.0), run[1:]
-            out[run], carried = wilder(values[run], n, carried)
-        state.update(carried)
-        yield pd.DataFrame(dict(zip(keys, key, strict=True)) | {"ts": rows["ts"], "rsi": pd.Series(out, index=rows.index)})
+_STATE = ("previous", "seen", "gain", "loss")
 
-    return fold
 
+def _rsi(n: int, keys: Sequence[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: Wilder's means along rows that stand by key and time, all keys of an Arrow batch at once.
 
-def online_rsi(events: DataFrame, n: int = 14, keys: Sequence[str] = ("symbol", "user_id")) -> DataFrame:
-    """Wilder's index per event type (and user) over a stream in time order; four numbers are the state of a key.
+    A key's first row has no change, so that it doesn't depend on the key before; what a batch ends
+    with is carried into the next one.
+    """
 
-    A micro-batch's rows of one key are sorted together; with the user in the key they are few,
-    however long the stream is.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = (0, 0.0, 0.0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, change, seen0, gain0, loss0 = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "change", "seen", "gain", "loss"))
+            fresh, at = np.isnan(change), np.arange(batch.num_rows)
+            start = np.maximum.accumulate(np.where(fresh, at, -1))
+            seen = np.where(start < 0, carried[0] + at + 1, at - start + np.nan_to_num(seen0)[start]).astype(np.int64)
+            decay = np.where(fresh, 0.0, np.where(seen <= n, 1.0, 1 - 1 / n))
+            moves = (np.where(fresh, np.nan_to_num(before), np.maximum(np.nan_to_num(side), 0.0) / n) for before, side in ((gain0, change), (loss0, -change)))
+            decay, gain, loss = scan.compose(decay, *moves)
+            gain, loss = gain + decay * carried[1], loss + decay * carried[2]
+            carried = (int(seen[-1]), float(gain[-1]), float(loss[-1]))
+            both = gain + loss
+            index = np.where(both == 0, 50.0, 100 * gain / np.where(both == 0, 1.0, both))
+            last, old = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("last", "old"))
+            state = [pa.array(v, mask=~last | np.isnan(v)) for v in (x, seen.astype(float), gain, loss)]
+            rsi = pa.array(index, mask=old | (seen < n) | np.isnan(x))
+            named = [*keys, "micros", "rsi", *_STATE, "last", "old"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in (*keys, "micros")], rsi, *state, batch.column("last"), batch.column("old")], named)
+
+    return run
+
+
+def rsi_of_keys(batch: DataFrame, before: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """``(keys, micros, rsi, previous, seen, gain, loss, last, old)`` of a batch that follows the states ``before``.
+
+    A key's ``last`` row holds its state, which is what ``before`` has; ``old`` rows are those states
+    themselves. Keys that the batch doesn't have keep theirs. Python sees sorted rows of many keys,
+    not a key at a time.
+    """
+    none = [F.lit(None).cast("double").alias(c) for c in ("seen", "gain", "loss")]
+    came = batch.select(*keys, F.unix_micros("ts").alias("micros"), finite(F.col("value").cast("double")).alias("x"), *none, F.lit(False).alias("old"))
+    began = before.select(*keys, "micros", F.col("previous").alias("x"), "seen", "gain", "loss", F.lit(True).alias("old"))
+    order = W.partitionBy(*keys).orderBy(F.desc("old"), "micros", "x")
+    change = F.when(~F.col("old"), F.col("x") - F.lag("x").over(order))
+    rows = came.unionByName(began).withColumns({"change": change, "last": F.lead(F.lit(1)).over(order).isNull()})
+    kinds = dict(rows.dtypes)
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return rows.mapInArrow(_rsi(n, keys), f"{named}, micros long, rsi double, {', '.join(f'{c} double' for c in _STATE)}, last boolean, old boolean")
+
+
+def online_rsi(spark: SparkSession, sf_dir: str, n: int = 14, keys: Sequence[str] = ("symbol", "user_id")) -> DataFrame:
+    """Wilder's index per event type and user over the events table read as a stream in time order; four numbers are the state of a key.
+
+    Each micro-batch writes its rows and the states of all keys after it, under its number, so that
+    a batch that runs again replaces its own. A batch's rows of one key are in one task: with the
+    user in the key they are few, however long the stream is.
     """
-    slim = events.select(F.col("event_type").alias("symbol"), "user_id", "ts", "value")
-    named = ", ".join(f"{k} {kind}" for k, kind in slim.dtypes if k in keys)
-    made = slim.groupBy(*keys).applyInPandasWithState(_rsi(n, keys), f"{named}, ts timestamp, rsi double", "previous double, seen long, gain double, loss double", "append", "NoTimeout")
-    return made.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    place = shared_folder(spark, "rsi")
+    events = stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "user_id", "ts", "value")
+    kinds = dict(events.dtypes)
+    schema = f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, micros long, rsi double, {', '.join(f'{c} double' for c in _STATE)}, last boolean, old boolean"
+
+    def fold(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = session.read.schema(schema).parquet(f"{place}/{number - 1}").where("last") if number else session.createDataFrame([], schema)
+        rsi_of_keys(batch, before, n, keys).write.mode("overwrite").parquet(f"{place}/{number}")
+
+    events.writeStream.foreachBatch(fold).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(schema).parquet(f"{place}/[0-9]*").where("not old")
+    return out.select(*keys, F.timestamp_micros("micros").cast("timestamp_ntz").alias("ts"), "rsi")
 
 
 def rsi_of_batch(batch: DataFrame, before: DataFrame, n: int, keys: Sequence[str], bucket: str = "day") -> tuple[DataFrame, DataFrame]:

@@ -4,9 +4,11 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from panelwright.plans import registry
+from panelwright.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,6 +55,33 @@ def test_online_rsi_over_all_users(spark):
     assert all(got[k] == v or math.isclose(got[k], v, rel_tol=1e-6, abs_tol=2e-4) for k, v in want.items())
 
 
+def test_online_rsi_of_many_keys_in_two_batches(spark):
+    """Thousands of keys, a null one and missing values among them, go to Python together and on from their states."""
+    rng = np.random.default_rng(2)
+    rows = [("ab"[i % 2], None if i % 1999 == 0 else int(i % 2000), i, None if rng.random() < 0.01 else float(rng.integers(0, 9))) for i in range(60_000)]
+    made = lambda part: spark.createDataFrame(part, "symbol string, user_id long, at long, value double").selectExpr("symbol", "user_id", "timestamp_micros(at) ts", "value")
+    keys, state = ["symbol", "user_id"], "symbol string, user_id long, micros long, previous double, seen double, gain double, loss double"
+    first = jobs.rsi_of_keys(made(rows[:35_000]), spark.createDataFrame([], state), 5, keys).cache()
+    both = [first, jobs.rsi_of_keys(made(rows[35_000:]), first.where("last"), 5, keys)]
+    got = {r["micros"]: r["rsi"] for part in both for r in part.where("not old").collect()}
+    series = {}
+    for symbol, user, at, value in rows:
+        series.setdefault((symbol, user), []).append((at, value))
+    want = {}
+    for part in series.values():
+        before, seen, gain, loss = None, 0, 0.0, 0.0
+        for at, value in part:
+            if value is None or before is None:
+                seen, gain, loss, want[at] = 0, 0.0, 0.0, None
+            else:
+                seen, up, down = seen + 1, max(value - before, 0) / 5, max(before - value, 0) / 5
+                gain, loss = (gain + up, loss + down) if seen <= 5 else (gain * 0.8 + up, loss * 0.8 + down)
+                want[at] = None if seen < 5 else 50.0 if gain + loss == 0 else 100 * gain / (gain + loss)
+            before = value
+    assert got.keys() == want.keys()
+    assert all(got[k] == v or math.isclose(got[k], v, rel_tol=1e-9) for k, v in want.items())
+
+
 def test_queries_without_sql_have_stable_rows(spark):
     for name in set(registry.queries()) - set(registry.oracle_sql()):
         assert registry.queries()[name](spark, SF).count() > 0
