@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
@@ -100,34 +98,6 @@ def zscore(x: Column, n: int, over: WindowSpec) -> Column:
     return div(x - ts_mean(x, n, over), F.when(sd > 0, sd))
 
 
-def wilder(values: np.ndarray, n: int, state: tuple[float | None, int, float, float] = (None, 0, 0.0, 0.0)) -> tuple[np.ndarray, tuple[float | None, int, float, float]]:
-    """Wilder's index along a run without gaps, and the state to go on from: last value, changes seen, mean gain and loss.
-
-    Means start as those of ``n`` changes and then move by 1/n, which is an exponential average over
-    the run: the recursion runs in compiled code, not a row at a time.
-    """
-    previous, seen, gain, loss = state
-    out = np.full(len(values), np.nan)
-    if not len(values):
-        return out, state
-    first = int(previous is None)  # the first value of all has no change
-    change = np.diff(values, prepend=values[0] if previous is None else previous)[first:]
-
-    def means(moves: np.ndarray, before: float) -> np.ndarray:
-        head = before + np.cumsum(moves[: max(0, n - seen)]) / n
-        tail = moves[len(head) :]
-        if not len(tail):
-            return head
-        seeded = np.concatenate([[head[-1] if len(head) else before], tail])
-        return np.concatenate([head, pd.Series(seeded).ewm(alpha=1 / n, adjust=False).mean().to_numpy()[1:]])
-
-    up, down = means(np.maximum(change, 0.0), gain), means(np.maximum(-change, 0.0), loss)
-    moved = up + down
-    index = np.where(moved == 0, 50.0, 100.0 * up / np.where(moved == 0, 1.0, moved))
-    out[first:] = np.where(seen + 1 + np.arange(len(change)) < n, np.nan, index)
-    return out, (float(values[-1]), seen + len(change), float(up[-1]) if len(up) else gain, float(down[-1]) if len(down) else loss)
-
-
 def wilder_means(rows: DataFrame, n: int, keys: Sequence[str], time: str, bucket: str = "day") -> DataFrame:
     """``rows`` with ``seen``, ``gain`` and ``loss``: changes of ``x`` so far since the last row without one, and Wilder's means of their rises and falls.
 
