@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     minima are pre-aggregated before they are shuffled. Null ends and loops are left out; with no
     edges the result is empty.
     """
-    live = checkpoint(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct())
+    live = checkpoint(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v"))
     found = None
     while True:
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -19,15 +19,15 @@ SHINGLE, SIMILAR = 8, (4, 5)
 LANES = 16
 BANDS = [[4 * i + j for j in range(4)] for i in range(4)] + [[4 * i + j for i in range(4)] for j in range(4)] + [[4 * i + (i ^ j) for i in range(4)] for j in range(4)]
 #: Shingles that one row of the signature aggregate holds, and longs in a line's sketch (64 cells each).
-STRIDE, SKETCH = 4, 16
+STRIDE, SKETCH = 6, 16
 #: Rows up to which a side is broadcast (8 to 60 bytes each); beyond that the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Buckets with up to this many lines outside their largest proven group are tried in all pairs that aren't linked yet; others are split by shingles first.
 PAIRED = 2048
-#: Where buckets hold more than so many pairs of lines that aren't linked yet for each of their lines, groups are merged along pivots first, as long as that links any and at most so often.
-CROWDED, PIVOTED = 64, 4
-#: Pivots of a bucket in each turn: lines of its most frequent root, and of the others.
-PIVOTS = (2, 4)
+#: Where buckets hold more than so many pairs of lines that aren't linked yet for each of their lines, groups are merged along pivots first.
+CROWDED = 64
+#: Pivots of a bucket: lines of its most frequent root, and of the others; so many of those that a line differs from least are verified.
+PIVOTS, NEAREST = (2, 4), 4
 
 
 def _salt(lane: int) -> int:
@@ -246,36 +246,33 @@ def _mixed(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, bool]:
     return checkpoint(rooted.join(mixed.drop("held"), "band")), (pairs or 0) > CROWDED * (held or 0)
 
 
-def _pivoted(rooted: DataFrame, sketches: DataFrame, bodies: DataFrame, turn: int) -> DataFrame:
-    """Links ``(a, b)`` between roots that share a bucket: of each root's lines, the one least apart from a pivot is verified.
+def _pivoted(rooted: DataFrame, sketches: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between roots that share a bucket: each line is verified with the ``NEAREST`` pivots that it differs from least.
 
-    Pivots are lines of each bucket that hashes pick, other ones each turn: ``PIVOTS`` of its most
-    frequent root and of the others. A line outside the most frequent root meets no more than
-    these, so that the pairs grow with the lines, whatever their groups.
+    Pivots are lines of each bucket that hashes pick: ``PIVOTS`` of its most frequent root and of
+    the others. A line outside the most frequent root meets no more than these, so that the pairs
+    grow with the lines, whatever their groups. Several links a line join in one turn what one link
+    a root would join in many, each of which costs dozens of small stages.
     """
     main = F.col("root") == F.col("main")
     sides = [(side, i) for side, n in zip((main, ~main), PIVOTS, strict=True) for i in range(n)]
-    chosen = [F.min_by(F.struct("line", "root"), F.when(side, F.xxhash64("line", F.lit(turn), F.lit(i)))) for side, i in sides]
+    chosen = [F.min_by(F.struct("line", "root"), F.when(side, F.xxhash64("line", F.lit(i)))) for side, i in sides]
     pivots = checkpoint(rooted.groupBy("band").agg(F.array(*chosen).alias("pivots")).select("band", F.inline("pivots")).toDF("band", "pivot", "root_q").distinct())
     others = rooted.where(~main).select("line", "root", "band")
     met = others.join(_sized(pivots, pivots.count()), "band").where(F.col("root") != F.col("root_q")).select("line", "root", "pivot", "root_q").distinct()
     near = met.join(_named(sketches, "a", "line"), "line").join(_named(sketches, "b", "pivot"), "pivot").where(_may_be_alike("a", "b"))
     pair = F.struct(_apart("a", "b").alias("apart"), F.least("line", "pivot").alias("u"), F.greatest("line", "pivot").alias("v"), (F.col("an") + F.col("bn")).alias("sum"), F.least("root", "root_q").alias("a"), F.greatest("root", "root_q").alias("b"))
-    best = checkpoint(near.select("root", pair.alias("pair")).groupBy("root").agg(F.min("pair").alias("pair")).select("pair.*").distinct())
+    found = near.select("line", pair.alias("pair")).groupBy("line").agg(F.slice(F.sort_array(F.collect_set("pair")), 1, NEAREST).alias("pairs"))
+    best = checkpoint(found.select(F.inline("pairs")).distinct())
     return checkpoint(_alike(best, bodies).join(best.select("u", "v", "a", "b"), ["u", "v"]).select("a", "b"))
 
 
 def _rest(members: DataFrame, bodies: DataFrame, sketches: DataFrame, groups: DataFrame) -> DataFrame:
     """``(line, group)`` after all pairs of a bucket that ``groups`` leaves apart have been verified too."""
     rooted, crowded = _mixed(members, groups)
-    for turn in range(PIVOTED):
-        if not crowded:
-            break
-        links = _pivoted(rooted, sketches, bodies, turn)
-        if not links.take(1):
-            break
-        groups = _merged(groups, links)
-        rooted, crowded = _mixed(members, groups)
+    if crowded:
+        groups = _merged(groups, _pivoted(rooted, sketches, bodies))
+        rooted, _ = _mixed(members, groups)
     if not rooted.take(1):
         return groups
     keyed = rooted.where(F.col("apart") <= PAIRED).select(F.col("band").alias("key"), "line", "root")

@@ -110,6 +110,17 @@ def test_line_dedup_merges_crowded_buckets_before_it_pairs(spark, monkeypatch):
     assert 4 * few < sum(made) - few, made
 
 
+def test_line_dedup_takes_one_turn_of_pivots(monkeypatch):
+    """A turn costs dozens of small stages, so that there is one, however crowded the buckets stay; what the groups are, the test above holds."""
+    rows = type("Rows", (), {"left": 1, "take": lambda self, n: [0] * self.left})
+    linked, none, turns = rows(), rows(), []
+    none.left = 0
+    monkeypatch.setattr(line_dedup, "_mixed", lambda members, groups: (none, True))
+    monkeypatch.setattr(line_dedup, "_pivoted", lambda *a: [turns.append(1), linked][1])
+    monkeypatch.setattr(line_dedup, "_merged", lambda groups, links: groups + 1)
+    assert line_dedup._rest(None, None, None, 0) == 1 and len(turns) == 1
+
+
 def test_lines_of_equal_hashes_are_told_apart(spark, docs, monkeypatch):
     want = sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "text", "n_dropped").collect()), key=repr)
     monkeypatch.setattr(line_dedup, "_line_hash", lambda norm: F.xxhash64(norm) % 50)
