@@ -73,10 +73,21 @@ def initial(counts: np.ndarray, seed: int = 7) -> Model:
     return Model(flat, class_of, member_of)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
+#: Terms within these bounds go through a softmax without each row's largest one subtracted.
+SAFE = 60.0
+
+
+def _softmax(x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """Softmax of each row, in place, over the terms in ``seen`` if given; a row that sees none is zero."""
+    if x.size and not max(x.max(), -x.min()) < SAFE:
+        if seen is not None:
+            np.copyto(x, np.float32(-1e9), where=~seen)
+        x -= x.max(axis=-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+    if seen is not None:
+        x *= seen
+    total = x @ np.ones(x.shape[-1], x.dtype)
+    x /= np.maximum(total, np.finfo(x.dtype).tiny)[..., None]
     return x
 
 
@@ -90,12 +101,17 @@ def gradient(model: Model, inputs: np.ndarray, targets: np.ndarray) -> tuple[flo
     w, g_flat = unpack(model.flat), np.zeros_like(model.flat)
     g, scale = unpack(g_flat), np.float32(WIDTH**-0.5)
     x = w["embed"][inputs] + w["place"]
-    q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
-    attention = _softmax(np.where(_mask(inputs), q @ k.transpose(0, 2, 1) * scale, np.float32(-1e9)))
-    h = np.tanh(attention @ v + x @ w["direct"] + w["shift"])
     live = targets != PAD
+    scored = live.any(axis=0)
+    at = int(scored.argmax()) if scored.any() else 0  # places before the first target are only looked at
+    own, live, targets = x[:, at:], live[:, at:], targets[:, at:]
+    q, k, v = own @ w["query"], x @ w["key"], x @ w["value"]
+    attention = _softmax(q @ k.transpose(0, 2, 1) * scale, _mask(inputs)[:, at:])
+    h = np.tanh(attention @ v + own @ w["direct"] + w["shift"])
     n = max(1, int(live.sum()))
-    hs, t = h[live], targets[live]
+    t = targets[live]
+    order = np.argsort(model.class_of[t], kind="stable")  # a class's tokens stand together
+    hs, t = h[live][order], t[order]
     kind, member = model.class_of[t], model.member_of[t]
     p1 = _softmax(hs @ w["of_class"] + w["class_bias"])
     rows = np.arange(len(t))
@@ -103,29 +119,33 @@ def gradient(model: Model, inputs: np.ndarray, targets: np.ndarray) -> tuple[flo
     p1[rows, kind] -= 1
     g["of_class"][:], g["class_bias"][:] = hs.T @ p1, p1.sum(axis=0)
     dh = p1 @ w["of_class"].T
-    order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
     for c in range(CLASSES):
-        own = order[bounds[c] : bounds[c + 1]]
-        if len(own):
-            p2 = _softmax(hs[own] @ w["of_member"][c] + w["member_bias"][c])
-            at = np.arange(len(own))
-            loss -= np.log(p2[at, member[own]] + 1e-30).sum()
-            p2[at, member[own]] -= 1
-            g["of_member"][c], g["member_bias"][c] = hs[own].T @ p2, p2.sum(axis=0)
-            dh[own] += p2 @ w["of_member"][c].T
+        part = slice(bounds[c], bounds[c + 1])
+        if bounds[c] < bounds[c + 1]:
+            p2 = _softmax(hs[part] @ w["of_member"][c] + w["member_bias"][c])
+            one = rows[: len(p2)]
+            loss -= np.log(p2[one, member[part]] + 1e-30).sum()
+            p2[one, member[part]] -= 1
+            g["of_member"][c], g["member_bias"][c] = hs[part].T @ p2, p2.sum(axis=0)
+            dh[part] += p2 @ w["of_member"][c].T
+    back = np.empty_like(dh)
+    back[order] = dh * (1 - hs * hs)
     full = np.zeros_like(h)
-    full[live] = dh * (1 - hs * hs)
-    g["shift"][:] = full.sum(axis=(0, 1))
-    rows_of_x, wide = x.reshape(-1, WIDTH).T, full.reshape(-1, WIDTH)
-    g["direct"][:] = rows_of_x @ wide
-    dx = full @ w["direct"].T
+    full[live] = back
+    rows_of_x, rows_of_own, wide = x.reshape(-1, WIDTH).T, own.reshape(-1, WIDTH).T, full.reshape(-1, WIDTH)
+    g["shift"][:] = wide.sum(axis=0)
+    g["direct"][:] = rows_of_own @ wide
     da, dv = full @ v.transpose(0, 2, 1), attention.transpose(0, 2, 1) @ full
-    ds = attention * (da - (da * attention).sum(axis=-1, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    for name, d in (("query", dq), ("key", dk), ("value", dv)):
+    da -= ((da * attention) @ np.ones(WINDOW, np.float32))[..., None]
+    da *= attention
+    da *= scale
+    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+    g["query"][:] = rows_of_own @ dq.reshape(-1, WIDTH)
+    dx = dk @ w["key"].T + dv @ w["value"].T
+    dx[:, at:] += full @ w["direct"].T + dq @ w["query"].T
+    for name, d in (("key", dk), ("value", dv)):
         g[name][:] = rows_of_x @ d.reshape(-1, WIDTH)
-        dx += d @ w[name].T
     g["place"][:] = dx.sum(axis=0)
     flat = inputs.ravel()
     order = np.argsort(flat, kind="stable")  # a token's rows stand together and are added up at once

@@ -295,6 +295,30 @@ def test_lm_gradient_and_probability():
         assert (up - down) / (2 * step) == pytest.approx(g[at], rel=1e-3, abs=1e-6)
 
 
+@pytest.mark.parametrize("wide", [1.0, 300.0])
+def test_lm_softmax_over_seen_terms(wide):
+    """Within bounds and beyond them; terms that aren't seen have no part, a row that sees none is zero."""
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(3, 5, 8)) * wide).astype(np.float32)
+    seen = rng.random((3, 5, 8)) < 0.6
+    seen[0, 0] = False
+    least = np.where(seen, x.astype(float), -np.inf)
+    terms = np.exp(least - least.max(axis=-1, keepdims=True, initial=-1e9))
+    want = terms / np.maximum(terms.sum(axis=-1, keepdims=True), 1e-300)
+    got = lm._softmax(x.copy(), seen)
+    live = seen.any(axis=-1)
+    assert got[live] == pytest.approx(want[live], abs=1e-5) and not got[0, 0].any()
+
+
+def test_lm_places_before_the_first_target_are_only_looked_at(monkeypatch):
+    """Hidden states are made where tokens are scored, a quarter of a window less; the gradient is that of all places."""
+    made, tanh = [], np.tanh
+    monkeypatch.setattr(lm.np, "tanh", lambda x: [made.append(x.shape[1]), tanh(x)][1])
+    model = _random_model()
+    lm.gradient(model, *lm._windows(np.random.default_rng(4).integers(0, lm.VOCABULARY, 130), np.array([0, 130])))
+    assert made == [lm.STEP]
+
+
 def test_lm_scores_each_token_once_and_sums_to_one():
     scorer = lm.Scorer(_random_model())
     rng = np.random.default_rng(3)
