@@ -96,7 +96,9 @@ class ByteBPE:
             stay[at + 1] = False
             ids, owner, rank = ids[stay], owner[stay], rank[stay]
             at = at - np.arange(len(at))
-            touched = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            near = np.zeros(len(ids), bool)
+            near[at], near[at[at > 0] - 1] = True, True
+            touched = np.flatnonzero(near)
             last = touched + 1 >= len(ids)
             follow = np.where(last, 0, touched + 1)
             pair = ~last & (owner[touched] == owner[follow])
